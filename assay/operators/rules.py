@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assay.functions.severity import compare, uniqueness_severity
+from assay.functions.severity import uniqueness_severity
 from assay.functions.text import partition_text
 
 RULE_SCHEMA = (
@@ -127,12 +127,39 @@ def _metric(rule: Rule, columns: Sequence[str], as_of: Column | None) -> tuple[s
     raise ValueError(f"no such rule type: {rule.rule_text!r}")
 
 
-def _passes(rule: Rule, metric: Column, inclusive: bool) -> Column:
+def _text(value: str | None) -> str:
+    """A SQL literal."""
+    if value is None:
+        return "cast(null as string)"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _passes(rule: Rule, metric: str, inclusive: bool) -> str:
+    """SQL condition of a rule on its metric; a null metric does not pass."""
     if rule.rule_type == "ColumnExists":
-        return metric == 1.0
-    if rule.rule_type == "ColumnValues":
-        return F.coalesce(metric == 0.0, F.lit(False))
-    return compare(metric, F.lit(rule.op), F.lit(rule.lo), F.lit(rule.hi), inclusive)
+        test = f"{metric} = 1D"
+    elif rule.rule_type == "ColumnValues":
+        test = f"{metric} = 0D"
+    elif rule.op == "between":
+        lower, upper = (">=", "<=") if inclusive else (">", "<")
+        test = f"{metric} {lower} {float(rule.lo)!r}D and {metric} {upper} {float(rule.hi)!r}D"
+    elif rule.op in (">=", ">", "<=", "<", "="):
+        test = f"{metric} {rule.op} {float(rule.lo)!r}D"
+    else:
+        raise ValueError(f"no such comparator: {rule.rule_text!r}")
+    return f"coalesce({test}, false)"
+
+
+def _result(rule: Rule, metric_key: str | None, metric: str, inclusive: bool) -> str:
+    """SQL struct of one rule's result, from its metric's column."""
+    passed = _passes(rule, metric, inclusive)
+    metrics = f"map({_text(metric_key)}, {metric})" if metric_key else "cast(null as map<string,double>)"
+    return (
+        f"named_struct('rule_id', {rule.rule_id}, 'rule', {_text(rule.rule_text)}, "
+        f"'rule_type', {_text(rule.rule_type)}, 'column', {_text(rule.column)}, "
+        f"'state', if({passed}, 'PASSED', 'FAILED'), 'evaluated_metrics', {metrics}, "
+        f"'description', if({passed}, '', {_text('not met: ' + rule.rule_text)}))"
+    )
 
 
 def evaluate(
@@ -155,32 +182,17 @@ def evaluate(
         F.count(F.lit(1)).alias("row_count"),
         *[aggregate.alias(f"m_{i}") for i, (_, aggregate) in enumerate(metrics)],
     )
-    results = []
-    for i, (rule, (metric_key, _)) in enumerate(zip(rules, metrics)):
-        value = F.col(f"m_{i}")
-        passed = _passes(rule, value, inclusive)
-        results.append(
-            F.struct(
-                F.lit(rule.rule_id).alias("rule_id"),
-                F.lit(rule.rule_text).alias("rule"),
-                F.lit(rule.rule_type).alias("rule_type"),
-                F.lit(rule.column).alias("column"),
-                F.when(passed, "PASSED").otherwise("FAILED").alias("state"),
-                (
-                    F.create_map(F.lit(metric_key), value)
-                    if metric_key
-                    else F.lit(None).cast("map<string,double>")
-                ).alias("evaluated_metrics"),
-                F.when(passed, "").otherwise(f"not met: {rule.rule_text}").alias("description"),
-            )
-        )
+    results = [
+        _result(rule, metric_key, f"m_{i}", inclusive)
+        for i, (rule, (metric_key, _)) in enumerate(zip(rules, metrics))
+    ]
     out = grouped.select(
         *by,
         F.lit(database).alias("database"),
         F.lit(table).alias("table_name"),
         partition_text(list(by)).alias("partition"),
         "row_count",
-        F.array(*results).cast(RESULT_SCHEMA).alias("rule_results"),
+        F.expr(f"array({', '.join(results)})").cast(RESULT_SCHEMA).alias("rule_results"),
     )
     failed = F.exists("rule_results", lambda r: r["state"] == "FAILED")
     return out.withColumn("overall_state", F.when(failed, "FAILED").otherwise("PASSED")).withColumn(

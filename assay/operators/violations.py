@@ -92,13 +92,17 @@ def with_violations(evaluations: DataFrame, by_rule_table: bool = False) -> Data
 
 
 def violations(evaluations: DataFrame, by_rule_table: bool = False) -> DataFrame:
-    """One row per violation."""
-    return with_violations(evaluations, by_rule_table).select(
-        "evaluation_id",
-        "table_name",
-        "partition",
-        F.posexplode("violations").alias("position", "v"),
-    ).select("evaluation_id", "table_name", "partition", "position", "v.*")
+    """One row per violation.
+
+    Failed results are unnested first and graded as flat columns: grading inside the array, as
+    `with_violations` does, would make Catalyst carry the whole expression through the explode.
+    """
+    failed = F.filter("rule_results", lambda r: is_failed(r["state"]))
+    flat = evaluations.select(
+        "evaluation_id", "table_name", "partition", F.posexplode(failed).alias("position", "result")
+    )
+    graded = flat.withColumn("v", _violation(F.col("result"), by_rule_table))
+    return graded.select("evaluation_id", "table_name", "partition", "position", "v.*")
 
 
 def observed_values(violation_rows: DataFrame) -> DataFrame:
