@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assay.operators.violations import with_violations
 
@@ -80,7 +81,7 @@ def diagnose_batch(df: DataFrame, answer: Callable[[pd.DataFrame], pd.Series] =
     This is where a model call goes; the callable gets whole batches so that it can send many
     prompts at once.
     """
-    schema = df.schema.add("answer", "string")
+    schema = T.StructType([*df.schema.fields, T.StructField("answer", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

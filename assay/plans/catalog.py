@@ -1,6 +1,13 @@
 """All registered queries. Importing the modules registers them."""
 
-from assay.plans import corruption_queries, history_queries, rule_queries, source_queries  # noqa: F401
+from assay.plans import (  # noqa: F401
+    corruption_queries,
+    history_queries,
+    response_queries,
+    rule_queries,
+    source_queries,
+    stream_queries,
+)
 from assay.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

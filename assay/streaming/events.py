@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.readwriter import DataStreamWriter
+from pyspark.sql.types import StructType
 
 from assay.operators.metrics import PERIOD_SECONDS
 from assay.operators.violations import scan_results, violations
@@ -20,7 +21,7 @@ WATERMARK = "10 minutes"
 
 
 def read_stream(
-    spark: SparkSession, path: str, schema: str, files_per_trigger: int = 100, source: str = "parquet"
+    spark: SparkSession, path: str, schema: StructType | str, files_per_trigger: int = 100, source: str = "parquet"
 ) -> DataFrame:
     return (
         spark.readStream.format(source)
