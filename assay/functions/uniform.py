@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _SPAN = 2**32
+SLICES = 4
 
 
 def row_key(columns: Sequence[str]) -> Column:
@@ -40,8 +41,8 @@ def uniform_open(dig: Column, n: int = 0) -> Column:
     return (_slice_int(dig, n) + 1) / F.lit(float(_SPAN))
 
 
-def hit(dig: Column, rate: float) -> Column:
-    """`uniform(dig, 0) < rate`, as one comparison of texts.
+def hit(dig: Column, rate: float, n: int = 0) -> Column:
+    """`uniform(dig, n) < rate`, as one comparison of texts.
 
     Hex digits sort like the numbers they write, so no digest is decoded on the way.
     """
@@ -50,7 +51,7 @@ def hit(dig: Column, rate: float) -> Column:
         return F.lit(False)
     if edge >= _SPAN:
         return F.lit(True)
-    return dig < F.lit(f"{edge:08x}")
+    return (F.substring(dig, 8 * n + 1, 32) if n else dig) < F.lit(f"{edge:08x}")
 
 
 def normal(dig: Column, n: int = 0) -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assay.functions.uniform import digest, hit, normal, row_key, uniform
+from assay.functions.uniform import SLICES, digest, hit, normal, row_key, uniform
 
 KEY = "__row_key"
 NOISE_SIGMA = 0.01
@@ -117,51 +117,62 @@ def _replace(df: DataFrame, new: dict[str, Column]) -> DataFrame:
     return df.withColumns(new) if new else df
 
 
+def _drawn(
+    df: DataFrame, op: str, rates: Sequence[tuple[str, float]], key: Sequence[str], seed: int
+) -> tuple[DataFrame, list[tuple[str, Column]], list[str]]:
+    """Whether each of the named columns is hit, four columns sharing one digest per row.
+
+    Gives the frame with the digests as helper columns, (column, predicate) pairs for the columns
+    that are there, and the helpers' names. A column's draw depends on its place in the config.
+    """
+    helpers, hits = {}, []
+    for i, (name, rate) in enumerate(rates):
+        if name in df.columns:
+            helper = f"__{op}_{i // SLICES}"
+            helpers[helper] = digest(seed, op, str(i // SLICES), _key(key))
+            hits.append((name, hit(F.col(helper), rate, i % SLICES)))
+    return _replace(df, helpers), hits, list(helpers)
+
+
 def inject_nulls(df: DataFrame, config: dict, key: Sequence[str], seed: int = 42) -> DataFrame:
     """Nulls at a rate per column; absent columns are skipped."""
     if not config.get("enabled"):
         return df
-    new = {}
-    for rule in config.get("columns", []):
-        name = rule["column"]
-        if name in df.columns:
-            drawn = hit(digest(seed, "null", name, _key(key)), rule["null_rate"])
-            new[name] = F.when(~drawn, F.col(name))
-    return _replace(df, new)
+    rates = [(rule["column"], rule["null_rate"]) for rule in config.get("columns", [])]
+    out, hits, helpers = _drawn(df, "null", rates, key, seed)
+    return _replace(out, {name: F.when(~drawn, F.col(name)) for name, drawn in hits}).drop(*helpers)
 
 
 def inject_outliers(df: DataFrame, config: dict, key: Sequence[str], seed: int = 42) -> DataFrame:
     """A pick from a list, or uniform in [min, max), at a rate per column; overwrites nulls too."""
-    if not config.get("enabled"):
-        return df
-    new = {}
-    for rule in config.get("rules", []):
-        name = rule["column"]
-        if name not in df.columns:
-            continue
-        dig = digest(seed, "outlier", name, _key(key))
-        dtype = df.schema[name].dataType
-        if "values" in rule:
-            value = _pick(rule["values"], uniform(dig, 1), dtype)
-        else:
-            span = float(rule["max"]) - float(rule["min"])
-            value = _fit(F.lit(float(rule["min"])) + uniform(dig, 1) * F.lit(span), dtype)
-        new[name] = F.when(hit(dig, rule["inject_rate"]), value).otherwise(F.col(name))
-    return _replace(df, new)
+    return _inject_values(df, "outlier", config, "values", key, seed)
 
 
 def inject_format(df: DataFrame, config: dict, key: Sequence[str], seed: int = 42) -> DataFrame:
     """A pick from a list of bad values at a rate per column."""
+    return _inject_values(df, "format", config, "inject_values", key, seed)
+
+
+def _inject_values(
+    df: DataFrame, op: str, config: dict, listed: str, key: Sequence[str], seed: int
+) -> DataFrame:
     if not config.get("enabled"):
         return df
+    rules = {rule["column"]: rule for rule in config.get("rules", [])}
+    rates = [(name, rule["inject_rate"]) for name, rule in rules.items()]
+    out, hits, helpers = _drawn(df, op, rates, key, seed)
     new = {}
-    for rule in config.get("rules", []):
-        name = rule["column"]
-        if name in df.columns:
-            dig = digest(seed, "format", name, _key(key))
-            value = _pick(rule["inject_values"], uniform(dig, 1), df.schema[name].dataType)
-            new[name] = F.when(hit(dig, rule["inject_rate"]), value).otherwise(F.col(name))
-    return _replace(df, new)
+    for name, drawn in hits:
+        rule, dtype = rules[name], df.schema[name].dataType
+        # Only rows that are hit pay for the digest of the value.
+        draw = uniform(digest(seed, f"{op}_value", name, _key(key)))
+        if listed in rule:
+            value = _pick(rule[listed], draw, dtype)
+        else:
+            span = float(rule["max"]) - float(rule["min"])
+            value = _fit(F.lit(float(rule["min"])) + draw * F.lit(span), dtype)
+        new[name] = F.when(drawn, value).otherwise(F.col(name))
+    return _replace(out, new).drop(*helpers)
 
 
 def inject_stale(df: DataFrame, config: dict, key: Sequence[str], seed: int = 42) -> DataFrame:
@@ -169,21 +180,21 @@ def inject_stale(df: DataFrame, config: dict, key: Sequence[str], seed: int = 42
     if not config.get("enabled"):
         return df
     days, rate = int(config.get("backdate_days", 7)), config.get("affected_rate", 0.1)
-    new = {}
-    for name in config.get("columns", TRIP_CONFIG["freshness_issues"]["columns"]):
-        if name in df.columns:
-            moved = F.col(name) - F.expr(f"interval {days} days")
-            drawn = hit(digest(seed, "stale", name, _key(key)), rate)
-            new[name] = F.when(drawn, moved).otherwise(F.col(name))
-    return _replace(df, new)
+    names = config.get("columns", TRIP_CONFIG["freshness_issues"]["columns"])
+    out, hits, helpers = _drawn(df, "stale", [(name, rate) for name in names], key, seed)
+    moved = F.expr(f"interval {days} days")
+    return _replace(
+        out, {name: F.when(drawn, F.col(name) - moved).otherwise(F.col(name)) for name, drawn in hits}
+    ).drop(*helpers)
 
 
-def _copies(df: DataFrame, suffix: str, chosen: Column) -> DataFrame:
-    """Each chosen row twice, the copy's key ending in `suffix`; one pass, no union."""
-    marks = F.when(chosen, F.array(F.lit(""), F.lit(suffix))).otherwise(F.array(F.lit("")))
-    return (
-        df.withColumn("__copy", F.explode(marks)).withColumn(KEY, F.concat(F.col(KEY), F.col("__copy")))
-    )
+def _marks(*suffixes: str) -> Column:
+    return F.array(*[F.lit(s) for s in suffixes])
+
+
+def _mark(df: DataFrame, marks: Column) -> DataFrame:
+    """Each row once per mark in the array, its key ending in the mark; no scan twice, no union."""
+    return df.withColumn("__copy", F.explode(marks)).withColumn(KEY, F.concat(F.col(KEY), F.col("__copy")))
 
 
 def _exact_count(df: DataFrame, op: str, seed: int, total: DataFrame, rate: float) -> Column:
@@ -231,31 +242,51 @@ def inject_duplicates(
     exact, near = config.get("exact_duplicates", 0), config.get("near_duplicates", 0)
     own_key = KEY not in df.columns
     out = df.withColumn(KEY, row_key(key)) if own_key else df
-    noisy = [f.name for f in df.schema if isinstance(f.dataType, T.DoubleType)][:NOISE_COLUMNS]
-    total = out.agg(F.count("*").alias("n")) if exact_count else None
-    if exact > 0:
-        if exact_count:
-            chosen = _exact_count(out, "exact", seed, total, exact)
-        else:
-            chosen = hit(digest(seed, "exact", "", F.col(KEY)), exact)
-        out = _copies(out, "|x", chosen).drop("__copy")
+    if exact_count:
+        out = _counted_copies(out, exact, near, seed)
+    else:
+        # One digest decides all copies of a row: exact, near, and near of the exact copy.
+        out = out.withColumn("__draws", digest(seed, "copies", "", F.col(KEY)))
+        dig, pool = F.col("__draws"), near / (1 + exact)
+        x, n, xn = hit(dig, exact), hit(dig, pool, 1), hit(dig, pool, 2)
+        # Written out case by case: an array filter would take the explode out of generated code.
+        marks = (
+            F.when(~x & ~n, _marks(""))
+            .when(~x, _marks("", "|n"))
+            .when(n & xn, _marks("", "|x", "|n", "|x|n"))
+            .when(n, _marks("", "|x", "|n"))
+            .when(xn, _marks("", "|x", "|x|n"))
+            .otherwise(_marks("", "|x"))
+        )
+        out = _mark(out, marks).drop("__draws")
     if near > 0:
-        if exact_count:
-            chosen = _exact_count(out, "near", seed, total, near)
-        else:
-            chosen = hit(digest(seed, "near", "", F.col(KEY)), near / (1 + exact))
-        out = _copies(out, "|n", chosen)
-        noise = {
-            name: F.when(
-                F.col("__copy") == "|n",
-                F.col(name) + normal(digest(seed, "noise", name, F.col(KEY))) * NOISE_SIGMA,
-            ).otherwise(F.col(name))
-            for name in noisy
-        }
-        out = _replace(out, noise).drop("__copy")
+        noisy = [f.name for f in df.schema if isinstance(f.dataType, T.DoubleType)][:NOISE_COLUMNS]
+        is_near = F.col("__copy").endswith("|n")
+        out = _replace(
+            out,
+            {
+                name: F.when(
+                    is_near, F.col(name) + normal(digest(seed, "noise", name, F.col(KEY))) * NOISE_SIGMA
+                ).otherwise(F.col(name))
+                for name in noisy
+            },
+        )
+    out = out.drop("__copy")
     return out.drop(KEY) if own_key else out
 
 
+def _counted_copies(df: DataFrame, exact: float, near: float, seed: int) -> DataFrame:
+    """Exactly int(n * rate) copies of either kind, in two rounds."""
+    total = df.agg(F.count("*").alias("n"))
+
+    def copied(frame: DataFrame, op: str, rate: float, suffix: str) -> DataFrame:
+        chosen = _exact_count(frame, op, seed, total, rate)
+        return _mark(frame, F.when(chosen, _marks("", suffix)).otherwise(_marks("")))
+
+    out = copied(df, "exact", exact, "|x").drop("__copy") if exact > 0 else df
+    return copied(out, "near", near, "|n") if near > 0 else out
+
+
 def inject_drift(df: DataFrame, config: dict) -> DataFrame:
     """Renames, added constants, drops and type changes, in order; absent columns are ignored."""
     if not config.get("enabled"):

@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assay.session import broadcast_checked
+
 # Metric names and units.
 SCORE, ANOMALIES, ACTIONS = "OverallQualityScore", "AnomaliesDetected", "RemediationActions"
 QUARANTINED, DECISIONS, DIMENSION_SCORE = "RecordsQuarantined", "DecisionCount", "QualityScore"
@@ -168,10 +170,10 @@ _ALARM_COLUMNS = ("alarm", "metric", "period", "statistic", "threshold", "compar
 def alarm_windows(metrics: DataFrame, alarms: DataFrame) -> DataFrame:
     """One row per alarm and period with data: the statistic and whether it breaches.
 
-    `alarms` is configuration of a few rows (see `alarm_table`), hence the broadcast: an equality
-    on the metric name, with the dimensions compared on matching rows.
+    `alarms` is configuration of a few rows (see `alarm_table`) and is broadcast after a check of
+    its size: an equality on the metric name, with the dimensions compared on matching rows.
     """
-    joined = metrics.join(F.broadcast(alarms), F.col("name") == F.col("metric")).where(
+    joined = metrics.join(broadcast_checked(alarms, 10_000), F.col("name") == F.col("metric")).where(
         matches(F.col("alarm_dimensions"), F.col("dimensions"))
     )
     return (

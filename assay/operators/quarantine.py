@@ -70,7 +70,9 @@ def tag_issues(df: DataFrame, requests: Sequence[Request]) -> DataFrame:
     """
     hits = [F.when(r.scope & r.bad, F.lit(r.issue)) for r in requests]
     plain = _any([r.scope & F.expr(f"({r.filter_condition.strip()})") for r in requests])
-    return df.where(plain).withColumn("issue_ids", F.array_compact(F.array(*hits)))
+    return df.where(plain).withColumn(
+        "issue_ids", F.array_except(F.array(*hits), F.array(F.lit(None).cast("string")))
+    )
 
 
 def quarantine_counts(df: DataFrame, requests: Sequence[Request]) -> DataFrame:
@@ -200,13 +202,16 @@ def read_quarantine(spark: SparkSession, path: str, keys: Sequence[str]) -> Data
 
 
 def recover_issue(zone: DataFrame, remediations: DataFrame, issue_id: str) -> DataFrame:
-    """Quarantined rows of one issue, with the lineage its remediation row kept.
+    """Quarantined rows of one issue, with the lineage its newest remediation row kept.
 
-    The issue id is a partition of the zone, so only its folder is read.
+    The issue id is a partition of the zone, so only its folder is read. The lineage is one row
+    by construction, hence the broadcast.
     """
-    lineage = remediations.where(F.col("issue_id") == issue_id).select(
-        "issue_id", "filter_condition", "records_affected"
-    )
-    return zone.where(F.col("issue_id") == issue_id).join(
-        F.broadcast(lineage.limit(1)), "issue_id", "inner"
+    kept = F.struct("issue_id", "filter_condition", "records_affected")
+    lineage = (
+        remediations.where(F.col("issue_id") == issue_id)
+        .agg(F.max_by(kept, "ts").alias("r"))
+        .where(F.col("r").isNotNull())
+        .select("r.*")
     )
+    return zone.where(F.col("issue_id") == issue_id).join(F.broadcast(lineage), "issue_id", "inner")

@@ -41,8 +41,8 @@ def inject_outliers(spark, d):
 
 @query(
     "inject_outliers_integer",
-    f"""WITH {I.FACT} SELECT {_KEYS}, CASE WHEN {I.u('outlier', 'l_qty')} < 0.25::DOUBLE
-    THEN round_even(-10.0::DOUBLE + {I.u('outlier', 'l_qty', 1)} * 1010.0::DOUBLE, 0)::BIGINT
+    f"""WITH {I.FACT} SELECT {_KEYS}, CASE WHEN {I.u('outlier', '0')} < 0.25::DOUBLE
+    THEN round_even(-10.0::DOUBLE + {I.u('outlier_value', 'l_qty')} * 1010.0::DOUBLE, 0)::BIGINT
     ELSE l_quantity::BIGINT END AS l_qty FROM fact""",
 )
 def inject_outliers_integer(spark, d):
@@ -52,7 +52,7 @@ def inject_outliers_integer(spark, d):
     return C.inject_outliers(whole, config, I.KEY).select(*I.KEY, "l_qty")
 
 
-_EXACT = I.copies("exacts", "fact", "exact", "|x", f"{I.u('exact', '')} < 0.03::DOUBLE")
+_EXACT = I.copies("exacts", "fact", 0.03, 0.0)
 
 
 @query(
@@ -64,7 +64,7 @@ def inject_exact_duplicates(spark, d):
     return C.inject_duplicates(I.fact(spark, d), config, I.KEY).select(*I.COLUMNS)
 
 
-_NEAR = I.copies("nears", "fact", "near", "|n", f"{I.u('near', '')} < 0.02::DOUBLE")
+_NEAR = I.copies("nears", "fact", 0.0, 0.02)
 
 
 @query(
@@ -93,7 +93,7 @@ def inject_exact_count(spark, d):
 
 @query(
     "inject_stale",
-    f"""WITH {I.FACT} SELECT {_KEYS}, CASE WHEN {I.u('stale', 'l_shipdate')} < 0.1::DOUBLE
+    f"""WITH {I.FACT} SELECT {_KEYS}, CASE WHEN {I.u('stale', '0')} < 0.1::DOUBLE
     THEN l_shipdate - INTERVAL 7 DAY ELSE l_shipdate END AS l_shipdate FROM fact""",
 )
 def inject_stale(spark, d):

@@ -36,14 +36,14 @@ h AS (SELECT {_KEYED}, count(*) AS previous_scans, count(*) FILTER (violation_co
     string_agg(evaluation_id, ',' ORDER BY recency) FILTER (recency <= 3) AS newest
   FROM r WHERE recency <= 5 GROUP BY ALL),
 v AS (SELECT evaluation_id, table_name, CASE WHEN violation_count > 8 THEN '' ELSE "partition" END AS "partition"
-  FROM scans WHERE violation_count > 5)
+  FROM scans)
 SELECT v.evaluation_id, v.table_name, v."partition", coalesce(previous_scans, 0) AS previous_scans,
   coalesce(failing_scans, 0) AS failing_scans, newest
 FROM v LEFT JOIN h ON h.table_name = v.table_name AND h."partition" = v."partition" """,
 )
 def history_context(spark, d):
     scans = I.scans(spark, d)
-    found = scans.where("violation_count > 5").select(
+    found = scans.select(
         "evaluation_id", "table_name",
         F.when(F.col("violation_count") > 8, "").otherwise(F.col("partition")).alias("partition"),
     )

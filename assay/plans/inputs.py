@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from assay.operators.corrupt import corrupt
 from assay.operators.rules import Rule, evaluate
+from assay.sources.tables import spread
 
 KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 BY = ["year", "month"]
@@ -123,7 +124,7 @@ def month_end() -> Column:
 
 
 def corrupted(spark: SparkSession, sf_dir: str, keep_key: bool = False) -> DataFrame:
-    return corrupt(fact(spark, sf_dir), CONFIG, KEY, keep_key=keep_key)
+    return corrupt(spread(fact(spark, sf_dir)), CONFIG, KEY, keep_key=keep_key)
 
 
 def evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,36 +209,39 @@ def u(op: str, column: str, n: int = 0, key: str = "row_key", open_end: bool = F
     return f"(({word}{' + 1' if open_end else ''})::DOUBLE / 4294967296.0::DOUBLE)"
 
 
-def _null(column: str, rate: float) -> str:
-    return f"CASE WHEN {u('null', column)} < {rate}::DOUBLE THEN NULL ELSE {column} END AS {column}"
+def _null(i: int, column: str, rate: float) -> str:
+    return f"CASE WHEN {u('null', '0', i)} < {rate}::DOUBLE THEN NULL ELSE {column} END AS {column}"
 
 
-def _range(column: str, rate: float, lo: float, hi: float) -> str:
-    drawn = f"({lo}::DOUBLE + {u('outlier', column, 1)} * {hi - lo}::DOUBLE)"
-    return f"CASE WHEN {u('outlier', column)} < {rate}::DOUBLE THEN {drawn} ELSE {column} END AS {column}"
+def _range(i: int, column: str, rate: float, lo: float, hi: float) -> str:
+    drawn = f"({lo}::DOUBLE + {u('outlier_value', column)} * {hi - lo}::DOUBLE)"
+    return f"CASE WHEN {u('outlier', '0', i)} < {rate}::DOUBLE THEN {drawn} ELSE {column} END AS {column}"
 
 
-def _pick(op: str, column: str, rate: float, values: str, n: int, to: str) -> str:
-    drawn = f"({values})[1 + floor({u(op, column, 1)} * {n})::INT]::{to}"
-    return f"CASE WHEN {u(op, column)} < {rate}::DOUBLE THEN {drawn} ELSE {column} END AS {column}"
+def _pick(op: str, i: int, column: str, rate: float, values: str, n: int, to: str) -> str:
+    drawn = f"({values})[1 + floor({u(op + '_value', column)} * {n})::INT]::{to}"
+    return f"CASE WHEN {u(op, '0', i)} < {rate}::DOUBLE THEN {drawn} ELSE {column} END AS {column}"
 
 
 NULLED = f"""nulled AS (
-  SELECT * REPLACE ({_null('l_tax', 0.15)}, {_null('l_extendedprice', 0.08)},
-    {_null('l_discount', 0.05)}, {_null('l_quantity', 0.03)}) FROM fact)"""
+  SELECT * REPLACE ({_null(0, 'l_tax', 0.15)}, {_null(1, 'l_extendedprice', 0.08)},
+    {_null(2, 'l_discount', 0.05)}, {_null(3, 'l_quantity', 0.03)}) FROM fact)"""
 OUTLIERS = f"""
-  SELECT * REPLACE ({_pick('outlier', 'l_tax', 0.02, '[-5, 0, 99, 255, 999]', 5, 'DOUBLE')},
-    {_range('l_extendedprice', 0.03, -100000.0, 2000000.0)},
-    {_range('l_quantity', 0.02, -10.0, 10000.0)},
-    {_range('l_discount', 0.01, -5000.0, 100000.0)})"""
+  SELECT * REPLACE ({_pick('outlier', 0, 'l_tax', 0.02, '[-5, 0, 99, 255, 999]', 5, 'DOUBLE')},
+    {_range(1, 'l_extendedprice', 0.03, -100000.0, 2000000.0)},
+    {_range(2, 'l_quantity', 0.02, -10.0, 10000.0)},
+    {_range(3, 'l_discount', 0.01, -5000.0, 100000.0)})"""
 OUTLIED = f"outlied AS ({OUTLIERS} FROM nulled)"
 
 
-def copies(name: str, source: str, op: str, suffix: str, chosen: str) -> str:
-    """CTE `name`: the rows of `source`, chosen ones twice, the copy's key with a suffix."""
+def copies(name: str, source: str, exact: float, near: float) -> str:
+    """CTE `name`: the rows of `source`, chosen ones several times, a copy's key with a suffix."""
+    x = f"{u('copies', '')} < {exact}::DOUBLE"
+    n = [f"{u('copies', '', i)} < ({near / (1 + exact)!r})::DOUBLE" for i in (1, 2)]
     return f"""{name}_marked AS (
-  SELECT *, unnest(CASE WHEN {chosen} THEN ['', '{suffix}'] ELSE [''] END) AS copy FROM {source}),
-{name} AS (SELECT * EXCLUDE (row_key, copy), row_key || copy AS row_key, copy = '{suffix}' AS is_copy
+  SELECT *, unnest(list_filter(['', CASE WHEN {x} THEN '|x' END, CASE WHEN {n[0]} THEN '|n' END,
+    CASE WHEN {x} AND {n[1]} THEN '|x|n' END], lambda m: m IS NOT NULL)) AS copy FROM {source}),
+{name} AS (SELECT * EXCLUDE (row_key, copy), row_key || copy AS row_key, copy LIKE '%|n' AS is_copy
   FROM {name}_marked)"""
 
 
@@ -249,18 +253,11 @@ def _noise(column: str) -> str:
 
 NOISE = f"""SELECT * EXCLUDE (is_copy) REPLACE ({_noise('l_quantity')}, {_noise('l_extendedprice')},
   {_noise('l_discount')})"""
-COPIED = ",\n".join(
-    [
-        copies("exacts", "outlied", "exact", "|x", f"{u('exact', '')} < 0.03::DOUBLE"),
-        "exact_rows AS (SELECT * EXCLUDE (is_copy) FROM exacts)",
-        copies("nears", "exact_rows", "near", "|n", f"{u('near', '')} < ({0.02 / 1.03!r})::DOUBLE"),
-        f"noisy AS ({NOISE} FROM nears)",
-    ]
-)
+COPIED = copies("copied", "outlied", 0.03, 0.02) + f",\nnoisy AS ({NOISE} FROM copied)"
 FORMATS = f"""
   SELECT * REPLACE (
-    {_pick('format', 'l_returnflag', 0.05, "['YES', 'NO', 'maybe', '1', '0', '']", 6, 'VARCHAR')},
-    {_pick('format', 'l_linenumber', 0.03, '[0, 7, 8, 99, -1]', 5, 'INT')})"""
+    {_pick('format', 0, 'l_returnflag', 0.05, "['YES', 'NO', 'maybe', '1', '0', '']", 6, 'VARCHAR')},
+    {_pick('format', 1, 'l_linenumber', 0.03, '[0, 7, 8, 99, -1]', 5, 'INT')})"""
 DIRTY = f"dirty AS ({FORMATS} FROM noisy)"
 CORRUPT = ",\n".join([FACT, NULLED, OUTLIED, COPIED, DIRTY])
 

@@ -129,13 +129,13 @@ def rule_uniqueness_by_order(spark, d):
 
 
 _HALF = "CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 1 ELSE 2 END"
-_KIND = "CASE WHEN {} > 100 THEN 'bigint' ELSE 'double' END"
+_KIND = "CASE WHEN {} % 25 > 20 THEN 'bigint' ELSE 'double' END"
 
 
 @query(
     "schema_drift",
-    f"""WITH seen AS (SELECT {_HALF} AS half, 'u' || user_id AS table_name, event_type AS name, max(value) AS top
-  FROM events WHERE value > 30 GROUP BY ALL),
+    f"""WITH seen AS (SELECT {_HALF} AS half, 'u' || user_id AS table_name, 
+    event_type || CAST(floor(value / 25) AS BIGINT) AS name, max(value) AS top FROM events GROUP BY ALL),
 b AS (SELECT table_name, name, {_KIND.format('top')} AS old_type FROM seen WHERE half = 1),
 c AS (SELECT table_name, name, {_KIND.format('top')} AS new_type FROM seen WHERE half = 2)
 SELECT 'lake' AS database, table_name, name, old_type, new_type,
@@ -148,14 +148,13 @@ def schema_drift(spark, d):
     half = F.when(F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz"), 1).otherwise(2)
     seen = (
         I.table(spark, d, "events")
-        .where(F.col("value") > 30)
         .groupBy(
             half.alias("half"),
             F.lit("lake").alias("database"),
             F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("table_name"),
-            F.col("event_type").alias("name"),
+            F.concat("event_type", F.floor(F.col("value") / 25).cast("string")).alias("name"),
         )
-        .agg(F.when(F.max("value") > 100, "bigint").otherwise("double").alias("type"))
+        .agg(F.when(F.max("value") % 25 > 20, "bigint").otherwise("double").alias("type"))
     )
     return R.schema_drift(seen.where("half = 1"), seen.where("half = 2"))
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from assay.operators.retention import expiry
 from assay.sources.partitions import path_exists
@@ -33,15 +34,18 @@ def append_audit(
 ) -> None:
     """Append the rows an audit table does not hold yet.
 
-    The table is laid out by day. Only the days of the batch are read back (their list prunes
-    the partitions), and of those the id column only, so the cost of an append follows the
-    batch and not the history.
+    The table is laid out by day. Only the days of the batch are read back, and of those the id
+    column only, so the cost of an append follows the batch and not the history. The batch is
+    computed once and kept on disk meanwhile; lost blocks are computed again.
     """
-    new = audit_rows(rows, natural_key, ts)
-    if path_exists(spark, path):
-        known = spark.read.schema(f"audit_id string, {DAY} string").parquet(path)
-        days = [row[DAY] for row in rows.select(
-            F.date_format(F.col(ts).cast("timestamp"), "yyyy-MM-dd").alias(DAY)
-        ).distinct().collect()]
-        new = new.join(known.where(F.col(DAY).isin(days)).select("audit_id"), "audit_id", "left_anti")
-    new.hint("rebalance", F.col(DAY)).write.mode("append").partitionBy(DAY).parquet(path)
+    new = audit_rows(rows, natural_key, ts).persist(StorageLevel.DISK_ONLY)
+    try:
+        fresh = new
+        if path_exists(spark, path):
+            # The calendar days of the batch: a short list, which prunes the table's folders.
+            days = [row[DAY] for row in new.select(DAY).distinct().collect()]
+            known = spark.read.schema(f"audit_id string, {DAY} string").parquet(path)
+            fresh = new.join(known.where(F.col(DAY).isin(days)).select("audit_id"), "audit_id", "left_anti")
+        fresh.hint("rebalance", F.col(DAY)).write.mode("append").partitionBy(DAY).parquet(path)
+    finally:
+        new.unpersist()
