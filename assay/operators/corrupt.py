@@ -198,33 +198,36 @@ def _mark(df: DataFrame, marks: Column) -> DataFrame:
 
 
 def _exact_count(df: DataFrame, op: str, seed: int, total: DataFrame, rate: float) -> Column:
-    """Predicate that holds for exactly int(n * rate) rows, n from the one-row frame `total`.
+    """Predicate that holds for int(n * rate) rows, n from the one-row frame `total`.
 
     The rows with the smallest digests are chosen. Their edge is found by a histogram over the
-    first 20 bits and by ranking the one bucket it falls into, so nothing larger than a bucket
-    (a millionth of the rows) is ever sorted in one place. Keys must be unique.
+    first 20 bits and by a running count within the one bucket it falls into, so nothing larger
+    than a bucket (a millionth of the distinct keys) is ever sorted in one place. Both counts are
+    combined map-side, so a key that repeats in a third of all rows is one row there. Rows of one
+    key are chosen together: the number is exact where keys are unique.
     """
     dig = digest(seed, op, "", F.col(KEY))
-    drawn = df.select(F.struct(dig.alias("d"), F.col(KEY).alias("k")).alias("draw")).withColumn(
-        "bucket", F.substring("draw.d", 1, 5)
-    )
-    # At most 2**20 rows, so one window over all of them is bounded.
-    running = drawn.groupBy("bucket").agg(F.count("*").alias("n")).withColumn(
-        "upto", F.sum("n").over(Window.orderBy("bucket"))
-    )
+    draw = F.struct(dig.alias("d"), F.col(KEY).alias("k"))
+    drawn = df.select(draw.alias("draw")).withColumn("bucket", F.substring("draw.d", 1, 5))
+
+    def counted(by: str, rows: DataFrame) -> DataFrame:
+        """Rows per value and rows up to it. At most 2**20 values, so one window is bounded."""
+        upto = F.sum("n").over(Window.orderBy(by))
+        return rows.groupBy(by).agg(F.count("*").alias("n")).withColumn("upto", upto)
+
     wanted = total.select(F.floor(F.col("n") * F.lit(rate)).cast("bigint")).scalar()
     edge = (
-        running.where(F.col("upto") >= wanted)
-        .agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("n")).alias("before")), "bucket").alias("e"))
+        counted("bucket", drawn)
+        .where(F.col("upto") >= wanted)
+        .agg(F.min(F.struct("bucket", (F.col("upto") - F.col("n")).alias("before"))).alias("e"))
         .select("e.*")
     )
-    ranked = drawn.where(F.col("bucket") == edge.select("bucket").scalar()).withColumn(
-        "rank", F.row_number().over(Window.partitionBy("bucket").orderBy("draw"))
-    )
-    last = ranked.where(F.col("rank") == wanted - edge.select("before").scalar()).select("draw")
-    return F.coalesce(
-        F.struct(dig.alias("d"), F.col(KEY).alias("k")) <= last.scalar(), F.lit(False)
+    last = (
+        counted("draw", drawn.where(F.col("bucket") == edge.select("bucket").scalar()))
+        .where(F.col("upto") >= wanted - edge.select("before").scalar())
+        .agg(F.min("draw"))
     )
+    return F.coalesce((draw <= last.scalar()) & (wanted > 0), F.lit(False))
 
 
 def inject_duplicates(

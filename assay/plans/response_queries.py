@@ -244,20 +244,20 @@ def _ntz(df, column="period_start"):
 @query(
     "metric_stats",
     f"""WITH {I.METRICS} SELECT name, time_bucket(INTERVAL 5 MINUTE, ts) AS period_start,
-  round(avg(value), 4) AS average, min(value) AS minimum, max(value) AS maximum, round(sum(value), 4) AS total,
+  round(avg(value), 8) AS average, min(value) AS minimum, max(value) AS maximum, round(sum(value), 4) AS total,
   count(*) AS sample_count FROM metrics
 WHERE ts >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 696 HOUR AND ts < TIMESTAMP '2024-01-30 12:00:00' GROUP BY ALL""",
 )
 def metric_stats(spark, d):
     """All statistics in 5-minute periods, over the 29 days before a reference time."""
     out = M.metric_stats(I.metrics(spark, d), F.lit(_NOW).cast("timestamp"), hours=696)
-    return _ntz(out.withColumns({"average": F.round("average", 4), "total": F.round("total", 4)}))
+    return _ntz(out.withColumns({"average": F.round("average", 8), "total": F.round("total", 4)}))
 
 
 @query(
     "metric_stats_day",
     f"""WITH {I.METRICS} SELECT name, dim_table, time_bucket(INTERVAL 5 MINUTE, ts) AS period_start,
-  round(avg(value), 4) AS average, count(*) AS sample_count FROM metrics
+  round(avg(value), 8) AS average, count(*) AS sample_count FROM metrics
 WHERE ts >= TIMESTAMP '2024-01-29 12:00:00' AND ts < TIMESTAMP '2024-01-30 12:00:00' GROUP BY ALL""",
 )
 def metric_stats_day(spark, d):
@@ -265,7 +265,7 @@ def metric_stats_day(spark, d):
     points = I.metrics(spark, d).withColumn("dim_table", F.try_element_at("dimensions", F.lit("TableName")))
     out = M.metric_stats(points, F.lit(_NOW).cast("timestamp"), by=["name", "dim_table"]).orderBy("period_start")
     return _ntz(out).select(
-        "name", "dim_table", "period_start", F.round("average", 4).alias("average"), "sample_count"
+        "name", "dim_table", "period_start", F.round("average", 8).alias("average"), "sample_count"
     )
 
 
@@ -349,7 +349,7 @@ def alarm_days(spark, d):
     CASE name WHEN 'AnomaliesDetected' THEN dim_severity WHEN 'RemediationActions' THEN dim_action ELSE '' END AS series,
     avg(value) AS a, sum(value) AS s FROM metrics WHERE name <> 'AgentTokenCost' GROUP BY 1, 2, 3)
 SELECT period_start, name, series,
-  round(CASE WHEN name IN ('OverallQualityScore', 'ToolCallDuration') THEN a ELSE s END, 4) AS value FROM s""",
+  round(CASE WHEN name IN ('OverallQualityScore', 'ToolCallDuration') THEN a ELSE s END, 8) AS value FROM s""",
 )
 def metric_series(spark, d):
-    return _ntz(M.metric_series(I.metrics(spark, d))).withColumn("value", F.round("value", 4))
+    return _ntz(M.metric_series(I.metrics(spark, d))).withColumn("value", F.round("value", 8))

@@ -83,7 +83,7 @@ def stream_dedup(spark, d):
 @query(
     "stream_alarms",
     f"""WITH {I.METRICS}, w AS (SELECT name, time_bucket(INTERVAL 5 MINUTE, ts) AS period_start,
-    round(avg(value), 4) AS average, min(value) AS minimum, max(value) AS maximum, round(sum(value), 4) AS total,
+    round(avg(value), 8) AS average, min(value) AS minimum, max(value) AS maximum, round(sum(value), 4) AS total,
     count(*) AS sample_count FROM metrics GROUP BY ALL)
 SELECT *, total > 100 AS breach FROM w
 WHERE period_start + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
@@ -106,6 +106,6 @@ def stream_alarms(spark, d):
     out = spark.read.schema(windows.schema).parquet(path)
     return out.select(
         "name", F.col("period_start").cast("timestamp_ntz").alias("period_start"),
-        F.round("average", 4).alias("average"), "minimum", "maximum", F.round("total", 4).alias("total"),
+        F.round("average", 8).alias("average"), "minimum", "maximum", F.round("total", 4).alias("total"),
         "sample_count", (F.round("total", 4) > 100).alias("breach"),
     )

@@ -40,7 +40,11 @@ def once_per_evaluation(
     events: DataFrame, ts: str = "ts", key: Sequence[str] = ("evaluation_id",), delay: str = WATERMARK
 ) -> DataFrame:
     """Drop repeats of an id that arrive within the watermark delay. State is bounded by it;
-    repeats that come later are held back by the audit tables' own ids."""
+    repeats that come later are held back by the audit tables' own ids.
+
+    The state shuffles every row by id. Where one id may fill a large part of a batch, leave this
+    out: `write_once` alone gives the same rows and combines repeats before its shuffle.
+    """
     return events.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(key))
 
 
