@@ -15,7 +15,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,6 +89,17 @@ _DTYPES = {
 }
 
 
+def load_config(spark: SparkSession, path: str) -> dict:
+    """The corruption config of a YAML file, under its key `chaos_config` if it has one."""
+    try:
+        import yaml
+    except ImportError as e:
+        raise ImportError("reading a YAML config needs PyYAML; a dict works without") from e
+    (row,) = spark.read.text(path, wholetext=True).collect()
+    config = yaml.safe_load(row["value"])
+    return config.get("chaos_config", config)
+
+
 def _key(key: Sequence[str]) -> Column:
     return F.col(KEY) if list(key) == [KEY] else row_key(key)
 

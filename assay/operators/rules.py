@@ -82,6 +82,12 @@ def load_rules(spark: SparkSession, lines: Sequence[str]) -> list[Rule]:
     return [Rule(**row.asDict()) for row in rules_from_text(frame).orderBy("rule_id").collect()]
 
 
+def read_ruleset(spark: SparkSession, path: str) -> list[Rule]:
+    """The rules of a ruleset file: one rule per line between the brackets."""
+    lines = [row["value"].strip().rstrip(",") for row in spark.read.text(path).collect()]
+    return load_rules(spark, [line for line in lines if line and not line.endswith(("[", "]"))])
+
+
 def rule_table(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
     rows = [(r.rule_id, r.rule_type, r.column, r.op, r.lo, r.hi, r.rule_text) for r in rules]
     return spark.createDataFrame(rows, RULE_SCHEMA)

@@ -6,6 +6,7 @@ an operator would follow by hand is the order of the frames here; nothing is col
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,7 @@ from assay.operators import diagnosis as D
 from assay.operators import history as H
 from assay.operators import metrics as M
 from assay.operators import notify as N
+from assay.operators import quarantine as Q
 from assay.operators import violations as V
 
 
@@ -78,3 +80,29 @@ def respond(evaluations: DataFrame, history: DataFrame, ts: Column) -> Response:
     decisions = decided.unionByName(sent).withColumn("ts", ts)
     points = M.scan_metrics(scans).unionByName(M.decision_metrics(decisions))
     return Response(scans, violation_rows, acted, alert_rows, decisions, points)
+
+
+@dataclass(frozen=True)
+class Isolation:
+    counts: DataFrame
+    remediations: DataFrame
+    decisions: DataFrame
+    metrics: DataFrame
+
+
+def isolate(
+    df: DataFrame, requests: Sequence[Q.Request], scans: DataFrame, path: str, keys: Sequence[str], ts: Column
+) -> Isolation:
+    """Copy the bad rows of all requests to the zone, with counts and everything that records it.
+
+    Two reads of the partitions in scope, whatever the number of requests: the copy, whose filter
+    is pushed down to the files, and the counts, which need the predicates' columns only. The
+    counts are an aggregate of their own, and not gathered during the copy, so that a repeated
+    task cannot count twice.
+    """
+    Q.write_quarantine(df, requests, path, keys, ts)
+    counts = Q.quarantine_counts(df, requests)
+    remediations = Q.remediation_rows(counts, scans, ts, path)
+    decisions = Q.remediation_decisions(remediations)
+    points = M.remediation_metrics(remediations).unionByName(M.decision_metrics(decisions))
+    return Isolation(counts, remediations, decisions, points)

@@ -15,6 +15,7 @@ from assay.operators import retention as T
 from assay.operators import violations as V
 from assay.plans import inputs as I
 from assay.plans.registry import query
+from assay.plans.response import isolate
 from assay.session import scratch_dir
 from assay.sources import audit as A
 from assay.sources import partitions as P
@@ -493,6 +494,21 @@ def recover_issue(spark, d):
     return found.drop("issue_id", "table_name", "year", "month", "written_at")
 
 
+@query(
+    "isolation_metrics",
+    f"""WITH {I.CORRUPT}, {_COUNTS_SQL}, {_SCANS_SQL}, {_SCORED_SQL}
+SELECT 'RemediationActions' AS name, 1.0::DOUBLE AS value, 'Count' AS unit, TIMESTAMP '2024-01-31 12:00:00' AS ts FROM done
+UNION ALL SELECT 'RecordsQuarantined', bad_count, 'Count', TIMESTAMP '2024-01-31 12:00:00' FROM done
+UNION ALL SELECT 'DecisionCount', 1, 'Count', TIMESTAMP '2024-01-31 12:00:00' FROM done""",
+)
+def isolation_metrics(spark, d):
+    """All requests from scan to zone, remediation rows, decisions and metric points."""
+    path = scratch_dir(spark, "quarantine")
+    when = F.lit("2024-01-31 12:00:00").cast("timestamp_ntz")
+    done = isolate(I.corrupted(spark, d), REQUESTS, _stored_scans(spark, d), path, I.BY, when)
+    return done.metrics.drop("dimensions")
+
+
 @query(
     "quarantine_requests",
     """SELECT event_id, CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN '2024-01' WHEN 2 THEN 'user=' || user_id

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from assay.operators import rules as R
 from assay.operators.violations import scan_results
 
-NAN = None
-
 
 def test_shipped_ruleset_is_read_from_its_text(spark):
     rules = R.load_rules(spark, R.TRIP_RULES)
@@ -21,6 +19,11 @@ def test_shipped_ruleset_is_read_from_its_text(spark):
     assert R.rule_table(spark, rules).count() == 13
 
 
+def test_ruleset_file(spark, tmp_path):
+    (tmp_path / "rules.txt").write_text("Rules = [\n    " + ",\n    ".join(R.TRIP_RULES) + "\n]\n")
+    assert R.read_ruleset(spark, str(tmp_path / "rules.txt")) == R.load_rules(spark, R.TRIP_RULES)
+
+
 def trips(spark, n=100, null_every=0, fare=19.0):
     ts = F.lit("2025-09-01 10:00:00").cast("timestamp")
     fare_column = F.when(F.col("id") % null_every != 0, fare) if null_every else F.lit(fare)
