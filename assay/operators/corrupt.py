@@ -7,7 +7,7 @@ and value ranges are those of the config.
 
 The config is a dict (or the YAML it is kept in) with the sections `null_injection`,
 `outlier_injection`, `duplicate_injection`, `freshness_issues`, `format_violations` and
-`schema_drift`, each with its own `enabled` switch, and a `seed`.
+`schema_drift`, each with its own `enabled` switch, a `seed` and, if wanted, a `generator`.
 """
 
 from __future__ import annotations
@@ -19,9 +19,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assay.functions.uniform import SLICES, digest, hit, normal, row_key, uniform
+from assay.functions.uniform import Draws, digest, row_key
 
 KEY = "__row_key"
+GENERATOR = "xxhash64"
 NOISE_SIGMA = 0.01
 NOISE_COLUMNS = 3
 
@@ -129,54 +130,57 @@ def _replace(df: DataFrame, new: dict[str, Column]) -> DataFrame:
 
 
 def _drawn(
-    df: DataFrame, op: str, rates: Sequence[tuple[str, float]], key: Sequence[str], seed: int
+    df: DataFrame, draws: Draws, rates: Sequence[tuple[str, float]]
 ) -> tuple[DataFrame, list[tuple[str, Column]], list[str]]:
-    """Whether each of the named columns is hit, four columns sharing one digest per row.
+    """Whether each of the named columns is hit.
 
-    Gives the frame with the digests as helper columns, (column, predicate) pairs for the columns
-    that are there, and the helpers' names. A column's draw depends on its place in the config.
+    Gives the frame with helper columns, (column, predicate) pairs for the columns that are
+    there, and the helpers' names. A column's draw depends on its place in the config.
     """
-    helpers, hits = {}, []
-    for i, (name, rate) in enumerate(rates):
-        if name in df.columns:
-            helper = f"__{op}_{i // SLICES}"
-            helpers[helper] = digest(seed, op, str(i // SLICES), _key(key))
-            hits.append((name, hit(F.col(helper), rate, i % SLICES)))
+    helpers = draws.helpers(len(rates))
+    hits = [(name, draws.hit(i, rate)) for i, (name, rate) in enumerate(rates) if name in df.columns]
     return _replace(df, helpers), hits, list(helpers)
 
 
-def inject_nulls(df: DataFrame, config: dict, key: Sequence[str], seed: int = 42) -> DataFrame:
+def inject_nulls(
+    df: DataFrame, config: dict, key: Sequence[str], seed: int = 42, generator: str = GENERATOR
+) -> DataFrame:
     """Nulls at a rate per column; absent columns are skipped."""
     if not config.get("enabled"):
         return df
     rates = [(rule["column"], rule["null_rate"]) for rule in config.get("columns", [])]
-    out, hits, helpers = _drawn(df, "null", rates, key, seed)
+    out, hits, helpers = _drawn(df, Draws(generator, seed, "null", _key(key)), rates)
     return _replace(out, {name: F.when(~drawn, F.col(name)) for name, drawn in hits}).drop(*helpers)
 
 
-def inject_outliers(df: DataFrame, config: dict, key: Sequence[str], seed: int = 42) -> DataFrame:
+def inject_outliers(
+    df: DataFrame, config: dict, key: Sequence[str], seed: int = 42, generator: str = GENERATOR
+) -> DataFrame:
     """A pick from a list, or uniform in [min, max), at a rate per column; overwrites nulls too."""
-    return _inject_values(df, "outlier", config, "values", key, seed)
+    return _inject_values(df, "outlier", config, "values", key, seed, generator)
 
 
-def inject_format(df: DataFrame, config: dict, key: Sequence[str], seed: int = 42) -> DataFrame:
+def inject_format(
+    df: DataFrame, config: dict, key: Sequence[str], seed: int = 42, generator: str = GENERATOR
+) -> DataFrame:
     """A pick from a list of bad values at a rate per column."""
-    return _inject_values(df, "format", config, "inject_values", key, seed)
+    return _inject_values(df, "format", config, "inject_values", key, seed, generator)
 
 
 def _inject_values(
-    df: DataFrame, op: str, config: dict, listed: str, key: Sequence[str], seed: int
+    df: DataFrame, op: str, config: dict, listed: str, key: Sequence[str], seed: int, generator: str
 ) -> DataFrame:
     if not config.get("enabled"):
         return df
-    rules = {rule["column"]: rule for rule in config.get("rules", [])}
-    rates = [(name, rule["inject_rate"]) for name, rule in rules.items()]
-    out, hits, helpers = _drawn(df, op, rates, key, seed)
+    rules = config.get("rules", [])
+    places = {rule["column"]: i for i, rule in enumerate(rules)}
+    rates = [(rule["column"], rule["inject_rate"]) for rule in rules]
+    out, hits, helpers = _drawn(df, Draws(generator, seed, op, _key(key)), rates)
     new = {}
     for name, drawn in hits:
-        rule, dtype = rules[name], df.schema[name].dataType
-        # Only rows that are hit pay for the digest of the value.
-        draw = uniform(digest(seed, f"{op}_value", name, _key(key)))
+        rule, dtype = rules[places[name]], df.schema[name].dataType
+        # Only rows that are hit pay for the value's draw.
+        draw = Draws(generator, seed, f"{op}_value", _key(key), name).uniform()
         if listed in rule:
             value = _pick(rule[listed], draw, dtype)
         else:
@@ -186,13 +190,16 @@ def _inject_values(
     return _replace(out, new).drop(*helpers)
 
 
-def inject_stale(df: DataFrame, config: dict, key: Sequence[str], seed: int = 42) -> DataFrame:
+def inject_stale(
+    df: DataFrame, config: dict, key: Sequence[str], seed: int = 42, generator: str = GENERATOR
+) -> DataFrame:
     """Timestamps moved back by whole days, each column drawn by itself."""
     if not config.get("enabled"):
         return df
     days, rate = int(config.get("backdate_days", 7)), config.get("affected_rate", 0.1)
     names = config.get("columns", TRIP_CONFIG["freshness_issues"]["columns"])
-    out, hits, helpers = _drawn(df, "stale", [(name, rate) for name in names], key, seed)
+    draws = Draws(generator, seed, "stale", _key(key))
+    out, hits, helpers = _drawn(df, draws, [(name, rate) for name in names])
     moved = F.expr(f"interval {days} days")
     return _replace(
         out, {name: F.when(drawn, F.col(name) - moved).otherwise(F.col(name)) for name, drawn in hits}
@@ -242,7 +249,12 @@ def _exact_count(df: DataFrame, op: str, seed: int, total: DataFrame, rate: floa
 
 
 def inject_duplicates(
-    df: DataFrame, config: dict, key: Sequence[str], seed: int = 42, exact_count: bool = False
+    df: DataFrame,
+    config: dict,
+    key: Sequence[str],
+    seed: int = 42,
+    generator: str = GENERATOR,
+    exact_count: bool = False,
 ) -> DataFrame:
     """Exact copies, then near copies with normal noise on the first three double columns.
 
@@ -259,10 +271,10 @@ def inject_duplicates(
     if exact_count:
         out = _counted_copies(out, exact, near, seed)
     else:
-        # One digest decides all copies of a row: exact, near, and near of the exact copy.
-        out = out.withColumn("__draws", digest(seed, "copies", "", F.col(KEY)))
-        dig, pool = F.col("__draws"), near / (1 + exact)
-        x, n, xn = hit(dig, exact), hit(dig, pool, 1), hit(dig, pool, 2)
+        # Three draws decide all copies of a row: exact, near, and near of the exact copy.
+        draws = Draws(generator, seed, "copies", F.col(KEY))
+        helpers, pool = draws.helpers(3), near / (1 + exact)
+        x, n, xn = draws.hit(0, exact), draws.hit(1, pool), draws.hit(2, pool)
         # Written out case by case: an array filter would take the explode out of generated code.
         marks = (
             F.when(~x & ~n, _marks(""))
@@ -272,17 +284,16 @@ def inject_duplicates(
             .when(xn, _marks("", "|x", "|x|n"))
             .otherwise(_marks("", "|x"))
         )
-        out = _mark(out, marks).drop("__draws")
+        out = _mark(_replace(out, helpers), marks).drop(*helpers)
     if near > 0:
         noisy = [f.name for f in df.schema if isinstance(f.dataType, T.DoubleType)][:NOISE_COLUMNS]
         is_near = F.col("__copy").endswith("|n")
+        noise = {name: Draws(generator, seed, "noise", F.col(KEY), name).normal() for name in noisy}
         out = _replace(
             out,
             {
-                name: F.when(
-                    is_near, F.col(name) + normal(digest(seed, "noise", name, F.col(KEY))) * NOISE_SIGMA
-                ).otherwise(F.col(name))
-                for name in noisy
+                name: F.when(is_near, F.col(name) + drawn * NOISE_SIGMA).otherwise(F.col(name))
+                for name, drawn in noise.items()
             },
         )
     out = out.drop("__copy")
@@ -340,14 +351,16 @@ def corrupt(
     df: DataFrame, config: dict, key: Sequence[str], exact_count: bool = False, keep_key: bool = False
 ) -> DataFrame:
     """All stages in their fixed order: nulls, outliers, copies, backdating, formats, drift,
-    integer repair. `keep_key` leaves the row key in, with `|x` and `|n` marking copies."""
-    seed = config.get("seed", 42)
+    integer repair. `keep_key` leaves the row key in, with `|x` and `|n` marking copies. The
+    config may name a `generator`; exact counts always use md5."""
+    how = {"seed": config.get("seed", 42), "generator": config.get("generator", GENERATOR)}
+    copies = config.get("duplicate_injection", {})
     out = df.withColumn(KEY, row_key(key))
-    out = inject_nulls(out, config.get("null_injection", {}), [KEY], seed)
-    out = inject_outliers(out, config.get("outlier_injection", {}), [KEY], seed)
-    out = inject_duplicates(out, config.get("duplicate_injection", {}), [KEY], seed, exact_count)
-    out = inject_stale(out, config.get("freshness_issues", {}), [KEY], seed)
-    out = inject_format(out, config.get("format_violations", {}), [KEY], seed)
+    out = inject_nulls(out, config.get("null_injection", {}), [KEY], **how)
+    out = inject_outliers(out, config.get("outlier_injection", {}), [KEY], **how)
+    out = inject_duplicates(out, copies, [KEY], **how, exact_count=exact_count)
+    out = inject_stale(out, config.get("freshness_issues", {}), [KEY], **how)
+    out = inject_format(out, config.get("format_violations", {}), [KEY], **how)
     out = inject_drift(out, config.get("schema_drift", {}))
     out = restore_integers(out, df.schema)
     return out if keep_key else out.drop(KEY)

@@ -25,7 +25,7 @@ def _rounded_sql(columns, digits=4):
     f"WITH {I.FACT}, {I.NULLED} SELECT {_KEYS}, l_tax, l_extendedprice, l_discount, l_quantity FROM nulled",
 )
 def inject_nulls(spark, d):
-    out = C.inject_nulls(I.fact(spark, d), I.CONFIG["null_injection"], I.KEY)
+    out = C.inject_nulls(I.fact(spark, d), I.CONFIG["null_injection"], I.KEY, generator=I.GENERATOR)
     return out.select(*I.KEY, "l_tax", "l_extendedprice", "l_discount", "l_quantity")
 
 
@@ -35,7 +35,7 @@ def inject_nulls(spark, d):
 SELECT {_KEYS}, {_rounded_sql(['l_tax', *_NOISY])} FROM o""",
 )
 def inject_outliers(spark, d):
-    out = C.inject_outliers(I.fact(spark, d), I.CONFIG["outlier_injection"], I.KEY)
+    out = C.inject_outliers(I.fact(spark, d), I.CONFIG["outlier_injection"], I.KEY, generator=I.GENERATOR)
     return _rounded(out.select(*I.KEY, "l_tax", *_NOISY), ["l_tax", *_NOISY])
 
 
@@ -49,7 +49,7 @@ def inject_outliers_integer(spark, d):
     """Draws that go into an integer column are rounded, half to even."""
     whole = I.fact(spark, d).withColumn("l_qty", F.col("l_quantity").cast("bigint"))
     config = {"enabled": True, "rules": [{"column": "l_qty", "min": -10.0, "max": 1000.0, "inject_rate": 0.25}]}
-    return C.inject_outliers(whole, config, I.KEY).select(*I.KEY, "l_qty")
+    return C.inject_outliers(whole, config, I.KEY, generator=I.GENERATOR).select(*I.KEY, "l_qty")
 
 
 _EXACT = I.copies("exacts", "fact", 0.03, 0.0)
@@ -61,7 +61,7 @@ _EXACT = I.copies("exacts", "fact", 0.03, 0.0)
 )
 def inject_exact_duplicates(spark, d):
     config = {"enabled": True, "exact_duplicates": 0.03}
-    return C.inject_duplicates(I.fact(spark, d), config, I.KEY).select(*I.COLUMNS)
+    return C.inject_duplicates(I.fact(spark, d), config, I.KEY, generator=I.GENERATOR).select(*I.COLUMNS)
 
 
 _NEAR = I.copies("nears", "fact", 0.0, 0.02)
@@ -74,7 +74,7 @@ SELECT {_KEYS}, {_rounded_sql(_NOISY, 6)} FROM noisy""",
 )
 def inject_near_duplicates(spark, d):
     config = {"enabled": True, "near_duplicates": 0.02}
-    out = C.inject_duplicates(I.fact(spark, d), config, I.KEY)
+    out = C.inject_duplicates(I.fact(spark, d), config, I.KEY, generator=I.GENERATOR)
     return _rounded(out.select(*I.KEY, *_NOISY), _NOISY, 6)
 
 
@@ -87,7 +87,7 @@ SELECT {_KEYS}, unnest(CASE WHEN rn <= floor(n * 0.03::DOUBLE) THEN [0, 1] ELSE
 def inject_exact_count(spark, d):
     """The exact number of copies, int(n * rate), found without a global sort."""
     keyed = I.fact(spark, d).withColumn(C.KEY, C.row_key(I.KEY))
-    out = C.inject_duplicates(keyed, {"enabled": True, "exact_duplicates": 0.03}, [C.KEY], exact_count=True)
+    out = C.inject_duplicates(keyed, {"enabled": True, "exact_duplicates": 0.03}, [C.KEY], generator=I.GENERATOR, exact_count=True)
     return out.select(*I.KEY, F.col(C.KEY).endswith("|x").cast("int").alias("copy"))
 
 
@@ -98,7 +98,7 @@ def inject_exact_count(spark, d):
 )
 def inject_stale(spark, d):
     config = {**I.CONFIG["freshness_issues"], "enabled": True}
-    return C.inject_stale(I.fact(spark, d), config, I.KEY).select(*I.KEY, "l_shipdate")
+    return C.inject_stale(I.fact(spark, d), config, I.KEY, generator=I.GENERATOR).select(*I.KEY, "l_shipdate")
 
 
 @query(
@@ -107,7 +107,7 @@ def inject_stale(spark, d):
 SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_returnflag FROM f""",
 )
 def inject_format(spark, d):
-    out = C.inject_format(I.fact(spark, d), I.CONFIG["format_violations"], I.KEY)
+    out = C.inject_format(I.fact(spark, d), I.CONFIG["format_violations"], I.KEY, generator=I.GENERATOR)
     return out.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag")
 
 

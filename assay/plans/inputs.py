@@ -30,8 +30,11 @@ LINEITEM_SCHEMA = (
 # The shipped rates on the stand-in columns: l_tax for passenger_count, l_extendedprice for
 # fare_amount, l_discount for payment_type and total_amount, l_quantity for trip_distance,
 # l_returnflag for store_and_fwd_flag, l_linenumber for RatecodeID.
+# The md5 generator can be repeated in SQL.
+GENERATOR = "md5"
 CONFIG = {
     "seed": 42,
+    "generator": GENERATOR,
     "null_injection": {
         "enabled": True,
         "columns": [
@@ -236,8 +239,8 @@ OUTLIED = f"outlied AS ({OUTLIERS} FROM nulled)"
 
 def copies(name: str, source: str, exact: float, near: float) -> str:
     """CTE `name`: the rows of `source`, chosen ones several times, a copy's key with a suffix."""
-    x = f"{u('copies', '')} < {exact}::DOUBLE"
-    n = [f"{u('copies', '', i)} < ({near / (1 + exact)!r})::DOUBLE" for i in (1, 2)]
+    x = f"{u('copies', '0')} < {exact}::DOUBLE"
+    n = [f"{u('copies', '0', i)} < ({near / (1 + exact)!r})::DOUBLE" for i in (1, 2)]
     return f"""{name}_marked AS (
   SELECT *, unnest(list_filter(['', CASE WHEN {x} THEN '|x' END, CASE WHEN {n[0]} THEN '|n' END,
     CASE WHEN {x} AND {n[1]} THEN '|x|n' END], lambda m: m IS NOT NULL)) AS copy FROM {source}),

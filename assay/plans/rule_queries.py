@@ -252,7 +252,7 @@ FROM l GROUP BY column_name""",
 )
 def calibrate_thresholds(spark, d):
     """Completeness lines from each column's own months: the 5 % quantile less two points."""
-    past = inject_nulls(I.fact(spark, d), I.CONFIG["null_injection"], I.KEY)
+    past = inject_nulls(I.fact(spark, d), I.CONFIG["null_injection"], I.KEY, generator=I.GENERATOR)
     columns = ["l_tax", "l_quantity", "l_extendedprice"]
     per_month = past.groupBy(*I.BY).agg(*[R.completeness(c).alias(c) for c in columns])
     long = per_month.unpivot(I.BY, columns, "column_name", "value")
@@ -451,7 +451,7 @@ FROM m WHERE value < 0.98::DOUBLE AND (1 - value) * 100 <= 5""",
 def flagged_partitions(spark, d):
     """Partitions that need action although their status is OK: one WARNING scores 90."""
     rules = [r for r in I.RULES if r.column == "l_quantity" and r.rule_type == "Completeness"]
-    past = inject_nulls(I.fact(spark, d), I.CONFIG["null_injection"], I.KEY)
+    past = inject_nulls(I.fact(spark, d), I.CONFIG["null_injection"], I.KEY, generator=I.GENERATOR)
     out = V.scan_results(R.evaluate(past, rules, I.BY, I.TABLE))
     return out.where("needs_action AND overall_score = 90").select(
         "partition", "overall_score", "overall_status", "violation_count"

@@ -268,7 +268,7 @@ def failed_evaluations(spark, d):
     from assay.operators.rules import evaluate, rule_results
 
     rule = [r for r in I.RULES if r.column == "l_quantity" and r.rule_type == "Completeness"]
-    found = evaluate(inject_nulls(I.fact(spark, d), I.CONFIG["null_injection"], I.KEY), rule, I.BY, I.TABLE)
+    found = evaluate(inject_nulls(I.fact(spark, d), I.CONFIG["null_injection"], I.KEY, generator=I.GENERATOR), rule, I.BY, I.TABLE)
     return V.failed_evaluations(found, rule_results(found)).select("partition", "row_count")
 
 

@@ -60,13 +60,11 @@ def stream_scans(spark, d):
 
 
 def _events_stream(spark, d):
-    """The events table as a stream of its one file, found by name in the table's folder."""
+    """The events table, a file or a folder of files, as a stream."""
     batch = I.table(spark, d, "events")
-    return (
-        spark.readStream.format("parquet").schema(batch.schema)
-        .option("pathGlobFilter", "events.parquet").load(d)
-        .withColumn("ts", F.col("ts").cast("timestamp"))
-    )
+    # A pattern, because a stream's path proper has to be a folder.
+    stream = E.read_stream(spark, f"{d}/events.parquet*", batch.schema)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
