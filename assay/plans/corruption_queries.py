@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from assay.operators import corrupt as C
 from assay.plans import inputs as I
 from assay.plans.registry import query
+from assay.sources.tables import spread
 
 _KEYS = ", ".join(I.KEY)
 _NOISY = ["l_quantity", "l_extendedprice", "l_discount"]
@@ -158,3 +159,33 @@ FROM dirty GROUP BY year, month""",
 )
 def corruption_report(spark, d):
     return C.corruption_report(I.corrupted(spark, d, keep_key=True), I.BY)
+
+
+_SHARES = {"l_tax": 0.15 * 0.98, "l_extendedprice": 0.08 * 0.97, "l_discount": 0.05 * 0.99, "l_quantity": 0.03 * 0.98}
+
+
+@query(
+    "corruption_rates",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count(*) AS rows_before, true AS nulls_as_configured FROM lineitem"
+        for c in _SHARES
+    ),
+)
+def corruption_rates(spark, d):
+    """The whole chain with the fast generator, which SQL cannot repeat draw by draw: the share of
+    nulls left in each column lies within five standard deviations of what the config asks for."""
+    config = {**I.CONFIG, "generator": "xxhash64"}
+    out = C.corrupt(spread(I.fact(spark, d)), config, I.KEY, keep_key=True)
+    before = ~F.col(C.KEY).endswith("|x") & ~F.col(C.KEY).endswith("|n")
+    one = out.where(before).agg(F.count("*").alias("n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in _SHARES])
+    rows = [
+        F.struct(
+            F.lit(c).alias("column_name"),
+            F.col("n").alias("rows_before"),
+            (F.abs(F.col(c) / F.col("n") - p) < 5 * F.sqrt(F.lit(p * (1 - p)) / F.col("n"))).alias(
+                "nulls_as_configured"
+            ),
+        )
+        for c, p in _SHARES.items()
+    ]
+    return one.select(F.inline(F.array(*rows)))

@@ -22,6 +22,7 @@ HEADLINE = [
     "evaluate_ruleset",
     "scan_results",
     "corrupt_table",
+    "corruption_rates",
     "inject_exact_count",
     "quarantine_counts",
     "quarantine_rows",
