@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 from assay.session import broadcast_checked
@@ -164,7 +164,7 @@ def _breach(value: Column) -> Column:
     )
 
 
-_ALARM_COLUMNS = ("alarm", "metric", "period", "statistic", "threshold", "comparison")
+ALARM_COLUMNS = ("alarm", "metric", "period", "statistic", "threshold", "comparison")
 
 
 def alarm_windows(metrics: DataFrame, alarms: DataFrame) -> DataFrame:
@@ -173,13 +173,22 @@ def alarm_windows(metrics: DataFrame, alarms: DataFrame) -> DataFrame:
     `alarms` is configuration of a few rows (see `alarm_table`) and is broadcast after a check of
     its size: an equality on the metric name, with the dimensions compared on matching rows.
     """
-    joined = metrics.join(broadcast_checked(alarms, 10_000), F.col("name") == F.col("metric")).where(
+    points = alarm_points(metrics, alarms).withColumn("period_start", period_start(F.col("ts"), F.col("period")))
+    return alarm_values(points.groupBy(*ALARM_COLUMNS, "period_start"))
+
+
+def alarm_points(metrics: DataFrame, alarms: DataFrame) -> DataFrame:
+    """Metric points beside each alarm that watches them."""
+    return metrics.join(broadcast_checked(alarms, 10_000), F.col("name") == F.col("metric")).where(
         matches(F.col("alarm_dimensions"), F.col("dimensions"))
     )
+
+
+def alarm_values(grouped: GroupedData) -> DataFrame:
+    """The statistic each alarm asks for and whether it breaches, from points grouped by
+    `ALARM_COLUMNS` and `period_start`."""
     return (
-        joined.withColumn("period_start", period_start(F.col("ts"), F.col("period")))
-        .groupBy(*_ALARM_COLUMNS, "period_start")
-        .agg(
+        grouped.agg(
             F.avg("value").alias("Average"),
             F.min("value").alias("Minimum"),
             F.max("value").alias("Maximum"),

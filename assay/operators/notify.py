@@ -29,12 +29,21 @@ def alerts(issues: DataFrame, app: str = "assay") -> DataFrame:
 
 
 def alert_decisions(alert_rows: DataFrame, channel: str = "alert", delivery: str = "issue_id") -> DataFrame:
-    """The `notification_sent` decision of each alert."""
+    """The `notification_sent` decision of each alert. Alerts may name their table and partition."""
     severity, message = F.col("severity"), F.col("message")
+
+    def known(name: str, default: str) -> Column:
+        return (F.col(name) if name in alert_rows.columns else F.lit(default)).alias(name)
+
     return alert_rows.select(
-        "issue_id",
         F.lit("notification_sent").alias("decision_type"),
-        F.left(message, F.lit(PREVIEW_LENGTH)).alias("message_preview"),
+        known("table_name", "unknown"),
+        known("partition", ""),
+        F.create_map(
+            F.lit("issue_id"), F.col("issue_id"),
+            F.lit("severity"), severity,
+            F.lit("message_preview"), F.left(message, F.lit(PREVIEW_LENGTH)),
+        ).alias("context"),
         F.concat(
             F.upper(severity), F.lit(" alert sent for issue "), F.left("issue_id", F.lit(8)), F.lit(": "),
             F.left(message, F.lit(REASON_LENGTH)),
@@ -73,11 +82,30 @@ def violation_decisions(violation_rows: DataFrame) -> DataFrame:
         F.lit("violation_detected").alias("decision_type"),
         "table_name",
         "partition",
-        "evaluation_id",
-        "position",
+        F.create_map(
+            F.lit("evaluation_id"), F.col("evaluation_id"), F.lit("position"), F.col("position").cast("string")
+        ).alias("context"),
         F.concat(F.col("severity"), F.lit(" "), F.col("type"), F.lit(" violation: "), F.col("rule")).alias(
             "reasoning"
         ),
         F.lit("parsed").alias("action_taken"),
         F.concat(F.lit("recorded for "), F.array_join("affected_columns", ", ")).alias("outcome"),
     )
+
+
+def diagnosis_decisions(actions: DataFrame) -> DataFrame:
+    """A `diagnosis_complete` decision per violation that an action was chosen for."""
+    return actions.select(
+        F.lit("diagnosis_complete").alias("decision_type"),
+        "table_name",
+        "partition",
+        F.create_map(F.lit("evaluation_id"), F.col("evaluation_id"), F.lit("issue_id"), F.col("issue_id")).alias(
+            "context"
+        ),
+        F.concat(
+            F.col("severity"), F.lit(" "), F.col("type"), F.lit(" violation, "),
+            F.col("failing_scans").cast("string"), F.lit(" failing scans on record"),
+        ).alias("reasoning"),
+        F.col("recommended_action").alias("action_taken"),
+        F.concat(F.lit("confidence "), F.col("confidence")).alias("outcome"),
+    )

@@ -46,7 +46,7 @@ def normalize_result(result: Column) -> Column:
         F.coalesce(described, result["Name"], F.lit("")).alias("rule"),
         F.when(is_failed(result["Result"]), "FAILED").otherwise(F.upper(result["Result"])).alias("state"),
         F.transform_values(
-            result["EvaluatedMetrics"], lambda k, v: F.coalesce(v, F.lit(0.0))
+            result["EvaluatedMetrics"], lambda k, v: F.coalesce(v.try_cast("double"), F.lit(0.0))
         ).alias("evaluated_metrics"),
         F.coalesce(
             F.nullif(result["EvaluationMessage"], F.lit("")), described, F.lit("")

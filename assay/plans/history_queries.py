@@ -238,7 +238,10 @@ def alerts(spark, d):
   'alert publish (' || severity || ')' AS action_taken, 'Delivered: ' || issue_id AS outcome FROM issues""",
 )
 def alert_decisions(spark, d):
-    return N.alert_decisions(_issues(spark, d))
+    out = N.alert_decisions(_issues(spark, d))
+    return out.select(
+        "context.issue_id", "decision_type", "context.message_preview", "reasoning", "action_taken", "outcome"
+    )
 
 
 # --- summaries -----------------------------------------------------------------------------
@@ -325,4 +328,5 @@ def live_rows(spark, d):
   'recorded for ' || col AS outcome FROM violations""",
 )
 def violation_decisions(spark, d):
-    return N.violation_decisions(V.violations(I.evaluations(spark, d))).drop("position")
+    out = N.violation_decisions(V.violations(I.evaluations(spark, d)))
+    return out.withColumn("evaluation_id", F.col("context.evaluation_id")).drop("context")

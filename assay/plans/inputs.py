@@ -176,11 +176,15 @@ def remediations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One metric point per event; the event type decides the metric."""
+    return metric_points(table(spark, sf_dir, "events"))
+
+
+def metric_points(events: DataFrame) -> DataFrame:
     kind, user = F.col("event_type"), F.col("user_id")
     table_name = F.when(user % 2 == 0, "lineitem").otherwise("orders")
     level = F.when(user % 3 == 0, "CRITICAL").otherwise("WARNING")
     action = F.when(user % 3 == 0, "quarantine").otherwise("notify")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("ts").cast("timestamp").alias("ts"),
         F.when(kind == "signup", "OverallQualityScore")
         .when(kind == "error", "AnomaliesDetected")

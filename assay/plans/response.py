@@ -72,12 +72,15 @@ def respond(evaluations: DataFrame, history: DataFrame, ts: Column) -> Response:
     )
     alert_rows = N.alerts(
         acted.where(F.col("alert_severity").isNotNull()).select(
-            "issue_id", F.col("alert_severity").alias("severity"), message.alias("message")
+            "issue_id", "table_name", "partition", F.col("alert_severity").alias("severity"), message.alias("message")
         )
     )
-    decided = N.violation_decisions(violation_rows).select("decision_type", "reasoning", "action_taken", "outcome")
-    sent = N.alert_decisions(alert_rows).select("decision_type", "reasoning", "action_taken", "outcome")
-    decisions = decided.unionByName(sent).withColumn("ts", ts)
+    decisions = (
+        N.violation_decisions(violation_rows)
+        .unionByName(N.diagnosis_decisions(acted))
+        .unionByName(N.alert_decisions(alert_rows))
+        .withColumn("ts", ts)
+    )
     points = M.scan_metrics(scans).unionByName(M.decision_metrics(decisions))
     return Response(scans, violation_rows, acted, alert_rows, decisions, points)
 

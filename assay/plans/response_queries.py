@@ -195,23 +195,29 @@ SELECT issue_id, CASE severity WHEN 'CRITICAL' THEN 'critical' ELSE 'warning' EN
 def response_alerts(spark, d):
     """The whole response plan, from stored evaluations to the alerts it would send."""
     found = P.stored(I.evaluations(spark, d), scratch_dir(spark, "evaluations"))
-    return P.respond(found, I.scans(spark, d), F.lit(_NOW).cast("timestamp_ntz")).alerts
+    out = P.respond(found, I.scans(spark, d), F.lit(_NOW).cast("timestamp_ntz")).alerts
+    return out.drop("table_name", "partition")
 
 
 @query(
     "response_decisions",
     f"""WITH {_SCORED}, a AS (SELECT *, md5(evaluation_id || '#' || position) AS issue_id,
     CASE severity WHEN 'CRITICAL' THEN 'critical' ELSE 'warning' END AS sent FROM full_rows)
-SELECT 'violation_detected' AS decision_type, severity || ' ' || type || ' violation: ' || rule AS reasoning,
+SELECT 'violation_detected' AS decision_type, 'lineitem' AS table_name, "partition",
+  severity || ' ' || type || ' violation: ' || rule AS reasoning,
   'parsed' AS action_taken, 'recorded for ' || col AS outcome, TIMESTAMP '{_NOW}' AS ts FROM a
-UNION ALL SELECT 'notification_sent', upper(sent) || ' alert sent for issue ' || left(issue_id, 8) || ': '
+UNION ALL SELECT 'diagnosis_complete', 'lineitem', "partition", severity || ' ' || type
+  || ' violation, 1 failing scans on record', CASE severity WHEN 'CRITICAL' THEN 'quarantine_and_notify'
+  ELSE 'notify_only' END, 'confidence MEDIUM', TIMESTAMP '{_NOW}' FROM a
+UNION ALL SELECT 'notification_sent', 'lineitem', "partition", upper(sent) || ' alert sent for issue ' || left(issue_id, 8) || ': '
   || left(rule || ' on lineitem ' || "partition" || ': '
   || CASE severity WHEN 'CRITICAL' THEN 'quarantine_and_notify' ELSE 'notify_only' END, 100),
   'alert publish (' || sent || ')', 'Delivered: ' || issue_id, TIMESTAMP '{_NOW}' FROM a""",
 )
 def response_decisions(spark, d):
     found = P.stored(I.evaluations(spark, d), scratch_dir(spark, "evaluations"))
-    return P.respond(found, I.scans(spark, d), F.lit(_NOW).cast("timestamp_ntz")).decisions
+    out = P.respond(found, I.scans(spark, d), F.lit(_NOW).cast("timestamp_ntz")).decisions
+    return out.drop("context")
 
 
 # --- metrics and alarms ------------------------------------------------------------------------
@@ -308,6 +314,7 @@ def alarm_cost(spark, d):
     return _alarm(spark, d, 2)
 
 
+ALARMS_SQL = " UNION ALL ".join(_alarm_sql(n) for n in _ALARMS_SQL)
 _STATES = " UNION ALL ".join(_alarm_sql(n, f"ts >= TIMESTAMP '{_NOW}' - INTERVAL 5 MINUTE AND ts < TIMESTAMP '{_NOW}'")
                              for n in _ALARMS_SQL)
 _ALARM_ROWS = ", ".join(f"('{n}', '{m}', {t}::DOUBLE)" for n, (m, _, t, *_x) in _ALARMS_SQL.items())
@@ -329,7 +336,7 @@ def alarm_states(spark, d):
 
 @query(
     "alarm_days",
-    f"""WITH {I.METRICS}, w AS ({' UNION ALL '.join(_alarm_sql(n) for n in _ALARMS_SQL)})
+    f"""WITH {I.METRICS}, w AS ({ALARMS_SQL})
 SELECT alarm, CAST(period_start AS DATE) AS day, count(*) AS periods, count(*) FILTER (breach) AS breaches
 FROM w GROUP BY ALL""",
 )

@@ -5,9 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from assay.operators import metrics as M
 from assay.operators import violations as V
 from assay.plans import inputs as I
 from assay.plans.registry import query
+from assay.plans.response_queries import ALARMS_SQL
 from assay.session import scratch_dir
 from assay.streaming import events as E
 
@@ -80,22 +82,36 @@ def stream_dedup(spark, d):
 
 @query(
     "stream_alarms",
+    f"""WITH {I.METRICS}, w AS ({ALARMS_SQL})
+SELECT * FROM w WHERE period_start + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
+)
+def stream_alarms(spark, d):
+    """5-minute windows of three alarms, emitted once the watermark has passed their end."""
+    path = scratch_dir(spark, "alarms")
+    points = I.metric_points(_events_stream(spark, d))
+    windows = E.alarm_stream(points, M.alarm_table(spark, M.default_alarms("lineitem")))
+    E.run_available(
+        windows.writeStream.format("parquet").option("path", path).outputMode("append"),
+        scratch_dir(spark, "checkpoint"),
+    )
+    out = spark.read.schema(windows.schema).parquet(path)
+    return out.withColumns(
+        {"period_start": F.col("period_start").cast("timestamp_ntz"), "value": F.round("value", 4)}
+    )
+
+
+@query(
+    "stream_metric_windows",
     f"""WITH {I.METRICS}, w AS (SELECT name, time_bucket(INTERVAL 5 MINUTE, ts) AS period_start,
     round(avg(value), 8) AS average, min(value) AS minimum, max(value) AS maximum, round(sum(value), 4) AS total,
     count(*) AS sample_count FROM metrics GROUP BY ALL)
-SELECT *, total > 100 AS breach FROM w
+SELECT * FROM w
 WHERE period_start + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
 )
-def stream_alarms(spark, d):
+def stream_metric_windows(spark, d):
     """5-minute windows per metric, emitted once the watermark has passed their end."""
     path = scratch_dir(spark, "windows")
-    kind = F.col("event_type")
-    points = _events_stream(spark, d).select(
-        "ts", "value",
-        F.when(kind == "signup", "OverallQualityScore").when(kind == "error", "AnomaliesDetected")
-        .when(kind == "purchase", "RemediationActions").when(kind == "view", "AgentTokenCost")
-        .otherwise("ToolCallDuration").alias("name"),
-    )
+    points = I.metric_points(_events_stream(spark, d))
     windows = E.metric_windows(points)
     E.run_available(
         windows.writeStream.format("parquet").option("path", path).outputMode("append"),
@@ -105,5 +121,5 @@ def stream_alarms(spark, d):
     return out.select(
         "name", F.col("period_start").cast("timestamp_ntz").alias("period_start"),
         F.round("average", 8).alias("average"), "minimum", "maximum", F.round("total", 4).alias("total"),
-        "sample_count", (F.round("total", 4) > 100).alias("breach"),
+        "sample_count",
     )

@@ -12,15 +12,19 @@ from assay.operators.violations import normalize_result
 _CATALOG_TABLE = (
     "struct<DatabaseName:string,TableName:string,AdditionalOptions:struct<pushDownPredicate:string>>"
 )
+# Metric values may be quoted numbers; they are read as text and cast.
+_RAW_RESULTS = (
+    "array<struct<Name:string,Description:string,Result:string,"
+    "EvaluatedMetrics:map<string,string>,EvaluationMessage:string>>"
+)
 RECORD_SCHEMA = (
     "detail struct<state:string,score:double,context:struct<databaseName:string,tableName:string>>, "
     f"DataSource map<string,{_CATALOG_TABLE}>, "
-    "RuleResults array<struct<Name:string,Description:string,Result:string,"
-    "EvaluatedMetrics:map<string,double>,EvaluationMessage:string>>, _corrupt_record string"
+    f"RuleResults {_RAW_RESULTS}, _corrupt_record string"
 )
 EVENT_SCHEMA = (
     "evaluation_id string, database string, table string, partition string, overall_state string, "
-    "rule_results array<struct<rule:string,state:string,evaluated_metrics:map<string,double>,"
+    "rule_results array<struct<rule:string,state:string,evaluated_metrics:map<string,string>,"
     "description:string>>"
 )
 
@@ -55,7 +59,7 @@ def read_results(
         partition_of_predicate(source["AdditionalOptions"]["pushDownPredicate"]).alias("partition"),
         F.coalesce("rec.detail.state", F.lit("UNKNOWN")).alias("run_state"),
         F.transform(
-            F.coalesce("rec.RuleResults", F.from_json(F.lit("[]"), _results_type())), normalize_result
+            F.coalesce("rec.RuleResults", F.array().cast(_RAW_RESULTS)), normalize_result
         ).alias("rule_results"),
         F.when(F.col("rec._corrupt_record").isNotNull(), "not a JSON record")
         .when(F.col("evaluation_id").isNull(), "no result id")
@@ -65,10 +69,14 @@ def read_results(
     return out.withColumn("overall_state", F.when(failed, "FAILED").otherwise("PASSED"))
 
 
-def _results_type() -> str:
-    return (
-        "array<struct<Name:string,Description:string,Result:string,"
-        "EvaluatedMetrics:map<string,double>,EvaluationMessage:string>>"
+def _event_result(result: Column) -> Column:
+    return F.struct(
+        result["rule"].alias("rule"),
+        result["state"].alias("state"),
+        F.transform_values(result["evaluated_metrics"], lambda k, v: v.try_cast("double")).alias(
+            "evaluated_metrics"
+        ),
+        result["description"].alias("description"),
     )
 
 
@@ -84,5 +92,5 @@ def read_events(
         F.coalesce("table", unknown).alias("table_name"),
         F.coalesce("partition", unknown).alias("partition"),
         F.coalesce("overall_state", F.lit("UNKNOWN")).alias("overall_state"),
-        "rule_results",
+        F.transform("rule_results", _event_result).alias("rule_results"),
     )

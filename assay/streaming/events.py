@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 from pyspark.sql.types import StructType
 
-from assay.operators.metrics import PERIOD_SECONDS
+from assay.operators.metrics import ALARM_COLUMNS, PERIOD_SECONDS, alarm_points, alarm_values
 from assay.operators.violations import scan_results, violations
 from assay.sources.audit import append_audit
 
@@ -106,3 +106,16 @@ def metric_windows(
             "sample_count",
         )
     )
+
+
+def alarm_stream(
+    metrics: DataFrame, alarms: DataFrame, period: int = PERIOD_SECONDS, delay: str = WATERMARK
+) -> DataFrame:
+    """The alarm windows of a metric stream, each emitted once the watermark has passed its end.
+
+    All alarms of a stream share one period. The alarm table is small and joined by broadcast.
+    """
+    points = alarm_points(metrics.withWatermark("ts", delay), alarms)
+    window = F.window("ts", f"{period} seconds").alias("period_start")
+    values = alarm_values(points.groupBy(*ALARM_COLUMNS, window))
+    return values.withColumn("period_start", F.col("period_start.start"))

@@ -111,7 +111,7 @@ def test_subjects(spark, severity, prefix):
     row = N.alerts(df, "lake").first()
     assert row.subject == f"[lake] {prefix}: Data Quality Issue 12345678"
     decision = N.alert_decisions(N.alerts(df)).first()
-    assert len(decision.message_preview) == 200 and decision.reasoning.endswith(": " + "m" * 100)
+    assert len(decision.context["message_preview"]) == 200 and decision.reasoning.endswith(": " + "m" * 100)
 
 
 def test_long_subjects_are_cut(spark):
@@ -132,9 +132,12 @@ def test_response_plan(spark):
     acted = out.actions.groupBy("recommended_action", "alert_severity").count().collect()
     assert {tuple(r) for r in acted} == {("quarantine_and_notify", "critical", 5), ("notify_only", "warning", 3)}
     assert out.actions.select("previous_scans", "confidence").distinct().collect() == [(5, "HIGH")]
-    assert out.decisions.count() == 16
+    assert out.decisions.count() == 24
+    assert {tuple(r) for r in out.decisions.select("table_name", "partition").distinct().collect()} == {
+        ("trips", "year=2025/month=09")
+    }
     assert {r.name: r["count"] for r in out.metrics.groupBy("name").count().collect()} == {
-        "OverallQualityScore": 2, "AnomaliesDetected": 2, "DecisionCount": 16,
+        "OverallQualityScore": 2, "AnomaliesDetected": 2, "DecisionCount": 24,
     }
     shared = {r.evaluation_id: r for r in D.shared_cause(events).collect()}
     assert shared["e1"].types == ["completeness", "distribution", "freshness"]

@@ -162,7 +162,7 @@ def test_raw_records_know_fail_only(spark):
 
 
 def test_events_with_lacking_fields(spark):
-    text = '{"evaluation_id": "e", "rule_results": [{"rule": "Completeness \\"a\\"", "state": "FAILED", "evaluated_metrics": {"m": 0.93}}]}'
+    text = '{"evaluation_id": "e", "rule_results": [{"rule": "Completeness \\"a\\"", "state": "FAILED", "evaluated_metrics": {"m": "0.93"}}]}'
     events = E.read_events(spark.createDataFrame([(text,), ("{}",)], "value string"))
     rows = {r.evaluation_id: r for r in V.with_violations(events).collect()}
     assert rows["e"].overall_score == 80 and rows["e"].table_name == rows["e"].partition == "unknown"
