@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from assay.operators.corrupt import corrupt
 from assay.operators.rules import Rule, evaluate
+from assay.plans.response import stored
+from assay.session import scratch_dir
 from assay.sources.tables import spread
 
 KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -134,6 +136,11 @@ def evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate(corrupted(spark, sf_dir), RULES, BY, TABLE, as_of=month_end())
 
 
+def stored_evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evaluations from a written table, for plans that start from them more than once."""
+    return stored(evaluations(spark, sf_dir), scratch_dir(spark, "evaluations"))
+
+
 def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored scan results: one per event; user and event type make the partition."""
     score = (F.floor("value").cast("bigint") % 11) * 10

@@ -12,7 +12,6 @@ from assay.operators import violations as V
 from assay.plans import inputs as I
 from assay.plans import response as P
 from assay.plans.registry import query
-from assay.session import scratch_dir
 
 _NOW = "2024-01-30 12:00:00"
 
@@ -21,7 +20,7 @@ _NOW = "2024-01-30 12:00:00"
 
 def _violation_context(spark, d):
     """Violations of every month, with the month's own scan as history."""
-    found = I.evaluations(spark, d)
+    found = I.stored_evaluations(spark, d)
     scans = V.scan_results(found).withColumn("ts", F.lit(_NOW).cast("timestamp_ntz"))
     rows = V.violations(found)
     return H.history_context(
@@ -73,7 +72,7 @@ def diagnosis_prompts(spark, d):
   md5(evaluation_id || '#' || position) AS issue_id FROM full_rows""",
 )
 def recommend_action(spark, d):
-    found = I.evaluations(spark, d)
+    found = I.stored_evaluations(spark, d)
     scans = V.scan_results(found).withColumn("ts", F.lit(_NOW).cast("timestamp_ntz"))
     out = P.actions(V.violations(found), scans)
     return out.select(
@@ -194,7 +193,7 @@ SELECT issue_id, CASE severity WHEN 'CRITICAL' THEN 'critical' ELSE 'warning' EN
 )
 def response_alerts(spark, d):
     """The whole response plan, from stored evaluations to the alerts it would send."""
-    found = P.stored(I.evaluations(spark, d), scratch_dir(spark, "evaluations"))
+    found = I.stored_evaluations(spark, d)
     out = P.respond(found, I.scans(spark, d), F.lit(_NOW).cast("timestamp_ntz")).alerts
     return out.drop("table_name", "partition")
 
@@ -215,7 +214,7 @@ UNION ALL SELECT 'notification_sent', 'lineitem', "partition", upper(sent) || '
   'alert publish (' || sent || ')', 'Delivered: ' || issue_id, TIMESTAMP '{_NOW}' FROM a""",
 )
 def response_decisions(spark, d):
-    found = P.stored(I.evaluations(spark, d), scratch_dir(spark, "evaluations"))
+    found = I.stored_evaluations(spark, d)
     out = P.respond(found, I.scans(spark, d), F.lit(_NOW).cast("timestamp_ntz")).decisions
     return out.drop("context")
 

@@ -399,7 +399,7 @@ def observed_values(spark, d):
 )
 def quality_score(spark, d):
     """The score from flat violation rows, joined back to the evaluations."""
-    found = I.evaluations(spark, d)
+    found = I.stored_evaluations(spark, d)
     return V.score_violations(found.select("evaluation_id"), V.violations(found)).select(
         "evaluation_id", "overall_score", "violation_count"
     )

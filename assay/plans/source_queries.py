@@ -13,9 +13,11 @@ from assay.operators import history as H
 from assay.operators import quarantine as Q
 from assay.operators import retention as T
 from assay.operators import violations as V
+from assay.operators.corrupt import inject_nulls
+from assay.operators.rules import evaluate, rule_results
 from assay.plans import inputs as I
 from assay.plans.registry import query
-from assay.plans.response import isolate
+from assay.plans.response import isolate, stored
 from assay.session import scratch_dir
 from assay.sources import audit as A
 from assay.sources import partitions as P
@@ -264,11 +266,9 @@ SELECT {I.PARTITION} AS "partition", row_count FROM m WHERE q < 0.98::DOUBLE""",
 )
 def failed_evaluations(spark, d):
     """Months whose only rule failed; months without a failure stop here."""
-    from assay.operators.corrupt import inject_nulls
-    from assay.operators.rules import evaluate, rule_results
-
-    rule = [r for r in I.RULES if r.column == "l_quantity" and r.rule_type == "Completeness"]
-    found = evaluate(inject_nulls(I.fact(spark, d), I.CONFIG["null_injection"], I.KEY, generator=I.GENERATOR), rule, I.BY, I.TABLE)
+    rules = [r for r in I.RULES if r.column == "l_quantity" and r.rule_type == "Completeness"]
+    past = inject_nulls(I.fact(spark, d), I.CONFIG["null_injection"], I.KEY, generator=I.GENERATOR)
+    found = stored(evaluate(past, rules, I.BY, I.TABLE), scratch_dir(spark, "evaluations"))
     return V.failed_evaluations(found, rule_results(found)).select("partition", "row_count")
 
 

@@ -16,7 +16,13 @@ DAY = "ds"
 
 def audit_id(natural_key: Sequence[str]) -> Column:
     """The id of an audit row: a hash of the columns that make it the same row."""
-    return F.sha2(F.to_json(F.struct(*natural_key), {"ignoreNullFields": "false"}), 256)
+    return F.sha2(F.to_json(F.struct(*natural_key), {"ignoreNullFields": "false", "timeZone": "UTC"}), 256)
+
+
+def _utc_day(ts: Column) -> Column:
+    """The day as text, the same in sessions of any time zone."""
+    days = F.floor(F.unix_seconds(ts.cast("timestamp")) / 86400).cast("int")
+    return F.date_from_unix_date(days).cast("string")
 
 
 def audit_rows(rows: DataFrame, natural_key: Sequence[str], ts: str = "ts") -> DataFrame:
@@ -24,7 +30,7 @@ def audit_rows(rows: DataFrame, natural_key: Sequence[str], ts: str = "ts") -> D
     return (
         rows.withColumn("audit_id", audit_id(natural_key))
         .withColumn("ttl", expiry(F.col(ts)))
-        .withColumn(DAY, F.date_format(F.col(ts).cast("timestamp"), "yyyy-MM-dd"))
+        .withColumn(DAY, _utc_day(F.col(ts)))
         .dropDuplicates(["audit_id"])
     )
 
