@@ -102,3 +102,24 @@ def test_baseline_diff_is_an_equi_join(spark, sf_dir):
 def test_ingest_rebalances_by_partition(stored):
     text = plan(stored.hint("rebalance", F.col("year"), F.col("month")))
     assert "REBALANCE_PARTITIONS_BY_COL" in text
+
+
+def test_a_hot_partition_is_written_by_several_tasks(spark, sf_dir, tmp_path):
+    """A third of the rows in one month: its folder gets several files, small months one each."""
+    hot = F.when(F.col("l_orderkey") % 3 == 0, F.lit("1998-03-05").cast("timestamp_ntz"))
+    raw = I.table(spark, sf_dir, "lineitem").withColumn("l_shipdate", F.coalesce(hot, F.col("l_shipdate")))
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "256KB")
+    try:
+        P.write_partitions(raw.repartition(8).withColumns(I.year_month("l_shipdate")), str(tmp_path / "t"), I.BY)
+    finally:
+        spark.conf.set(key, before)
+    files = {p.parent: len(list(p.parent.glob("*.parquet"))) for p in (tmp_path / "t").rglob("*.parquet")}
+    assert files[tmp_path / "t" / "year=1998" / "month=03"] > 2
+    assert sorted(files.values())[len(files) // 2] == 1
+
+
+def test_the_fast_generator_stays_in_generated_code(stored):
+    text = plan(C.corrupt(stored, {**I.CONFIG, "generator": "xxhash64"}, I.KEY))
+    assert "xxhash64" in text and "md5" not in text
