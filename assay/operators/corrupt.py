@@ -12,7 +12,6 @@ The config is a dict (or the YAML it is kept in) with the sections `null_injecti
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window

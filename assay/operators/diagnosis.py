@@ -12,11 +12,14 @@ from pyspark.sql import types as T
 
 from assay.operators.violations import with_violations
 
+# Actions, answer fields and the fallback's text.
 ACTIONS = ("quarantine_and_notify", "notify_only", "auto_resolve")
 ANSWER_SCHEMA = (
     "probable_cause string, confidence string, recommended_action string, "
     "action_details struct<description:string>, explanation string, _corrupt_record string"
 )
+NOT_PARSED = "Could not parse structured diagnosis"
+
 PROMPT_HEAD = "Find the likely cause of this data quality violation and recommend one action.\n\nViolation:\n"
 PROMPT_HISTORY = "\n\nEarlier scans of the same partition:\n"
 PROMPT_TAIL = (
@@ -116,7 +119,7 @@ def parse_answer(answer: Column) -> Column:
         F.when(ok, parsed["confidence"]).otherwise("LOW").alias("confidence"),
         F.when(ok, parsed["recommended_action"]).otherwise("notify_only").alias("recommended_action"),
         F.when(ok, parsed["action_details"]["description"])
-        .otherwise("Could not parse structured diagnosis")
+        .otherwise(NOT_PARSED)
         .alias("action_description"),
         F.when(ok, parsed["explanation"]).otherwise(fallback).alias("explanation"),
         ok.alias("parsed"),

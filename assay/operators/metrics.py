@@ -249,7 +249,9 @@ def metric_series(metrics: DataFrame, period: int = PERIOD_SECONDS) -> DataFrame
     averaged = name.isin(SCORE, DIMENSION_SCORE, TOOL_TIME)
     shown = metrics.where(averaged | name.isin(ANOMALIES, ACTIONS, DECISIONS))
     return (
-        shown.groupBy("name", F.coalesce(split, F.lit("")).alias("series"), F.window("ts", f"{period} seconds").alias("w"))
+        shown.groupBy(
+            "name", F.coalesce(split, F.lit("")).alias("series"), F.window("ts", f"{period} seconds").alias("w")
+        )
         .agg(F.avg("value").alias("average"), F.sum("value").alias("total"))
         .select(
             F.col("w.start").alias("period_start"),

@@ -31,6 +31,7 @@ def alerts(issues: DataFrame, app: str = "assay") -> DataFrame:
 def alert_decisions(alert_rows: DataFrame, channel: str = "alert", delivery: str = "issue_id") -> DataFrame:
     """The `notification_sent` decision of each alert. Alerts may name their table and partition."""
     severity, message = F.col("severity"), F.col("message")
+    # The wording of the texts.
 
     def known(name: str, default: str) -> Column:
         return (F.col(name) if name in alert_rows.columns else F.lit(default)).alias(name)

@@ -154,6 +154,7 @@ def remediation_rows(counts: DataFrame, scans: DataFrame, ts: Column, path: str)
 def remediation_decisions(remediations: DataFrame) -> DataFrame:
     """The audit decision that goes with each remediation."""
     r = F.col
+    # The wording of the texts.
     scores = F.concat(
         F.lit("Score: "), r("before_score").cast("string"), F.lit(" → "), r("after_score").cast("string")
     )

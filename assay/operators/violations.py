@@ -151,7 +151,7 @@ def score_violations(evaluations: DataFrame, violation_rows: DataFrame) -> DataF
 def dimension_scores(violation_rows: DataFrame) -> DataFrame:
     """Score, status and count per evaluation and violation type."""
     return (
-        violation_rows.groupBy("evaluation_id", "type")
+        violation_rows.groupBy("evaluation_id", "table_name", "type")
         .agg(
             F.count_if(F.col("severity") == "CRITICAL").alias("critical"),
             F.count_if(F.col("severity") == "WARNING").alias("warning"),

@@ -88,7 +88,8 @@ SELECT {_KEYS}, unnest(CASE WHEN rn <= floor(n * 0.03::DOUBLE) THEN [0, 1] ELSE
 def inject_exact_count(spark, d):
     """The exact number of copies, int(n * rate), found without a global sort."""
     keyed = I.fact(spark, d).withColumn(C.KEY, C.row_key(I.KEY))
-    out = C.inject_duplicates(keyed, {"enabled": True, "exact_duplicates": 0.03}, [C.KEY], generator=I.GENERATOR, exact_count=True)
+    config = {"enabled": True, "exact_duplicates": 0.03}
+    out = C.inject_duplicates(keyed, config, [C.KEY], exact_count=True)
     return out.select(*I.KEY, F.col(C.KEY).endswith("|x").cast("int").alias("copy"))
 
 

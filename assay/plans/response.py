@@ -81,7 +81,12 @@ def respond(evaluations: DataFrame, history: DataFrame, ts: Column) -> Response:
         .unionByName(N.alert_decisions(alert_rows))
         .withColumn("ts", ts)
     )
-    points = M.scan_metrics(scans).unionByName(M.decision_metrics(decisions))
+    by_type = V.dimension_scores(violation_rows).withColumn("ts", ts)
+    points = (
+        M.scan_metrics(scans)
+        .unionByName(M.dimension_metrics(by_type))
+        .unionByName(M.decision_metrics(decisions))
+    )
     return Response(scans, violation_rows, acted, alert_rows, decisions, points)
 
 

@@ -11,8 +11,6 @@ from assay.operators import violations as V
 from assay.plans import inputs as I
 from assay.plans.registry import query
 
-_ON = "ON v.year = m.year AND v.month = m.month"
-
 
 def _metric(results):
     return results.withColumn("metric", F.round(R.single_metric(F.col("evaluated_metrics")), 4))
@@ -438,7 +436,7 @@ SELECT evaluation_id, type, violation_count, CAST({I.SCORE} AS BIGINT) AS score,
   {I.STATUS.format(I.SCORE)} AS status FROM c""",
 )
 def dimension_scores(spark, d):
-    return V.dimension_scores(V.violations(I.evaluations(spark, d)))
+    return V.dimension_scores(V.violations(I.evaluations(spark, d))).drop("table_name")
 
 
 @query(

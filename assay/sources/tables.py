@@ -17,7 +17,6 @@ TRIP_SCHEMA = (
     "total_amount double, congestion_surcharge double, Airport_fee double, "
     "year string, month string"
 )
-PARTITION_KEYS = ("year", "month")
 ZONES = ("raw", "staging", "curated", "quarantine")
 
 

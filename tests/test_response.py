@@ -137,7 +137,7 @@ def test_response_plan(spark):
         ("trips", "year=2025/month=09")
     }
     assert {r.name: r["count"] for r in out.metrics.groupBy("name").count().collect()} == {
-        "OverallQualityScore": 2, "AnomaliesDetected": 2, "DecisionCount": 24,
+        "OverallQualityScore": 2, "AnomaliesDetected": 2, "QualityScore": 5, "DecisionCount": 24,
     }
     shared = {r.evaluation_id: r for r in D.shared_cause(events).collect()}
     assert shared["e1"].types == ["completeness", "distribution", "freshness"]
