@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,7 +50,7 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
         if column.nbytes <= limit:
             yield batch
             continue
-        lengths = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(column), 0).to_pylist()
         start = size = 0
         for row, length in enumerate(lengths):
             if size and size + length > limit:
