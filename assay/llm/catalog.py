@@ -7,7 +7,7 @@ import importlib
 
 from assay.llm.registry import ORACLE, QUERIES
 
-for _module in ("token_queries",):
+for _module in ("token_queries", "langid_queries", "mixing_queries", "line_queries"):
     importlib.import_module(f"assay.llm.{_module}")
 
 __all__ = ["ORACLE", "QUERIES"]
