@@ -52,15 +52,18 @@ def repeated_places(windows: DataFrame) -> DataFrame:
     return later.groupBy("no_key", "key", "text_hash").agg(F.sort_array(F.collect_set("place")).alias("places"))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """All rows and columns of `docs` with `text` reduced to the kept lines, and `n_lines`, `n_removed` added.
+def dedup_lines(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW,
+    counts: tuple[str, str] = ("n_lines", "n_removed"),
+) -> DataFrame:
+    """All rows and columns of `docs` with `text` reduced to the kept lines, and two numbers of lines added (`counts`).
 
     A document with fewer lines than a window, an empty or a null text keeps what it has (null: 0 lines).
     Rows that repeat both key and text count as one document, so none of them loses lines to the other;
     rows with equal keys and different texts are ordered by a hash of the text. Null keys come last.
     Columns that are named like the added ones are replaced. An empty table gives an empty one.
     """
-    kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    kept_columns = [c for c in docs.columns if c not in counts]
     rows = docs.select(*kept_columns)
     places = repeated_places(line_windows(rows, key, text, window)).select(
         F.col("no_key").alias("_no_key"), F.col("key").alias("_key"), F.col("text_hash").alias("_text_hash"),
@@ -84,6 +87,6 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", window
             if c == text else F.col(c)
             for c in kept_columns
         ],
-        F.when(F.col(text).isNull(), 0).otherwise(n_lines).cast("bigint").alias("n_lines"),
-        F.when(F.col(text).isNull(), 0).otherwise(n_lines - F.size("_kept")).cast("bigint").alias("n_removed"),
+        F.when(F.col(text).isNull(), 0).otherwise(n_lines).cast("bigint").alias(counts[0]),
+        F.when(F.col(text).isNull(), 0).otherwise(n_lines - F.size("_kept")).cast("bigint").alias(counts[1]),
     )

@@ -217,13 +217,13 @@ def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,
     bands: int = BANDS, rows: int = ROWS,
 ) -> DataFrame:
-    """`key`, `class_id`, `is_first`: one row per row of `docs` with the least key of its class.
+    """`key`, `class_id`, `is_first`, `h1`, `h2`: one row per row of `docs` with the least key of its class.
 
     Two texts are linked if their sets of five-word shingles have a Jaccard similarity of at least
     `similarity`; a class is what links connect. Words are lower-case runs of letters and digits. Texts of
     fewer than five words are one shingle. Null texts and texts without a word are each alone (class_id is
-    their own key). Rows that repeat a key are placed by their texts; a class of null keys only has a hash
-    for its id. The key must be an integer. Other columns are not read; an empty table gives an empty one.
+    their own key, the hashes of their words null). Rows that repeat a key are placed by their texts; a class of
+    null keys only has a hash for its id. `is_first` marks the rows of one key and one word sequence. The key must be an integer. Other columns are not read; an empty table gives an empty one.
     Recall of pairs at the threshold is that of the bands, 1 - (1 - similarity^rows)^bands, if the pair
     shares a component with a popular node or is compared with it.
     """
@@ -303,11 +303,32 @@ def near_duplicates(
         known = components(links)
         low, high = high + 1, high + REPRESENTATIVES
     classes = nodes.join(known, "id", "left").select(
-        F.col("h1").alias("n1"), F.col("h2").alias("n2"), F.coalesce("component", "id").alias("class_id")
+        F.col("h1").alias("n1"), F.col("h2").alias("n2"), "least", "id", F.coalesce("component", "id").alias("class_id")
     )
     placed = rowed.select("key", "h1", "h2").join(classes, (F.col("h1") == F.col("n1")) & (F.col("h2") == F.col("n2")))
+    first_row = (F.col("id") == F.col("class_id")) & F.col("key").eqNullSafe(F.col("least"))
+    hashless = F.lit(None).cast("bigint")
     wordless = docs.where(F.col(text).isNull() | (F.size(words_of(F.col(text))) == 0)).select(
-        F.col(key).cast("bigint").alias("key"), F.col(key).cast("bigint").alias("class_id")
+        F.col(key).cast("bigint").alias("key"), F.col(key).cast("bigint").alias("class_id"),
+        F.lit(True).alias("is_first"), hashless.alias("h1"), hashless.alias("h2"),
     )
-    every = placed.select("key", "class_id").unionByName(wordless)
-    return every.select(F.col("key").alias(key), "class_id", F.col("key").eqNullSafe(F.col("class_id")).alias("is_first"))
+    every = placed.select("key", "class_id", first_row.alias("is_first"), "h1", "h2").unionByName(wordless)
+    return every.withColumnRenamed("key", key)
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+    """The rows of `docs`, with all their columns, that are the first of their class: one of each.
+
+    Rows without a word are each alone and stay. Of rows that repeat key and words one stays.
+    """
+    names = docs.columns
+    firsts = near_duplicates(docs, key, text, **settings).where(F.col("is_first") & F.col("h1").isNotNull())
+    firsts = firsts.select(F.col(key).alias("_key"), F.col("h1").alias("_w1"), F.col("h2").alias("_w2"))
+    words = F.coalesce(words_of(F.col(text)), F.array().cast("array<string>"))
+    hashed = docs.withColumn("_words", words).select(
+        *[F.col(c) for c in names], (F.size("_words") > 0).alias("_worded"),
+        long_hash("_words", salt=1).alias("_h1"), long_hash("_words", salt=2).alias("_h2"),
+    )
+    same = F.col(key).cast("bigint").eqNullSafe(F.col("_key")) & (F.col("_h1") == F.col("_w1")) & (F.col("_h2") == F.col("_w2"))
+    kept = hashed.where("_worded").join(firsts, same, "left_semi").dropDuplicates([key, "_h1", "_h2"])
+    return kept.select(*names).unionByName(docs.where(F.coalesce(F.size(words) == 0, F.lit(True))))

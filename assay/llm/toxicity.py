@@ -284,34 +284,39 @@ def _fitted(sample: DataFrame, lexicon: Lexicon) -> Model:
 
 def toxicity(
     docs: DataFrame, labels: DataFrame, learn_from: Column, key: str = "doc_id", text: str = "text", label: str = "toxic",
-    threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS, carry: tuple[str, ...] = (),
+    threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS,
 ) -> DataFrame:
     """`key`, `held_out`, `score`, `predicted` of every text, one row per row of `docs`.
 
     `learn_from` is a condition on `key` (never null); rows without it are `held_out`, their labels are
     not read. A null or empty text has no hit and the lowest score. Without labels of both kinds every
     score is 0, or 1 if all labels are 1. Labels other than 0 and 1 are passed over; repeated rows are
-    scored each, repeated labels count each. Columns of other names are not read, except for those in
-    `carry`, which come back beside the result.
+    scored each, repeated labels count each. Columns of other names are not read.
     """
     model = learn(docs, labels, learn_from, key, text, label, sample_rows)
-    kept = {f"c{n}": c for n, c in enumerate(carry)}
+    kind = dict(docs.select(key).dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "_text"):
+        for batch in sliced(batches, "text"):
             scores = model.scores(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(scores, pa.float64()),
-                 pa.array([int(s >= threshold) for s in scores], pa.int32()), *(batch.column(3 + n) for n in range(len(kept)))],
-                names=["key", "held_out", "score", "predicted", *kept],
+                 pa.array([int(s >= threshold) for s in scores], pa.int32())],
+                names=["key", "held_out", "score", "predicted"],
             )
 
-    kinds = dict(docs.select(key, *carry).dtypes)
-    rows = docs.select(
-        F.col(key).alias("key"), (~learn_from).alias("held_out"), F.col(text).alias("_text"),
-        *[F.col(c).alias(n) for n, c in kept.items()],
-    )
-    schema = f"key {kinds[key]}, held_out boolean, score double, predicted int" + "".join(f", {n} {kinds[c]}" for n, c in kept.items())
-    scored = rows.mapInArrow(run, schema)
-    named = ["held_out", "score", "predicted"]
-    return scored.select(F.col("key").alias(key), *named, *[F.col(n).alias(c) for n, c in kept.items() if c not in (key, *named)])
+    rows = docs.select(F.col(key).alias("key"), (~learn_from).alias("held_out"), F.col(text).alias("text"))
+    schema = f"key {kind}, held_out boolean, score double, predicted int"
+    return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
+
+
+def without_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose texts score below `threshold`."""
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, text):
+            scores = model.scores(batch.column(place).to_pylist())
+            yield batch.filter(pa.array([s < threshold for s in scores], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
