@@ -91,18 +91,18 @@ def with_violations(evaluations: DataFrame, by_rule_table: bool = False) -> Data
     )
 
 
-def violations(evaluations: DataFrame, by_rule_table: bool = False) -> DataFrame:
-    """One row per violation.
+def violations(evaluations: DataFrame, by_rule_table: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+    """One row per violation, with the columns of its evaluation named in `carry`.
 
     Failed results are unnested first and graded as flat columns: grading inside the array, as
     `with_violations` does, would make Catalyst carry the whole expression through the explode.
     """
     failed = F.filter("rule_results", lambda r: is_failed(r["state"]))
     flat = evaluations.select(
-        "evaluation_id", "table_name", "partition", F.posexplode(failed).alias("position", "result")
+        "evaluation_id", "table_name", "partition", *carry, F.posexplode(failed).alias("position", "result")
     )
     graded = flat.withColumn("v", _violation(F.col("result"), by_rule_table))
-    return graded.select("evaluation_id", "table_name", "partition", "position", "v.*")
+    return graded.select("evaluation_id", "table_name", "partition", *carry, "position", "v.*")
 
 
 def observed_values(violation_rows: DataFrame) -> DataFrame:
@@ -112,8 +112,8 @@ def observed_values(violation_rows: DataFrame) -> DataFrame:
     )
 
 
-def scan_results(evaluations: DataFrame, source: str = "rules") -> DataFrame:
-    """One summary row per evaluation; without violations it scores 100, OK.
+def scan_results(evaluations: DataFrame, source: str = "rules", carry: Sequence[str] = ()) -> DataFrame:
+    """One summary row per evaluation; without violations it scores 100, OK. `carry` names columns to keep.
 
     `needs_action` says whether anything failed: a status of OK alone does not.
     """
@@ -128,6 +128,7 @@ def scan_results(evaluations: DataFrame, source: str = "rules") -> DataFrame:
         "violation_count",
         (F.col("violation_count") > 0).alias("needs_action"),
         F.lit(source).alias("source"),
+        *carry,
     )
 
 

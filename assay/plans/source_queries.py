@@ -570,8 +570,7 @@ def audit_append(spark, d):
     early = rows.where(F.col("ts") < F.lit("2024-01-11").cast("timestamp_ntz"))
     for batch in (early, rows, rows):
         A.append_audit(spark, batch, path, ["evaluation_id"])
-    schema = "evaluation_id string, table_name string, ts timestamp_ntz, ttl bigint, ds string"
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.parquet(path).select("evaluation_id", "table_name", "ts", "ttl", "ds")
 
 
 @query(

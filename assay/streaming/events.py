@@ -1,7 +1,7 @@
 """Streams of evaluation events and of metrics.
 
 The batch operators work row by row on an evaluation, so they serve the stream unchanged; what
-is added here is state (deduplication, windows) and sinks that survive a replayed batch.
+is added here is state (windows) and sinks that store every id once.
 """
 
 from __future__ import annotations
@@ -21,14 +21,17 @@ WATERMARK = "10 minutes"
 
 
 def read_stream(
-    spark: SparkSession, path: str, schema: StructType | str, files_per_trigger: int = 100, source: str = "parquet"
+    spark: SparkSession, path: str, schema: StructType | str, files_per_trigger: int | None = None, source: str = "parquet"
 ) -> DataFrame:
-    return (
-        spark.readStream.format(source)
-        .schema(schema)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .load(path)
-    )
+    """A folder as a stream. Without `files_per_trigger` a backlog is one micro-batch.
+
+    A number of files splits a backlog into micro-batches in the order in which files are listed.
+    The watermark then moves from one to the next, so name it only where files come in time order.
+    """
+    reader = spark.readStream.format(source).schema(schema)
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.load(path)
 
 
 def run_available(writer: DataStreamWriter, checkpoint: str) -> None:
@@ -36,20 +39,12 @@ def run_available(writer: DataStreamWriter, checkpoint: str) -> None:
     writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def once_per_evaluation(
-    events: DataFrame, ts: str = "ts", key: Sequence[str] = ("evaluation_id",), delay: str = WATERMARK
-) -> DataFrame:
-    """Drop repeats of an id that arrive within the watermark delay. State is bounded by it;
-    repeats that come later are held back by the audit tables' own ids.
+def write_once(events: DataFrame, path: str, key: Sequence[str], ts: str = "ts") -> DataStreamWriter:
+    """Append one row per key to an audit table, however late or often it comes, or its batch is replayed.
 
-    The state shuffles every row by id. Where one id may fill a large part of a batch, leave this
-    out: `write_once` alone gives the same rows and combines repeats before its shuffle.
+    The stored ids alone hold repeats back: there is no watermark, so no event is too late, and no
+    state per key, and repeats within a batch are combined before its shuffle.
     """
-    return events.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(key))
-
-
-def write_once(events: DataFrame, path: str, key: Sequence[str], ts: str = "ts") -> DataStreamWriter:
-    """Append each row to an audit table once, however often its batch is replayed."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         append_audit(batch.sparkSession, batch, path, key, ts)
@@ -67,16 +62,13 @@ def violation_stream(events: DataFrame, root: str) -> DataStreamWriter:
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch.persist()
-        times = batch.select("evaluation_id", "ts").dropDuplicates(["evaluation_id"])
-        append_audit(
-            spark, scan_results(batch, "stream").join(times, "evaluation_id"), f"{root}/scans",
-            ["evaluation_id"],
-        )
-        append_audit(
-            spark, violations(batch).join(times, "evaluation_id"), f"{root}/violations",
-            ["evaluation_id", "position"],
-        )
-        batch.unpersist()
+        try:
+            append_audit(spark, scan_results(batch, "stream", ["ts"]), f"{root}/scans", ["evaluation_id"])
+            append_audit(
+                spark, violations(batch, carry=["ts"]), f"{root}/violations", ["evaluation_id", "position"]
+            )
+        finally:
+            batch.unpersist()
 
     return events.writeStream.foreachBatch(sink)
 

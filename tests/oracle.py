@@ -18,7 +18,8 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
     for file in sorted(Path(sf_dir).glob("*.parquet")):
-        con.execute(f"CREATE VIEW {file.stem} AS SELECT * FROM read_parquet('{file}')")
+        files = f"{file}/*.parquet" if file.is_dir() else str(file)
+        con.execute(f"CREATE VIEW {file.stem} AS SELECT * FROM read_parquet('{files}')")
     return con
 
 
