@@ -130,39 +130,43 @@ def _replace(df: DataFrame, new: dict[str, Column]) -> DataFrame:
 
 def _drawn(
     df: DataFrame, draws: Draws, rates: Sequence[tuple[str, float]]
-) -> tuple[DataFrame, list[tuple[str, Column]], list[str]]:
+) -> tuple[DataFrame, list[tuple[int, str, Column]], list[str]]:
     """Whether each of the named columns is hit.
 
-    Gives the frame with helper columns, (column, predicate) pairs for the columns that are
-    there, and the helpers' names. A column's draw depends on its place in the config.
+    Gives the frame with helper columns, (place, column, predicate) for the entries whose columns
+    are there, and the helpers' names. An entry's draw depends on its place in the config.
     """
     helpers = draws.helpers(len(rates))
-    hits = [(name, draws.hit(i, rate)) for i, (name, rate) in enumerate(rates) if name in df.columns]
+    hits = [(i, name, draws.hit(i, rate)) for i, (name, rate) in enumerate(rates) if name in df.columns]
     return _replace(df, helpers), hits, list(helpers)
 
 
 def inject_nulls(
     df: DataFrame, config: dict, key: Sequence[str], seed: int = 42, generator: str = GENERATOR
 ) -> DataFrame:
-    """Nulls at a rate per column; absent columns are skipped."""
+    """Nulls at a rate per entry; entries of one column apply in turn, absent columns are skipped."""
     if not config.get("enabled"):
         return df
     rates = [(rule["column"], rule["null_rate"]) for rule in config.get("columns", [])]
     out, hits, helpers = _drawn(df, Draws(generator, seed, "null", _key(key)), rates)
-    return _replace(out, {name: F.when(~drawn, F.col(name)) for name, drawn in hits}).drop(*helpers)
+    new: dict[str, Column] = {}
+    for _, name, drawn in hits:
+        new[name] = F.when(~drawn, new.get(name, F.col(name)))
+    return _replace(out, new).drop(*helpers)
 
 
 def inject_outliers(
     df: DataFrame, config: dict, key: Sequence[str], seed: int = 42, generator: str = GENERATOR
 ) -> DataFrame:
-    """A pick from a list, or uniform in [min, max), at a rate per column; overwrites nulls too."""
+    """A pick from a list, or uniform in [min, max), at a rate per rule; overwrites nulls too. Rules
+    of one column apply in turn, a later one over an earlier one."""
     return _inject_values(df, "outlier", config, "values", key, seed, generator)
 
 
 def inject_format(
     df: DataFrame, config: dict, key: Sequence[str], seed: int = 42, generator: str = GENERATOR
 ) -> DataFrame:
-    """A pick from a list of bad values at a rate per column."""
+    """A pick from a list of bad values at a rate per rule; rules of one column apply in turn."""
     return _inject_values(df, "format", config, "inject_values", key, seed, generator)
 
 
@@ -172,20 +176,21 @@ def _inject_values(
     if not config.get("enabled"):
         return df
     rules = config.get("rules", [])
-    places = {rule["column"]: i for i, rule in enumerate(rules)}
     rates = [(rule["column"], rule["inject_rate"]) for rule in rules]
     out, hits, helpers = _drawn(df, Draws(generator, seed, op, _key(key)), rates)
-    new = {}
-    for name, drawn in hits:
-        rule, dtype = rules[places[name]], df.schema[name].dataType
-        # Only rows that are hit pay for the value's draw.
-        draw = Draws(generator, seed, f"{op}_value", _key(key), name).uniform()
+    new: dict[str, Column] = {}
+    for place, name, drawn in hits:
+        rule, dtype = rules[place], df.schema[name].dataType
+        # Only rows that are hit pay for the value's draw. A column's first rule draws under the
+        # column's name, each further one under a name of its own.
+        label = name if name not in new else f"{name}#{place}"
+        draw = Draws(generator, seed, f"{op}_value", _key(key), label).uniform()
         if listed in rule:
             value = _pick(rule[listed], draw, dtype)
         else:
             span = float(rule["max"]) - float(rule["min"])
             value = _fit(F.lit(float(rule["min"])) + draw * F.lit(span), dtype)
-        new[name] = F.when(drawn, value).otherwise(F.col(name))
+        new[name] = F.when(drawn, value).otherwise(new.get(name, F.col(name)))
     return _replace(out, new).drop(*helpers)
 
 
@@ -201,7 +206,7 @@ def inject_stale(
     out, hits, helpers = _drawn(df, draws, [(name, rate) for name in names])
     moved = F.expr(f"interval {days} days")
     return _replace(
-        out, {name: F.when(drawn, F.col(name) - moved).otherwise(F.col(name)) for name, drawn in hits}
+        out, {name: F.when(drawn, F.col(name) - moved).otherwise(F.col(name)) for _, name, drawn in hits}
     ).drop(*helpers)
 
 

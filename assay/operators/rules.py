@@ -51,35 +51,53 @@ TRIP_RULES = (
 )
 
 
+# The forms of a rule line. Types with a column, types with a comparison.
+COLUMN_TYPES = ("Completeness", "Mean", "ColumnExists", "DataFreshness", "ColumnValues")
+PLAIN_TYPES = ("RowCount",)
+_NUMBER = r"([+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
+_BOUND = rf"(?:(>=|<=|>|<|=)\s*{_NUMBER}|between\s+{_NUMBER}\s+and\s+{_NUMBER})"
+_LINE = (
+    rf'^\s*(?:((?:{"|".join(t for t in COLUMN_TYPES if t != "ColumnExists")}))\s+"([^"]+)"\s+{_BOUND}'
+    rf'|(ColumnExists)\s+"([^"]+)"|({"|".join(PLAIN_TYPES)})\s+{_BOUND})\s*,?\s*$'
+)
+
+
 def rule_fields(text: Column) -> list[Column]:
-    """rule_type, column, op, lo and hi of a rule line, null where the line has none."""
-    number = r"(-?[0-9]+(?:\.[0-9]+)?)"
-    between = rf"\bbetween\s+{number}\s+and\s+{number}"
+    """rule_type, column, op, lo, hi and error of a rule line.
 
-    def part(pattern: str, group: int = 1) -> Column:
-        return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    The whole line has to match a form; one that does not has `error` set and all else null, so that
+    nothing is read out of a part of it.
+    """
 
-    sign = part(r"(>=|<=|>|<|=)\s*-?[0-9]")
-    bound = part(rf"(?:>=|<=|>|<|=)\s*{number}")
+    def part(*groups: int) -> Column:
+        return F.coalesce(*[F.nullif(F.regexp_extract(text, _LINE, g), F.lit("")) for g in groups])
+
+    low = part(5, 12)
+    lone = part(4, 11)
     return [
-        part(r"^\s*(\w+)").alias("rule_type"),
-        part('"([^"]+)"').alias("column"),
-        F.coalesce(sign, F.when(part(between).isNotNull(), "between")).alias("op"),
-        F.coalesce(bound, part(between)).try_cast("double").alias("lo"),
-        part(between, 2).try_cast("double").alias("hi"),
+        part(1, 7, 9).alias("rule_type"),
+        part(2, 8).alias("column"),
+        F.coalesce(part(3, 10), F.when(low.isNotNull(), "between")).alias("op"),
+        F.coalesce(lone, low).try_cast("double").alias("lo"),
+        part(6, 13).try_cast("double").alias("hi"),
+        F.when(~F.coalesce(text.rlike(_LINE), F.lit(False)), F.concat(F.lit("not a rule: "), F.coalesce(text, F.lit("null")))).alias("error"),
     ]
 
 
 def rules_from_text(lines: DataFrame, text: str = "rule_text") -> DataFrame:
-    """A table of rule lines with the rule columns beside the text."""
+    """A table of rule lines with the rule columns, and `error` where a line is no rule, beside the text."""
     fields = rule_fields(F.col(text))
     return lines.select(*[c for c in lines.columns if c != text], *fields, F.col(text).alias("rule_text"))
 
 
 def load_rules(spark: SparkSession, lines: Sequence[str]) -> list[Rule]:
-    """Rule objects of a ruleset's lines. A ruleset is configuration: a few lines."""
+    """Rule objects of a ruleset's lines; a line that is no rule raises. A ruleset is configuration: a few lines."""
     frame = spark.createDataFrame(list(enumerate(lines, 1)), "rule_id int, rule_text string")
-    return [Rule(**row.asDict()) for row in rules_from_text(frame).orderBy("rule_id").collect()]
+    rows = [row.asDict() for row in rules_from_text(frame).orderBy("rule_id").collect()]
+    errors = [row.pop("error") for row in rows]
+    if wrong := [e for e in errors if e]:
+        raise ValueError("; ".join(wrong))
+    return [Rule(**row) for row in rows]
 
 
 def read_ruleset(spark: SparkSession, path: str) -> list[Rule]:
@@ -93,8 +111,13 @@ def rule_table(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
     return spark.createDataFrame(rows, RULE_SCHEMA)
 
 
+def named(column: str) -> Column:
+    """A column by its whole name, dots included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def completeness(column: str) -> Column:
-    return F.count(column) / F.nullif(F.count(F.lit(1)), F.lit(0))
+    return F.count(named(column)) / F.nullif(F.count(F.lit(1)), F.lit(0))
 
 
 def micros(ts: Column) -> Column:
@@ -103,11 +126,11 @@ def micros(ts: Column) -> Column:
 
 def freshness_hours(column: str, as_of: Column) -> Column:
     """Hours between a reference time and the newest value."""
-    return (micros(as_of) - micros(F.max(column))) / F.lit(3.6e9)
+    return (micros(as_of) - micros(F.max(named(column)))) / F.lit(3.6e9)
 
 
 def outside(column: str, lo: float, hi: float) -> Column:
-    return (F.col(column) < lo) | (F.col(column) > hi)
+    return (named(column) < lo) | (named(column) > hi)
 
 
 def _metric(rule: Rule, columns: Sequence[str], as_of: Column | None) -> tuple[str | None, Column]:
@@ -122,13 +145,13 @@ def _metric(rule: Rule, columns: Sequence[str], as_of: Column | None) -> tuple[s
     if rule.rule_type == "Completeness":
         return f"Column.{c}.Completeness", completeness(c) if there else F.max(null)
     if rule.rule_type == "Mean":
-        return f"Column.{c}.Mean", F.avg(c) if there else F.max(null)
+        return f"Column.{c}.Mean", F.avg(named(c)) if there else F.max(null)
     if rule.rule_type == "DataFreshness":
         if as_of is None:
             raise ValueError(f"{rule.rule_text!r} needs as_of: freshness is not measured by the wall clock")
         return f"Column.{c}.Freshness.Hours", freshness_hours(c, as_of) if there else F.max(null)
     if rule.rule_type == "ColumnValues":
-        ratio = F.count_if(outside(c, rule.lo, rule.hi)) / F.nullif(F.count(c), F.lit(0)) if there else F.max(null)
+        ratio = F.count_if(outside(c, rule.lo, rule.hi)) / F.nullif(F.count(named(c)), F.lit(0)) if there else F.max(null)
         return f"Column.{c}.OutlierRatio", ratio
     raise ValueError(f"no such rule type: {rule.rule_text!r}")
 

@@ -53,6 +53,27 @@ def inject_outliers_integer(spark, d):
     return C.inject_outliers(whole, config, I.KEY, generator=I.GENERATOR).select(*I.KEY, "l_qty")
 
 
+@query(
+    "inject_rules_in_turn",
+    f"""WITH {I.FACT}, one AS (SELECT *, CASE WHEN {I.u('outlier', '0', 0)} < 0.2::DOUBLE
+    THEN {I.u('outlier_value', 'l_tax')} * 10.0::DOUBLE - 10.0::DOUBLE ELSE l_tax END AS first_tax FROM fact)
+SELECT {_KEYS}, round(CASE WHEN {I.u('outlier', '0', 1)} < 0.1::DOUBLE
+    THEN [99.0, 98.0][floor({I.u('outlier_value', 'l_tax#1')} * 2)::INT + 1]::DOUBLE ELSE first_tax END, 4) AS l_tax,
+  CASE WHEN {I.u('null', '0', 0)} < 0.2::DOUBLE OR {I.u('null', '0', 1)} < 0.3::DOUBLE THEN NULL
+    ELSE l_quantity END AS l_quantity FROM one""",
+)
+def inject_rules_in_turn(spark, d):
+    """Two rules on one column, of values and of nulls: both take effect, the later one over the earlier."""
+    rules = [
+        {"column": "l_tax", "min": -10.0, "max": 0.0, "inject_rate": 0.2},
+        {"column": "l_tax", "values": [99.0, 98.0], "inject_rate": 0.1},
+    ]
+    nulls = [{"column": "l_quantity", "null_rate": 0.2}, {"column": "l_quantity", "null_rate": 0.3}]
+    out = C.inject_outliers(I.fact(spark, d), {"enabled": True, "rules": rules}, I.KEY, generator=I.GENERATOR)
+    out = C.inject_nulls(out, {"enabled": True, "columns": nulls}, I.KEY, generator=I.GENERATOR)
+    return _rounded(out.select(*I.KEY, "l_tax", "l_quantity"), ["l_tax"])
+
+
 _EXACT = I.copies("exacts", "fact", 0.03, 0.0)
 
 

@@ -202,31 +202,42 @@ def rule_compare(spark, d):
 
 
 _LINES = """SELECT o_orderkey,
-  CASE o_orderkey % 6 WHEN 0 THEN 'Completeness "c' || o_custkey || '" >= 0.' || (10 + o_custkey % 90)
+  CASE o_orderkey % 12 WHEN 0 THEN 'Completeness "c' || o_custkey || '" >= 0.' || (10 + o_custkey % 90)
     WHEN 1 THEN 'RowCount > ' || o_custkey WHEN 2 THEN
       'Mean "c' || o_custkey || '" between -' || (o_custkey % 50) || '.5 and ' || o_custkey || ','
     WHEN 3 THEN '    ColumnExists "c' || o_custkey || '",' WHEN 4 THEN 'DataFreshness "c' || o_custkey || '" <= 72'
-    ELSE 'ColumnValues "c' || o_custkey || '" between 0 and ' || o_custkey END AS rule_text FROM orders"""
+    WHEN 5 THEN 'ColumnValues "c' || o_custkey || '" between 0 and ' || o_custkey
+    WHEN 6 THEN 'Mean "between 1 and ' || o_custkey || '" between -5 and 1e3'
+    WHEN 7 THEN 'RowCount > ' || o_custkey || '.5e6' WHEN 8 THEN 'Completeness "c' || o_custkey || '" >= .5'
+    WHEN 9 THEN 'RowCount > ' || o_custkey || ' rows' WHEN 10 THEN 'Completeness "c' || o_custkey || '"'
+    ELSE 'Uniqueness "c' || o_custkey || '" > 1' END AS rule_text FROM orders"""
+
+
+_FORMS = 12  # one line of each form for every order, in turn
+_RULE_TYPES = ["Completeness", "RowCount", "Mean", "ColumnExists", "DataFreshness", "ColumnValues", "Mean", "RowCount",
+               "Completeness"]
 
 
 @query(
     "rules_from_text",
-    f"""WITH t AS (SELECT o_orderkey, o_custkey, l.rule_text FROM ({_LINES}) l JOIN orders USING (o_orderkey))
-SELECT o_orderkey, rule_text, CASE o_orderkey % 6 WHEN 0 THEN 'Completeness' WHEN 1 THEN 'RowCount'
-    WHEN 2 THEN 'Mean' WHEN 3 THEN 'ColumnExists' WHEN 4 THEN 'DataFreshness' ELSE 'ColumnValues' END AS rule_type,
-  CASE WHEN o_orderkey % 6 <> 1 THEN 'c' || o_custkey END AS "column",
-  CASE o_orderkey % 6 WHEN 0 THEN '>=' WHEN 1 THEN '>' WHEN 4 THEN '<=' WHEN 2 THEN 'between'
-    WHEN 5 THEN 'between' END AS op,
-  CASE o_orderkey % 6 WHEN 0 THEN ('0.' || (10 + o_custkey % 90))::DOUBLE WHEN 1 THEN o_custkey::DOUBLE
-    WHEN 2 THEN ('-' || (o_custkey % 50) || '.5')::DOUBLE WHEN 4 THEN 72 WHEN 5 THEN 0 END::DOUBLE AS lo,
-  CASE WHEN o_orderkey % 6 IN (2, 5) THEN o_custkey::DOUBLE END AS hi FROM t""",
+    f"""WITH t AS (SELECT o_orderkey, o_custkey, o_orderkey % {_FORMS} AS f, l.rule_text
+    FROM ({_LINES}) l JOIN orders USING (o_orderkey))
+SELECT o_orderkey, rule_text, {_RULE_TYPES}[f + 1] AS rule_type,
+  CASE WHEN f IN (0, 2, 3, 4, 5, 8) THEN 'c' || o_custkey WHEN f = 6 THEN 'between 1 and ' || o_custkey END AS "column",
+  CASE f WHEN 0 THEN '>=' WHEN 1 THEN '>' WHEN 4 THEN '<=' WHEN 2 THEN 'between' WHEN 5 THEN 'between'
+    WHEN 6 THEN 'between' WHEN 7 THEN '>' WHEN 8 THEN '>=' END AS op,
+  CASE f WHEN 0 THEN ('0.' || (10 + o_custkey % 90))::DOUBLE WHEN 1 THEN o_custkey::DOUBLE
+    WHEN 2 THEN ('-' || (o_custkey % 50) || '.5')::DOUBLE WHEN 4 THEN 72 WHEN 5 THEN 0 WHEN 6 THEN -5
+    WHEN 7 THEN (o_custkey || '.5e6')::DOUBLE WHEN 8 THEN 0.5 END::DOUBLE AS lo,
+  CASE WHEN f IN (2, 5) THEN o_custkey::DOUBLE WHEN f = 6 THEN 1000.0 END::DOUBLE AS hi,
+  CASE WHEN f >= 9 THEN 'not a rule: ' || rule_text END AS error FROM t""",
 )
 def rules_from_text(spark, d):
-    """A line of each form for every order."""
+    """A line of each form for every order: exponents, bare points, names that hold keywords, and no rules."""
     c = F.col("o_custkey")
     name = F.concat(F.lit(' "c'), c.cast("string"), F.lit('"'))
     num = c.cast("string")
-    kind = F.col("o_orderkey") % 6
+    kind = F.col("o_orderkey") % _FORMS
     line = (
         F.when(kind == 0, F.concat(F.lit("Completeness"), name, F.lit(" >= 0."), (c % 90 + 10).cast("string")))
         .when(kind == 1, F.concat(F.lit("RowCount > "), num))
@@ -234,7 +245,13 @@ def rules_from_text(spark, d):
                                   F.lit(".5 and "), num, F.lit(",")))
         .when(kind == 3, F.concat(F.lit("    ColumnExists"), name, F.lit(",")))
         .when(kind == 4, F.concat(F.lit("DataFreshness"), name, F.lit(" <= 72")))
-        .otherwise(F.concat(F.lit("ColumnValues"), name, F.lit(" between 0 and "), num))
+        .when(kind == 5, F.concat(F.lit("ColumnValues"), name, F.lit(" between 0 and "), num))
+        .when(kind == 6, F.concat(F.lit('Mean "between 1 and '), num, F.lit('" between -5 and 1e3')))
+        .when(kind == 7, F.concat(F.lit("RowCount > "), num, F.lit(".5e6")))
+        .when(kind == 8, F.concat(F.lit("Completeness"), name, F.lit(" >= .5")))
+        .when(kind == 9, F.concat(F.lit("RowCount > "), num, F.lit(" rows")))
+        .when(kind == 10, F.concat(F.lit("Completeness"), name))
+        .otherwise(F.concat(F.lit("Uniqueness"), name, F.lit(" > 1")))
     )
     return R.rules_from_text(I.table(spark, d, "orders").select("o_orderkey", line.alias("rule_text")))
 
