@@ -11,6 +11,7 @@ from assay.plans import inputs as I
 from assay.plans.registry import query
 from assay.plans.response_queries import ALARMS_SQL
 from assay.session import scratch_dir
+from assay.sources import results as R
 from assay.streaming import events as E
 
 _NOW = "2024-01-30 12:00:00"
@@ -61,6 +62,73 @@ def stream_scans(spark, d):
     )
 
 
+# Events as JSON texts, one per row of `events`: every tenth user's are cut off, every tenth user's are
+# no objects. A completeness rule always fails, a row count for every third user.
+_JSON_SQL = f"""j AS (SELECT *, user_id % 10 IN (0, 1) AS broken, 'ev-' || lpad(event_id::VARCHAR, 8, '0') AS id,
+  CASE user_id % 10 WHEN 0 THEN '{{"evaluation_id": "ev-' || lpad(event_id::VARCHAR, 8, '0')
+    WHEN 1 THEN '[' || event_id || ']' END AS bad_text,
+  100 - CASE WHEN user_id % 2 = 0 THEN 20 ELSE 10 END - CASE WHEN user_id % 3 = 0 THEN 10 ELSE 0 END AS points
+  FROM events)
+SELECT CASE WHEN broken THEN 'malformed-' || md5(bad_text) ELSE id END AS evaluation_id,
+  CASE WHEN NOT broken THEN 't_' || event_type END AS table_name,
+  CASE WHEN NOT broken THEN points END::BIGINT AS overall_score,
+  CASE WHEN NOT broken THEN {I.STATUS.format('points')} END AS overall_status,
+  CASE WHEN NOT broken THEN 1 + (user_id % 3 = 0)::INT END::BIGINT AS violation_count,
+  CASE WHEN broken THEN 'not a JSON event' END AS error FROM j"""
+
+
+def _json_events(spark, d):
+    user = F.col("user_id")
+    id_ = F.concat(F.lit("ev-"), F.lpad(F.col("event_id").cast("string"), 8, "0"))
+    metrics = F.create_map(F.lit("m"), F.when(user % 2 == 0, 0.93).otherwise(0.97))
+    results = F.array(
+        F.struct(F.lit('Completeness "c"').alias("rule"), F.lit("FAILED").alias("state"), metrics.alias("evaluated_metrics")),
+        F.struct(
+            F.lit("RowCount > 1").alias("rule"), F.when(user % 3 == 0, "FAILED").otherwise("PASSED").alias("state"),
+            F.create_map().cast("map<string,double>").alias("evaluated_metrics"),
+        ),
+    )
+    event = F.struct(
+        id_.alias("evaluation_id"), F.concat(F.lit("t_"), "event_type").alias("table"),
+        F.concat(F.lit("user="), user.cast("string")).alias("partition"), results.alias("rule_results"),
+    )
+    cut = F.concat(F.lit('{"evaluation_id": "'), id_)
+    other = F.concat(F.lit("["), F.col("event_id").cast("string"), F.lit("]"))
+    text = F.when(user % 10 == 0, cut).when(user % 10 == 1, other).otherwise(F.to_json(event))
+    return I.table(spark, d, "events").select(text.alias("value"))
+
+
+_JSON_COLUMNS = ["evaluation_id", "table_name", "overall_score", "overall_status", "violation_count", "error"]
+
+
+def _with_errors(scans, errors):
+    scans = scans.select(
+        "evaluation_id", "table_name", F.col("overall_score").cast("bigint").alias("overall_score"),
+        "overall_status", "violation_count", F.lit(None).cast("string").alias("error"),
+    )
+    return scans.unionByName(errors.select("evaluation_id", "error"), allowMissingColumns=True).select(*_JSON_COLUMNS)
+
+
+@query("json_events", f"WITH {_JSON_SQL}")
+def json_events(spark, d):
+    """JSON events → scan results; malformed events become error rows and are not graded."""
+    found = R.read_events(_json_events(spark, d))
+    return _with_errors(V.scan_results(R.sound_events(found)), found.where(F.col("error").isNotNull()))
+
+
+@query("stream_json_events", f"WITH {_JSON_SQL}")
+def stream_json_events(spark, d):
+    """The same from a stream of text files, some sent twice."""
+    path, root = scratch_dir(spark, "json"), scratch_dir(spark, "audit")
+    texts = _json_events(spark, d)
+    texts.write.text(path)
+    texts.where(F.length("value") % 2 == 0).write.mode("append").text(path)
+    lines = E.read_stream(spark, path, "value string", source="text")
+    events = R.read_events(lines.withColumn("ts", F.lit(_NOW).cast("timestamp")), carry=["ts"])
+    E.run_available(E.violation_stream(events, root), scratch_dir(spark, "checkpoint"))
+    return _with_errors(spark.read.parquet(f"{root}/scans"), spark.read.parquet(f"{root}/errors"))
+
+
 def _events_stream(spark, d):
     """The events table, a file or a folder of files, as a stream."""
     batch = I.table(spark, d, "events")

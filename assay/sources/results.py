@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,16 +83,40 @@ def _event_result(result: Column) -> Column:
 
 
 def read_events(
-    events: DataFrame, json: str = "value", default_database: str = "lake"
+    events: DataFrame, json: str = "value", default_database: str = "lake", carry: Sequence[str] = ()
 ) -> DataFrame:
-    """Evaluation events (one JSON text per row), with the parser's defaults for absent fields."""
-    event = events.select(F.from_json(F.col(json), EVENT_SCHEMA).alias("e")).select("e.*")
+    """Evaluation events (one JSON text per row), with the parser's defaults for absent fields.
+
+    A text that is no JSON object, or whose fields have other types, keeps its row: `error` is set, and its
+    id is a hash of the text, so that such events are told apart. Columns named in `carry` stay.
+    """
+    options = {"columnNameOfCorruptRecord": "_corrupt_record"}
+    parsed = F.from_json(F.col(json), f"{EVENT_SCHEMA}, _corrupt_record string", options).alias("e")
+    event = events.select(F.col(json).alias("_text"), *carry, parsed)
+    broken = F.col("e").isNull() | F.col("e._corrupt_record").isNotNull() | ~F.trim("_text").startswith("{")
     unknown = F.lit("unknown")
+    hashed = F.concat(F.lit("malformed-"), F.md5(F.coalesce("_text", F.lit("")).cast("binary")))
+
+    def field(name: str, default: Column) -> Column:
+        return F.when(_yes(broken), default).otherwise(F.coalesce(F.col(f"e.{name}"), default)).alias(name)
+
     return event.select(
-        F.coalesce("evaluation_id", unknown).alias("evaluation_id"),
-        F.coalesce("database", F.lit(default_database)).alias("database"),
-        F.coalesce("table", unknown).alias("table_name"),
-        F.coalesce("partition", unknown).alias("partition"),
-        F.coalesce("overall_state", F.lit("UNKNOWN")).alias("overall_state"),
-        F.transform("rule_results", _event_result).alias("rule_results"),
+        F.when(_yes(broken), hashed).otherwise(F.coalesce("e.evaluation_id", unknown)).alias("evaluation_id"),
+        field("database", F.lit(default_database)),
+        field("table", unknown).alias("table_name"),
+        field("partition", unknown),
+        field("overall_state", F.lit("UNKNOWN")),
+        F.when(~_yes(broken), F.transform("e.rule_results", _event_result)).alias("rule_results"),
+        F.when(_yes(broken), F.lit("not a JSON event")).alias("error"),
+        *carry,
     )
+
+
+def _yes(condition: Column) -> Column:
+    """`condition` with null read as true: a text that is null is broken too."""
+    return F.coalesce(condition, F.lit(True))
+
+
+def sound_events(events: DataFrame) -> DataFrame:
+    """The events that were read; the others (`error` set) are kept apart and never graded as passed."""
+    return events.where(F.col("error").isNull()).drop("error")

@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 from assay.operators.metrics import ALARM_COLUMNS, PERIOD_SECONDS, alarm_points, alarm_values
 from assay.operators.violations import scan_results, violations
 from assay.sources.audit import append_audit
+from assay.sources.results import sound_events
 
 WATERMARK = "10 minutes"
 
@@ -55,17 +56,23 @@ def write_once(events: DataFrame, path: str, key: Sequence[str], ts: str = "ts")
 def violation_stream(events: DataFrame, root: str) -> DataStreamWriter:
     """Evaluation events → scan results and violations under `root`.
 
-    The two tables are keyed by evaluation id (and position), so a batch that is replayed, or
-    that failed between the two appends, leaves each row once. An empty batch is harmless.
+    The tables are keyed by evaluation id (and position), so a batch that is replayed, or that failed
+    between the appends, leaves each row once. Events read from JSON carry `error`; those that could
+    not be read go to `errors`. An empty batch is harmless.
     """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch.persist()
         try:
-            append_audit(spark, scan_results(batch, "stream", ["ts"]), f"{root}/scans", ["evaluation_id"])
+            sound = batch
+            if "error" in batch.columns:
+                sound = sound_events(batch)
+                broken = batch.where(F.col("error").isNotNull()).select("evaluation_id", "error", "ts")
+                append_audit(spark, broken, f"{root}/errors", ["evaluation_id"])
+            append_audit(spark, scan_results(sound, "stream", ["ts"]), f"{root}/scans", ["evaluation_id"])
             append_audit(
-                spark, violations(batch, carry=["ts"]), f"{root}/violations", ["evaluation_id", "position"]
+                spark, violations(sound, carry=["ts"]), f"{root}/violations", ["evaluation_id", "position"]
             )
         finally:
             batch.unpersist()
