@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,7 +15,7 @@ from assay.operators.violations import with_violations
 ACTIONS = ("quarantine_and_notify", "notify_only", "auto_resolve")
 ANSWER_SCHEMA = (
     "probable_cause string, confidence string, recommended_action string, "
-    "action_details struct<description:string>, explanation string, _corrupt_record string"
+    "action_details string, explanation string, _corrupt_record string"
 )
 NOT_PARSED = "Could not parse structured diagnosis"
 
@@ -58,39 +57,40 @@ def confidence(failing_scans: Column) -> Column:
     return F.when(failing_scans >= 3, "HIGH").when(failing_scans >= 1, "MEDIUM").otherwise("LOW")
 
 
-def policy_answers(batch: pd.DataFrame) -> pd.Series:
-    """The default policy in the form of a model's answers, for `diagnose_batch`."""
-    action = batch["severity"].map({"CRITICAL": ACTIONS[0], "WARNING": ACTIONS[1]}).fillna(ACTIONS[2])
-    return pd.Series(
-        [
-            json.dumps(
-                {
-                    "probable_cause": f"rule not met: {rule}",
-                    "confidence": "HIGH" if n >= 3 else "MEDIUM" if n >= 1 else "LOW",
-                    "recommended_action": a,
-                    "action_details": {"description": f"{a} for {severity} violation"},
-                    "explanation": f"{n} failing scans on record",
-                }
-            )
-            for rule, severity, n, a in zip(batch["rule"], batch["severity"], batch["failing_scans"], action)
-        ],
-        dtype=object,
+def policy_answer(rule: Column, severity: Column, failing_scans: Column) -> Column:
+    """The default policy in the form of a model's answer."""
+    action = recommend_action(severity)
+    return F.to_json(
+        F.struct(
+            F.concat(F.lit("rule not met: "), rule).alias("probable_cause"),
+            confidence(failing_scans).alias("confidence"),
+            action.alias("recommended_action"),
+            F.struct(F.concat(action, F.lit(" for "), severity, F.lit(" violation")).alias("description")).alias("action_details"),
+            F.concat(failing_scans.cast("string"), F.lit(" failing scans on record")).alias("explanation"),
+        )
     )
 
 
-def diagnose_batch(df: DataFrame, answer: Callable[[pd.DataFrame], pd.Series] = policy_answers) -> DataFrame:
-    """`df` with the text that `answer` gives for each row, called once per Arrow batch.
+def diagnose_batch(
+    df: DataFrame,
+    answer: Callable[[pd.Series], Sequence[str | None]],
+    ids: Sequence[str],
+    prompt: str = "prompt",
+    partitions: int | None = None,
+) -> DataFrame:
+    """`ids` and the text that `answer` gives for each prompt, called once per Arrow batch.
 
-    This is where a model call goes; the callable gets whole batches so that it can send many
-    prompts at once.
+    This is where a model call goes; the callable gets a batch of prompts so that it can send many at
+    once. Only ids and prompts go through Arrow. `partitions` sets how many callers run side by side.
     """
-    schema = T.StructType([*df.schema.fields, T.StructField("answer", T.StringType())])
+    asked = df.select(*ids, F.col(prompt).alias("__prompt"))
+    schema = T.StructType([*df.select(*ids).schema.fields, T.StructField("answer", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(answer=list(answer(batch)))
+            yield batch[list(ids)].assign(answer=list(answer(batch["__prompt"])))
 
-    return df.mapInPandas(run, schema)
+    return (asked.repartition(partitions) if partitions else asked).mapInPandas(run, schema)
 
 
 def parse_answer(answer: Column) -> Column:
@@ -98,7 +98,8 @@ def parse_answer(answer: Column) -> Column:
 
     A code fence is taken off first: its first line goes, and everything from the last fence
     on. JSON objects give their fields, lacking keys being null; any other text gives the
-    fallback.
+    fallback. `action_details` is kept whole, as JSON text, whatever it is; `action_description` is its
+    description where it is an object that has one.
     """
     text = F.trim(F.regexp_replace(answer, r"^\s+|\s+$", ""))
     opened = F.regexp_replace(text, r"^```[^\n]*\n", "")
@@ -118,14 +119,20 @@ def parse_answer(answer: Column) -> Column:
         F.when(ok, parsed["probable_cause"]).otherwise(fallback).alias("probable_cause"),
         F.when(ok, parsed["confidence"]).otherwise("LOW").alias("confidence"),
         F.when(ok, parsed["recommended_action"]).otherwise("notify_only").alias("recommended_action"),
-        F.when(ok, parsed["action_details"]["description"])
+        F.when(ok, F.get_json_object(parsed["action_details"], "$.description"))
         .otherwise(NOT_PARSED)
         .alias("action_description"),
         F.when(ok, parsed["explanation"]).otherwise(fallback).alias("explanation"),
         ok.alias("parsed"),
+        F.when(ok, parsed["action_details"]).alias("action_details"),
     )
 
 
+def chosen(answers: DataFrame, ids: Sequence[str], answer: str = "answer") -> DataFrame:
+    """Parsed answers by their ids, for `actions`; rows without an answer are left out."""
+    return answers.where(F.col(answer).isNotNull()).select(*ids, parse_answer(F.col(answer)).alias("diagnosis"))
+
+
 def shared_cause(evaluations: DataFrame) -> DataFrame:
     """Evaluations with violations, with the types and columns involved: diagnose them together.
 

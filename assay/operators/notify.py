@@ -95,7 +95,8 @@ def violation_decisions(violation_rows: DataFrame) -> DataFrame:
 
 
 def diagnosis_decisions(actions: DataFrame) -> DataFrame:
-    """A `diagnosis_complete` decision per violation that an action was chosen for."""
+    """A `diagnosis_complete` decision per violation that an action was chosen for, with the probable
+    cause where a diagnosis names one."""
     return actions.select(
         F.lit("diagnosis_complete").alias("decision_type"),
         "table_name",
@@ -103,9 +104,12 @@ def diagnosis_decisions(actions: DataFrame) -> DataFrame:
         F.create_map(F.lit("evaluation_id"), F.col("evaluation_id"), F.lit("issue_id"), F.col("issue_id")).alias(
             "context"
         ),
-        F.concat(
-            F.col("severity"), F.lit(" "), F.col("type"), F.lit(" violation, "),
-            F.col("failing_scans").cast("string"), F.lit(" failing scans on record"),
+        F.coalesce(
+            "probable_cause",
+            F.concat(
+                F.col("severity"), F.lit(" "), F.col("type"), F.lit(" violation, "),
+                F.col("failing_scans").cast("string"), F.lit(" failing scans on record"),
+            ),
         ).alias("reasoning"),
         F.col("recommended_action").alias("action_taken"),
         F.concat(F.lit("confidence "), F.col("confidence")).alias("outcome"),

@@ -40,24 +40,48 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def actions(violation_rows: DataFrame, scans: DataFrame) -> DataFrame:
-    """Violations with history, recommended action, confidence and alert severity."""
+ANSWER_IDS = ("evaluation_id", "position")
+
+
+def actions(violation_rows: DataFrame, scans: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+    """Violations with history, recommended action, confidence and alert severity.
+
+    `answers` are parsed diagnoses by evaluation and position (`diagnosis.chosen`). Where there is one, its
+    action, confidence, cause and details are taken; where there is none, or it names no known action, the
+    default policy decides.
+    """
     context = H.history_context(violation_rows, scans)
-    action = D.recommend_action(F.col("severity"))
+    policy, sure = D.recommend_action(F.col("severity")), D.confidence(F.col("failing_scans"))
+    if answers is None:
+        context = context.withColumn("diagnosis", F.lit(None).cast(_DIAGNOSIS))
+    else:
+        context = context.join(answers.select(*ANSWER_IDS, "diagnosis"), list(ANSWER_IDS), "left")
+    answered = F.coalesce(F.col("diagnosis.recommended_action").isin(*D.ACTIONS), F.lit(False))
+    action = F.when(answered, F.col("diagnosis.recommended_action")).otherwise(policy)
     return context.withColumns(
         {
             "recommended_action": action,
-            "confidence": D.confidence(F.col("failing_scans")),
+            "confidence": F.when(answered, F.coalesce("diagnosis.confidence", sure)).otherwise(sure),
+            "probable_cause": F.when(answered, F.col("diagnosis.probable_cause")),
+            "action_details": F.when(answered, F.col("diagnosis.action_details")),
             "alert_severity": N.alert_severity(action, F.col("severity")),
             "issue_id": F.md5(
                 F.concat_ws("#", "evaluation_id", F.col("position").cast("string")).cast("binary")
             ),
         }
-    )
+    ).drop("diagnosis")
+
+
+_DIAGNOSIS = (
+    "struct<probable_cause:string,confidence:string,recommended_action:string,action_description:string,"
+    "explanation:string,parsed:boolean,action_details:string>"
+)
 
 
-def respond(evaluations: DataFrame, history: DataFrame, ts: Column) -> Response:
-    """All frames that follow from evaluations and the stored scans.
+def respond(
+    evaluations: DataFrame, history: DataFrame, ts: Column, answers: DataFrame | None = None
+) -> Response:
+    """All frames that follow from evaluations, the stored scans and, if a model was asked, its answers.
 
     Pass evaluations through `stored` first: every frame below starts from them. The scans of
     these evaluations count as history too, as if they had been stored before the diagnosis.
@@ -65,7 +89,7 @@ def respond(evaluations: DataFrame, history: DataFrame, ts: Column) -> Response:
     scans = V.scan_results(evaluations).withColumn("ts", ts)
     shared = ["evaluation_id", "table_name", "partition", "ts", "overall_score", "overall_status", "violation_count"]
     violation_rows = V.violations(evaluations)
-    acted = actions(violation_rows, history.select(*shared).unionByName(scans.select(*shared)))
+    acted = actions(violation_rows, history.select(*shared).unionByName(scans.select(*shared)), answers)
     message = F.concat(
         F.col("rule"), F.lit(" on "), F.col("table_name"), F.lit(" "), F.col("partition"), F.lit(": "),
         F.col("recommended_action"),

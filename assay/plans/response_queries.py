@@ -90,19 +90,32 @@ def _severity_rows(spark, d):
     )
 
 
-@query(
-    "diagnose_batch",
-    """WITH t AS (SELECT *, user_id % 5 AS n, CASE user_id % 3 WHEN 0 THEN 'quarantine_and_notify'
+_POLICY_SQL = """WITH t AS (SELECT *, user_id % 5 AS n, CASE user_id % 3 WHEN 0 THEN 'quarantine_and_notify'
     WHEN 1 THEN 'notify_only' ELSE 'auto_resolve' END AS a,
   CASE user_id % 3 WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'WARNING' ELSE 'INFO' END AS s FROM events)
 SELECT event_id, 'rule not met: Mean "' || event_type || '" > 1' AS probable_cause,
   CASE WHEN n >= 3 THEN 'HIGH' WHEN n >= 1 THEN 'MEDIUM' ELSE 'LOW' END AS confidence, a AS recommended_action,
   a || ' for ' || s || ' violation' AS action_description, n || ' failing scans on record' AS explanation,
-  true AS parsed FROM t""",
-)
+  true AS parsed, '{"description":"' || a || ' for ' || s || ' violation"}' AS action_details FROM t"""
+
+
+def _policy(spark, d):
+    answer = D.policy_answer(F.col("rule"), F.col("severity"), F.col("failing_scans"))
+    return _severity_rows(spark, d).withColumn("prompt", answer)
+
+
+@query("policy_answer", _POLICY_SQL)
+def policy_answer(spark, d):
+    """The answers of the default policy, where no model is asked, parsed."""
+    return _policy(spark, d).select("event_id", D.parse_answer(F.col("prompt")).alias("x")).select("event_id", "x.*")
+
+
+@query("diagnose_batch", _POLICY_SQL)
 def diagnose_batch(spark, d):
-    """Answers from the batch callable (the policy, where no model is asked), then parsed."""
-    answered = D.diagnose_batch(_severity_rows(spark, d))
+    """Answers from the batch callable, which here sends every prompt back in a code fence, parsed."""
+    answered = D.diagnose_batch(
+        _policy(spark, d), lambda prompts: "```json\n" + prompts + "\n```", ["event_id"], partitions=4
+    )
     return answered.select("event_id", D.parse_answer(F.col("answer")).alias("x")).select("event_id", "x.*")
 
 
@@ -114,7 +127,7 @@ def _answers(spark, d):
     body = F.concat(
         F.lit('{"probable_cause": "'), cause,
         F.lit('", "confidence": "HIGH", "recommended_action": "auto_resolve", '
-              '"action_details": {"description": "do"}, "explanation": "why"}'),
+              '"action_details": {"description":"do","column":"c"}, "explanation": "why"}'),
     )
     fence = "```"
     text = (
@@ -123,7 +136,7 @@ def _answers(spark, d):
         .when(kind == 2, F.concat(F.lit(f"{fence}\n"), body))
         .when(kind == 3, F.concat(F.lit(f"{fence}json\n"), F.lit('{"probable_cause": "see ' + fence + 'x'
                                                                  + fence + ' '), cause, F.lit(f'"}}\n{fence}')))
-        .when(kind == 4, F.concat(F.lit('{"probable_cause": "'), cause, F.lit('"}')))
+        .when(kind == 4, F.concat(F.lit('{"probable_cause": "'), cause, F.lit('", "action_details": ["a",1]}')))
         .when(kind == 5, F.concat(F.lit(f"{fence} no break "), cause))
         .otherwise(F.concat(F.lit("  not json "), cause, F.lit("\n")))
     )
@@ -144,7 +157,8 @@ _CAUSE = "'cause ' || event_id"
     THEN 'Could not parse structured diagnosis' END AS action_description,
   CASE WHEN user_id % 7 IN (0, 1, 2) THEN 'why' WHEN user_id % 7 = 5 THEN '``` no break ' || {_CAUSE}
     WHEN user_id % 7 = 6 THEN 'not json ' || {_CAUSE} END AS explanation,
-  user_id % 7 NOT IN (5, 6) AS parsed FROM events""",
+  user_id % 7 NOT IN (5, 6) AS parsed, CASE WHEN user_id % 7 IN (0, 1, 2) THEN '{{"description":"do","column":"c"}}'
+    WHEN user_id % 7 = 4 THEN '["a",1]' END AS action_details FROM events""",
 )
 def parse_diagnosis(spark, d):
     return _answers(spark, d).select("event_id", D.parse_answer(F.col("answer")).alias("x")).select("event_id", "x.*")
@@ -219,6 +233,59 @@ def response_decisions(spark, d):
     return out.drop("context")
 
 
+# Earlier scans on record by month, and what a model said by the violation's place: an answer, no JSON, nothing.
+_DIAGNOSED = f"""{_SCORED}, h AS (SELECT *, 1 + least(split_part("partition", 'month=', 2)::INT % 4, 4) AS failing FROM full_rows),
+a AS (SELECT *, md5(evaluation_id || '#' || position) AS issue_id,
+  CASE position % 3 WHEN 0 THEN 'auto_resolve' WHEN 1 THEN 'notify_only'
+    ELSE CASE severity WHEN 'CRITICAL' THEN 'quarantine_and_notify' ELSE 'notify_only' END END AS action,
+  CASE position % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'LOW' ELSE CASE WHEN failing >= 3 THEN 'HIGH' ELSE 'MEDIUM' END END AS confidence,
+  CASE position % 3 WHEN 0 THEN 'late file ' || position WHEN 1 THEN 'cannot tell' END AS cause FROM h)"""
+
+
+def _diagnosed(spark, d):
+    found = I.stored_evaluations(spark, d)
+    scans = V.scan_results(found).withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz"))
+    month = F.substring_index("partition", "month=", -1).cast("int")
+    earlier = scans.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(3)))).where(F.col("n") <= month % 4)
+    earlier = earlier.withColumn("evaluation_id", F.concat_ws("#", "evaluation_id", "n")).withColumn("violation_count", F.lit(1).cast("bigint"))
+    said = F.when(
+        F.col("position") % 3 == 0,
+        F.concat(
+            F.lit('{"probable_cause": "late file '), F.col("position").cast("string"),
+            F.lit('", "confidence": "HIGH", "recommended_action": "auto_resolve", "action_details": {"days":2}}'),
+        ),
+    ).when(F.col("position") % 3 == 1, "cannot tell")
+    ids = list(P.ANSWER_IDS)
+    answers = D.chosen(V.violations(found).select(*ids, said.alias("answer")), ids)
+    return P.respond(found, earlier, F.lit(_NOW).cast("timestamp_ntz"), answers)
+
+
+@query(
+    "response_diagnosed",
+    f"""WITH {_DIAGNOSED} SELECT evaluation_id, rule, severity, issue_id, action AS recommended_action, confidence,
+  cause AS probable_cause, CASE WHEN position % 3 = 0 THEN '{{"days":2}}' END AS action_details,
+  failing::BIGINT AS failing_scans,
+  CASE WHEN action = 'quarantine_and_notify' OR severity = 'CRITICAL' THEN 'critical'
+    WHEN action = 'notify_only' THEN 'warning' END AS alert_severity FROM a""",
+)
+def response_diagnosed(spark, d):
+    """Parsed answers decide the action; violations without one follow the policy, by their history."""
+    return _diagnosed(spark, d).actions.select(
+        "evaluation_id", "rule", "severity", "issue_id", "recommended_action", "confidence", "probable_cause",
+        "action_details", F.col("failing_scans").cast("bigint").alias("failing_scans"), "alert_severity",
+    )
+
+
+@query(
+    "diagnosis_decisions",
+    f"""WITH {_DIAGNOSED} SELECT "partition", coalesce(cause, severity || ' ' || type || ' violation, ' || failing
+  || ' failing scans on record') AS reasoning, action AS action_taken, 'confidence ' || confidence AS outcome FROM a""",
+)
+def diagnosis_decisions(spark, d):
+    rows = _diagnosed(spark, d).decisions.where(F.col("decision_type") == "diagnosis_complete")
+    return rows.select("partition", "reasoning", "action_taken", "outcome")
+
+
 # --- metrics and alarms ------------------------------------------------------------------------
 
 _POINT = "SELECT ts, '{}' AS name, ({})::DOUBLE AS value, '{}' AS unit, {} AS dimensions FROM {}"
