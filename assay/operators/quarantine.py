@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from assay.functions.text import partition_pairs
 from assay.operators.history import before_score
-from assay.sources.partitions import write_partitions
-from assay.sources.tables import partition_filter
+from assay.operators.retention import DAY, remove_folders, with_folder
+from assay.session import broadcast_checked
+from assay.sources.partitions import path_exists, write_partitions
+from assay.sources.tables import parse_partition, partition_filter
 
 
 @dataclass(frozen=True)
@@ -63,60 +65,182 @@ def clean_rows(df: DataFrame, request: Request) -> DataFrame:
     return df.where(request.scope).where(~request.bad)
 
 
-def tag_issues(df: DataFrame, requests: Sequence[Request]) -> DataFrame:
-    """Bad rows of several requests in one pass, each with the ids of all issues it belongs to.
+# Distinct predicates of one call: each is an expression of the plan. Requests have no such bound.
+MAX_PREDICATES = 200
+# Partitions in scope that become a filter of the plan; beyond that the join with the scopes prunes.
+MAX_SCOPES = 100
+Requests = Sequence[Request] | DataFrame
 
-    The filter is an OR of partition equality and predicate, so partitions are still pruned.
-    """
-    hits = [F.when(r.scope & r.bad, F.lit(r.issue)) for r in requests]
-    plain = _any([r.scope & F.expr(f"({r.filter_condition.strip()})") for r in requests])
-    return df.where(plain).withColumn(
-        "issue_ids", F.array_except(F.array(*hits), F.array(F.lit(None).cast("string")))
-    )
+
+@dataclass(frozen=True)
+class _Requested:
+    """Requests of one call as a table: `number`, `issue_id`, `table_name`, `partition`, `filter_condition`,
+    `run_id`, `predicate` (its place in `predicates`), and a column per partition key, by set of keys."""
+
+    predicates: list[str]
+    by_keys: dict[tuple[str, ...], DataFrame]
+    scopes: list[dict[str, str]] | None
+
+    @property
+    def wanted(self) -> Column:
+        """Rows that any predicate may concern, in scope as far as the plan can say."""
+        if self.scopes is None:
+            return F.lit(True)
+        return _any([reduce(lambda a, b: a & b, [F.col(k) == v for k, v in one.items()]) for one in self.scopes])
+
+
+def _requested(spark: SparkSession, requests: Requests) -> _Requested:
+    columns = ("issue_id", "table_name", "partition", "filter_condition")
+    if isinstance(requests, DataFrame):
+        given = requests.select(F.coalesce("issue_id", F.lit("")).alias("issue_id"), *columns[1:])
+        given = given.withColumn("number", F.xxhash64(*columns))
+    else:
+        for r in requests:
+            parse_partition(r.partition)  # a broken scope raises before anything is read
+        rows = [(r.issue_id, r.table_name, r.partition, r.filter_condition, n) for n, r in enumerate(requests)]
+        given = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns) + ", number bigint")
+    pairs = F.filter(F.split("partition", "/"), lambda p: p.contains("="))
+    made = F.md5(F.concat_ws("#", "table_name", "partition", "filter_condition").cast("binary"))
+    table = given.where(F.size(pairs) > 0).select(
+        "number", F.when(F.col("issue_id") == "", made).otherwise(F.col("issue_id")).alias("issue_id"),
+        "table_name", "partition", "filter_condition", run_id(F.col("filter_condition")).alias("run_id"),
+        F.trim("filter_condition").alias("condition"),
+        F.map_from_entries(
+            F.transform(pairs, lambda p: F.struct(F.substring_index(p, "=", 1), F.substr(p, F.instr(p, "=") + 1)))
+        ).alias("scope"),
+    ).withColumn("keys", F.array_sort(F.map_keys("scope")))
+    # Predicates, sets of keys and a few scopes: bounded lists that shape the plan.
+    found = table.select("condition").distinct().limit(MAX_PREDICATES + 1).collect()
+    if len(found) > MAX_PREDICATES:
+        raise ValueError(f"more than {MAX_PREDICATES} different predicates in one call")
+    predicates = sorted(row["condition"] for row in found)
+    numbered = F.array_position(F.array(*map(F.lit, predicates)), F.col("condition")) if predicates else F.lit(0)
+    by_keys = {}
+    for row in table.select("keys").distinct().collect():
+        keys = tuple(row["keys"])
+        own = table.where(F.col("keys") == F.array(*map(F.lit, keys)))
+        by_keys[keys] = own.select(
+            "number", "issue_id", "table_name", "partition", "filter_condition", "run_id", numbered.cast("int").alias("predicate"),
+            *[F.col("scope")[k].alias(f"key_{k}") for k in keys],
+        )
+    scopes = [dict(row["scope"]) for row in table.select("scope", F.to_json("scope").alias("j")).dropDuplicates(["j"]).limit(MAX_SCOPES + 1).collect()]
+    return _Requested(predicates, by_keys, scopes if len(scopes) <= MAX_SCOPES else None)
+
+
+def run_id(condition: Column) -> Column:
+    """The folder of a request's copy within its issue: requests with other predicates have others."""
+    return F.left(F.md5(F.trim(condition).cast("binary")), F.lit(12))
 
 
-def quarantine_counts(df: DataFrame, requests: Sequence[Request]) -> DataFrame:
-    """Bad, total and remaining rows of every request in one aggregate over the predicates'
-    columns and the partitions in scope. Exact also when tasks are repeated."""
-    aggregates = []
-    for i, r in enumerate(requests):
-        aggregates += [
-            F.count_if(r.scope & r.bad).alias(f"bad_{i}"),
-            F.count_if(r.scope).alias(f"total_{i}"),
-        ]
-    one = df.where(_any([r.scope for r in requests])).agg(*aggregates)
+def _on_keys(keys: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).cast("string") == F.col(f"key_{k}") for k in keys])
+
+
+def _tagged(df: DataFrame, requests: Requests) -> DataFrame:
+    """Bad rows with `hits`, an array of (number, issue_id, run_id) of the requests they belong to.
+
+    The predicates are one filter, pushed down to the scan. The requests of a partition lie in one row
+    of a small table that is joined by the partition keys, so the plan does not grow with them.
+    """
+    asked = _requested(df.sparkSession, requests)
+    if not asked.predicates:
+        return df.where(F.lit(False)).withColumn("hits", F.lit(None).cast("array<struct<number:bigint,issue_id:string,run_id:string>>"))
+    names = df.columns
+    out = df.where(asked.wanted & _any([F.expr(f"({p})") for p in asked.predicates]))
+    lists = []
+    for n, (keys, own) in enumerate(asked.by_keys.items()):
+        entry = F.struct("number", "predicate", "issue_id", "run_id")
+        scope = own.groupBy(*[f"key_{k}" for k in keys]).agg(F.sort_array(F.collect_list(entry)).alias(f"requests_{n}"))
+        how = "inner" if len(asked.by_keys) == 1 else "left"
+        out = out.join(broadcast_checked(scope), _on_keys(keys), how).drop(*[f"key_{k}" for k in keys])
+        lists.append(F.coalesce(f"requests_{n}", F.array()))
+    holds = F.array(*[is_bad(p) for p in asked.predicates])
+    mine = F.filter(F.sort_array(F.concat(*lists)), lambda r: F.element_at(F.col("__holds"), r["predicate"]))
+    hits = F.transform(mine, lambda r: F.struct(r["number"], r["issue_id"], r["run_id"]))
+    tagged = out.withColumn("__holds", holds).withColumn("hits", hits).where(F.size("hits") > 0)
+    return tagged.select(*names, "hits")
+
+
+def tag_issues(df: DataFrame, requests: Requests) -> DataFrame:
+    """Bad rows of several requests in one pass, each with the ids of all issues it belongs to."""
+    issues = F.array_distinct(F.transform("hits", lambda h: h["issue_id"]))
+    return _tagged(df, requests).withColumn("issue_ids", issues).drop("hits")
+
+
+def quarantine_counts(df: DataFrame, requests: Requests) -> DataFrame:
+    """Bad, total and remaining rows of every request, from one aggregate over the predicates'
+    columns and the partitions in scope (for each set of keys that requests name). Exact also when
+    tasks are repeated. Requests whose partition text names no partition have no row."""
+    asked = _requested(df.sparkSession, requests)
+    parts = []
+    for keys, own in asked.by_keys.items():
+        counted = df.where(asked.wanted).groupBy(*[F.col(k).cast("string").alias(f"key_{k}") for k in keys]).agg(
+            F.count("*").alias("total"), F.array(*[F.count_if(is_bad(p)) for p in asked.predicates]).alias("bad")
+        )
+        parts.append(own.join(counted, [f"key_{k}" for k in keys], "left"))
+    zero = F.lit(0).cast("bigint")
+    bad, total = F.coalesce(F.element_at("bad", F.col("predicate")), zero), F.coalesce("total", zero)
+    schema = (
+        "issue_id string, table_name string, partition string, filter_condition string, bad_count bigint, "
+        "total_count bigint, remaining_count bigint"
+    )
     rows = [
-        F.struct(
-            F.lit(r.issue).alias("issue_id"),
-            F.lit(r.table_name).alias("table_name"),
-            F.lit(r.partition).alias("partition"),
-            F.lit(r.filter_condition).alias("filter_condition"),
-            F.col(f"bad_{i}").alias("bad_count"),
-            F.col(f"total_{i}").alias("total_count"),
-            (F.col(f"total_{i}") - F.col(f"bad_{i}")).alias("remaining_count"),
+        p.select(
+            "issue_id", "table_name", "partition", "filter_condition", bad.alias("bad_count"),
+            total.alias("total_count"), (total - bad).alias("remaining_count"),
         )
-        for i, r in enumerate(requests)
+        for p in parts
     ]
-    return one.select(F.inline(F.array(*rows)))
+    return reduce(DataFrame.unionByName, rows) if rows else df.sparkSession.createDataFrame([], schema)
 
 
 def write_quarantine(
-    df: DataFrame, requests: Sequence[Request], path: str, keys: Sequence[str], written_at: Column
+    df: DataFrame, requests: Requests, path: str, keys: Sequence[str], written_at: Column
 ) -> None:
-    """Copy bad rows to `path/table_name=/<keys>/issue_id=/`.
+    """Copy bad rows to `path/table_name=/<keys>/issue_id=/run_id=/written_on=/`.
 
-    A repeated request overwrites its own folder and no other, so a replay leaves one copy.
-    Requests of one call must concern one source table.
+    A run is one predicate under an issue, so several requests of an issue keep their rows apart. What
+    a request has stored before goes first, so that a replay leaves one copy, and none if nothing matches
+    any more; the rows stay in the source, and a replay after a failure stores them again. Requests of one
+    call must concern one source table.
     """
-    (table,) = {r.table_name for r in requests}
+    spark = df.sparkSession
+    asked = _requested(spark, requests)
+    tables = {r["table_name"] for own in asked.by_keys.values() for r in own.select("table_name").distinct().limit(2).collect()}
+    if not tables:
+        return
+    (table,) = tables
+    if path_exists(spark, path):
+        zone = read_quarantine(spark, path, keys).where(F.col("table_name") == table)
+        runs = reduce(
+            DataFrame.unionByName,
+            [
+                with_folder(zone).join(
+                    broadcast_checked(own.select("issue_id", "run_id", *[f"key_{k}" for k in named]).distinct()),
+                    (zone["issue_id"] == own["issue_id"]) & (zone["run_id"] == own["run_id"]) & _on_keys(named),
+                    "left_semi",
+                ).select("folder")
+                for named, own in asked.by_keys.items()
+            ],
+        )
+        remove_folders(spark, runs.distinct())
     tagged = (
-        tag_issues(df, requests)
-        .withColumn("issue_id", F.explode("issue_ids"))
-        .drop("issue_ids")
-        .withColumn("table_name", F.lit(table))
-        .withColumn("written_at", written_at)
+        _tagged(df, requests)
+        .withColumn("hit", F.explode(F.array_distinct(F.transform("hits", lambda h: F.struct(h["issue_id"], h["run_id"])))))
+        .withColumns(
+            {
+                "table_name": F.lit(table), "issue_id": F.col("hit.issue_id"), "run_id": F.col("hit.run_id"),
+                "written_at": written_at, DAY: F.date_format(written_at, "yyyy-MM-dd"),
+            }
+        )
+        .drop("hits", "hit")
     )
-    write_partitions(tagged, path, ["table_name", *keys, "issue_id"], mode="overwrite")
+    write_partitions(tagged, path, zone_keys(keys), mode="overwrite")
+
+
+def zone_keys(keys: Sequence[str]) -> list[str]:
+    """The folder levels of the zone."""
+    return ["table_name", *keys, "issue_id", "run_id", DAY]
 
 
 def after_score(before: Column, bad: Column, total: Column) -> Column:
@@ -195,7 +319,7 @@ def check_requests(requests: DataFrame) -> DataFrame:
 def read_quarantine(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
     """The quarantine zone with text partition keys."""
     found = spark.read.option("basePath", path).parquet(path).schema
-    texts = {"table_name", *keys, "issue_id"}
+    texts = set(zone_keys(keys))
     schema = ", ".join(
         f"`{f.name}` {'string' if f.name in texts else f.dataType.simpleString()}" for f in found
     )

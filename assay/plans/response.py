@@ -18,6 +18,7 @@ from assay.operators import metrics as M
 from assay.operators import notify as N
 from assay.operators import quarantine as Q
 from assay.operators import violations as V
+from assay.session import scratch_dir
 
 
 @dataclass(frozen=True)
@@ -123,17 +124,17 @@ class Isolation:
 
 
 def isolate(
-    df: DataFrame, requests: Sequence[Q.Request], scans: DataFrame, path: str, keys: Sequence[str], ts: Column
+    df: DataFrame, requests: Q.Requests, scans: DataFrame, path: str, keys: Sequence[str], ts: Column
 ) -> Isolation:
     """Copy the bad rows of all requests to the zone, with counts and everything that records it.
 
-    Two reads of the partitions in scope, whatever the number of requests: the copy, whose filter
-    is pushed down to the files, and the counts, which need the predicates' columns only. The
-    counts are an aggregate of their own, and not gathered during the copy, so that a repeated
-    task cannot count twice.
+    The partitions in scope are read twice, whatever the number of requests: by the copy, whose filter
+    is pushed down to the files, and by the counts, which need the predicates' columns only and are
+    stored once for the frames made of them. The counts are an aggregate of their own, and not gathered
+    during the copy, so that a repeated task cannot count twice.
     """
     Q.write_quarantine(df, requests, path, keys, ts)
-    counts = Q.quarantine_counts(df, requests)
+    counts = stored(Q.quarantine_counts(df, requests), scratch_dir(df.sparkSession, "quarantine-counts"))
     remediations = Q.remediation_rows(counts, scans, ts, path)
     decisions = Q.remediation_decisions(remediations)
     points = M.remediation_metrics(remediations).unionByName(M.decision_metrics(decisions))

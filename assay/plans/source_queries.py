@@ -400,7 +400,7 @@ _ZONE_SQL = " UNION ALL ".join(
 
 @query("quarantine_write", f"WITH {I.CORRUPT} {_ZONE_SQL}")
 def quarantine_write(spark, d):
-    return _round(Q.read_quarantine(spark, _zone(spark, d), I.BY))
+    return _round(Q.read_quarantine(spark, _zone(spark, d), I.BY)).drop("run_id", "written_on")
 
 
 @query("quarantine_rows", f"WITH {I.CORRUPT} SELECT {_ROW_SQL}, year, month FROM dirty WHERE year = '1999' AND ({_FLAG})")
@@ -410,7 +410,96 @@ def quarantine_rows(spark, d):
     when = F.lit("2024-01-31 12:00:00").cast("timestamp_ntz")
     Q.write_quarantine(I.corrupted(spark, d), REQUESTS[2:3], path, I.BY, when)
     zone = Q.read_quarantine(spark, path, I.BY).where(F.col("issue_id") == "issue-flag")
-    return _round(zone).drop("table_name", "issue_id", "written_at")
+    return _round(zone).drop("table_name", "issue_id", "run_id", "written_on", "written_at")
+
+
+_KEYS_SQL = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
+
+
+@query(
+    "quarantine_runs",
+    f"""WITH {I.FACT} SELECT {_KEYS_SQL}, 'two: 50%' AS issue_id, 'a' AS run FROM fact WHERE {_MARCH} AND l_quantity > 40
+UNION ALL SELECT {_KEYS_SQL}, 'two: 50%', 'b' FROM fact WHERE {_MARCH} AND l_tax < 0.02""",
+)
+def quarantine_runs(spark, d):
+    """Two requests under one issue id, in two calls, beside one that at first matches and then does not."""
+    path = scratch_dir(spark, "quarantine")
+    when = F.lit("2024-01-31 12:00:00").cast("timestamp_ntz")
+    fact, scope = I.fact(spark, d), "year=1998/month=03"
+    a = Q.Request("lineitem", scope, "l_quantity > 40", "two: 50%")
+    b = Q.Request("lineitem", scope, "l_tax < 0.02", "two: 50%")
+    gone = Q.Request("lineitem", scope, "l_discount > 0.05", "two: 50%")
+    Q.write_quarantine(fact, [a, gone], path, I.BY, when)
+    Q.write_quarantine(fact, [b], path, I.BY, when)
+    Q.write_quarantine(fact.where("l_discount <= 0.05"), [gone], path, I.BY, when)
+    zone = Q.read_quarantine(spark, path, I.BY)
+    names = F.when(F.col("run_id") == Q.run_id(F.lit(a.filter_condition)), "a").otherwise("b")
+    return zone.select(*_KEYS_SQL.split(", "), "issue_id", names.alias("run"))
+
+
+_FOUR = ["l_quantity > 45", "l_tax < 0.01", "l_discount > 0.09", "l_extendedprice > 90000"]
+
+
+def _monthly_requests(spark, d):
+    """A request per month and predicate: several hundred."""
+    months = I.fact(spark, d).select("year", "month").distinct()
+    conditions = F.array(*map(F.lit, _FOUR))
+    spec = F.concat(F.lit("year="), "year", F.lit("/month="), "month")
+    rows = months.select(spec.alias("partition"), F.posexplode(conditions).alias("n", "filter_condition"))
+    return rows.select(
+        F.concat_ws("#", "partition", "n").alias("issue_id"), F.lit("lineitem").alias("table_name"), "partition", "filter_condition"
+    )
+
+
+_MONTHLY = f"""m AS (SELECT 'year=' || year || '/month=' || month AS "partition", * FROM fact),
+asked AS (SELECT * FROM (VALUES {", ".join(f"({n}, '{c}')" for n, c in enumerate(_FOUR))}) AS v(n, filter_condition)),
+hit AS ({" UNION ALL ".join(f"SELECT {n} AS n, * FROM m WHERE {c}" for n, c in enumerate(_FOUR))})"""
+
+
+@query(
+    "quarantine_counts_many",
+    f"""WITH {I.FACT}, {_MONTHLY}, totals AS (SELECT "partition", count(*) AS total_count FROM m GROUP BY ALL),
+bad AS (SELECT "partition", n, count(*) AS bad_count FROM hit GROUP BY ALL)
+SELECT t."partition" || '#' || a.n AS issue_id, 'lineitem' AS table_name, t."partition", filter_condition,
+  coalesce(bad_count, 0) AS bad_count, total_count, total_count - coalesce(bad_count, 0) AS remaining_count
+FROM totals t CROSS JOIN asked a LEFT JOIN bad b ON b."partition" = t."partition" AND b.n = a.n""",
+)
+def quarantine_counts_many(spark, d):
+    return Q.quarantine_counts(I.fact(spark, d), _monthly_requests(spark, d))
+
+
+@query(
+    "quarantine_write_many",
+    f"""WITH {I.FACT}, {_MONTHLY} SELECT {_KEYS_SQL}, "partition" || '#' || n AS issue_id FROM hit""",
+)
+def quarantine_write_many(spark, d):
+    """Several hundred requests, given as a table, in one call."""
+    path = scratch_dir(spark, "quarantine")
+    requests = _monthly_requests(spark, d)
+    when = F.lit("2024-01-31 12:00:00").cast("timestamp_ntz")
+    Q.write_quarantine(I.fact(spark, d), requests, path, I.BY, when)
+    return Q.read_quarantine(spark, path, I.BY).select(*_KEYS_SQL.split(", "), "issue_id")
+
+
+@query(
+    "expire_escaped",
+    f"""WITH {I.FACT} SELECT {_KEYS_SQL}, 'new:1%' AS issue_id FROM fact WHERE {_MARCH} AND l_quantity > 40
+UNION ALL SELECT {_KEYS_SQL}, 'mixed=a b/c' FROM fact WHERE {_MARCH} AND l_tax < 0.02 AND l_linenumber % 2 = 0""",
+)
+def expire_escaped(spark, d):
+    """Issue ids that folder names have to escape; old, new and partly expired copies."""
+    path = scratch_dir(spark, "expire")
+    fact, scope = I.fact(spark, d), "year=1998/month=03"
+    requests = {
+        "old:1%": ("l_discount > 0.05", F.lit("2023-06-01 08:00:00")),
+        "new:1%": ("l_quantity > 40", F.lit("2024-01-31 12:00:00")),
+        # Written on the day of the cutoff, before and after its time.
+        "mixed=a b/c": ("l_tax < 0.02", F.when(F.col("l_linenumber") % 2 == 0, "2024-01-15 13:00:00").otherwise("2024-01-15 11:00:00")),
+    }
+    for issue, (condition, when) in requests.items():
+        Q.write_quarantine(fact, [Q.Request("lineitem", scope, condition, issue)], path, I.BY, when.cast("timestamp_ntz"))
+    T.expire_quarantine(spark, path, Q.zone_keys(I.BY), F.lit("2024-04-14 12:00:00").cast("timestamp"))
+    return Q.read_quarantine(spark, path, I.BY).select(*_KEYS_SQL.split(", "), "issue_id")
 
 
 # The audit scans of the quarantined partitions: events of one user stand for each partition.
@@ -491,7 +580,7 @@ FROM dirty WHERE {_MARCH} AND ({_QTY})""",
 def recover_issue(spark, d):
     zone = Q.read_quarantine(spark, _zone(spark, d), I.BY)
     found = _round(Q.recover_issue(zone, _remediations(spark, d), "issue-qty"))
-    return found.drop("issue_id", "table_name", "year", "month", "written_at")
+    return found.drop("issue_id", "table_name", "year", "month", "run_id", "written_on", "written_at")
 
 
 @query(
