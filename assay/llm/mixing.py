@@ -84,7 +84,8 @@ def source_targets(
         .otherwise(share.cast("double") / F.col("rest_weight").cast("double"))
         .alias("target"),
         F.when(F.col("stopped"), _whole(F.lit(max_copies))).otherwise(_whole(share)).alias("numerator"),
-        F.when(F.col("stopped"), _whole(F.lit(1)))
+        F.when(F.col("source_size") == 0, _whole(F.lit(0)))
+        .when(F.col("stopped"), _whole(F.lit(1)))
         .otherwise(_whole(F.col("rest_weight")) * size)
         .alias("denominator"),
         offset.alias("offset"),

@@ -33,7 +33,7 @@ WITH sized AS (
          CASE WHEN stopped THEN 3.0::DOUBLE * source_size::DOUBLE
               ELSE (weight * rest)::DOUBLE / rest_weight::DOUBLE END AS target,
          CASE WHEN stopped THEN 3::HUGEINT ELSE (weight * rest)::HUGEINT END AS num,
-         CASE WHEN stopped THEN 1::HUGEINT ELSE rest_weight::HUGEINT * source_size END AS den,
+         CASE WHEN source_size = 0 THEN 0::HUGEINT WHEN stopped THEN 1::HUGEINT ELSE rest_weight::HUGEINT * source_size END AS den,
          ('0x' || substr(md5('{SEED}|offset|' || CASE WHEN source IS NULL THEN '0|' ELSE '1|' END
            || coalesce(source, '')), 1, 8))::HUGEINT AS shift
   FROM shared

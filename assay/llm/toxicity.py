@@ -91,6 +91,22 @@ class LevenshteinAutomaton:
         return min((e for p, e, swapping in state if p == len(self.word) and not swapping), default=None)
 
 
+def _lasting_pieces(entry: str, limit: int) -> list[str]:
+    """Strings of which every form of `entry` within `limit` edits holds one: of limit + 1 pieces one stays
+    whole, unless characters are swapped across cuts, and then the pieces beside them stay but for that."""
+    if not limit:
+        return []
+    cut = [len(entry) * n // (limit + 1) for n in range(limit + 2)]
+    out = [entry[a:b] for a, b in zip(cut, cut[1:])]
+    for first in range(1, limit + 1):
+        for last in range(first, limit + 1):
+            chars = list(entry)
+            for at in cut[first : last + 1]:
+                chars[at - 1], chars[at] = chars[at], chars[at - 1]
+            out.append("".join(chars[cut[first - 1] : cut[last + 1]]))
+    return out
+
+
 @dataclass
 class Lexicon:
     """Words and stems (`word*`) with their weights, as a trie; ordinary words match nothing misspelled."""
@@ -110,9 +126,7 @@ class Lexicon:
             for char in entry:
                 node = node.setdefault(char, {})
             node[""] = entry
-            if parts := edits_allowed(entry):  # one of limit + 1 pieces stays whole
-                cut = [len(entry) * n // (parts + 1) for n in range(parts + 2)]
-                pieces.update(entry[a:b] for a, b in zip(cut, cut[1:]))
+            pieces.update(_lasting_pieces(entry, edits_allowed(entry)))
         self.near = re.compile("|".join(map(re.escape, sorted(pieces)))) if pieces else None
 
     def nearest(self, word: str) -> tuple[int, str] | None:
