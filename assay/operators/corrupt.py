@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -219,37 +219,42 @@ def _mark(df: DataFrame, marks: Column) -> DataFrame:
     return df.withColumn("__copy", F.explode(marks)).withColumn(KEY, F.concat(F.col(KEY), F.col("__copy")))
 
 
-def _exact_count(df: DataFrame, op: str, seed: int, total: DataFrame, rate: float) -> Column:
-    """Predicate that holds for int(n * rate) rows, n from the one-row frame `total`.
+def _exact_count(df: DataFrame, op: str, seed: int, rate: float, total: int | None) -> tuple[Column, int]:
+    """Predicate that holds for int(n * rate) rows, and n: `total`, or the rows of `df`.
 
-    The rows with the smallest digests are chosen. Their edge is found by a histogram over the
-    first 20 bits and by a running count within the one bucket it falls into, so nothing larger
-    than a bucket (a millionth of the distinct keys) is ever sorted in one place. Both counts are
-    combined map-side, so a key that repeats in a third of all rows is one row there. Rows of one
-    key are chosen together: the number is exact where keys are unique.
+    The rows with the smallest digests are chosen. A histogram over the first 20 bits of the digests
+    gives n and the bucket that their edge falls into, a second one over the next 20 bits the bucket
+    within that, and only its rows (a 2**40th of the distinct keys) are looked at one by one. All counts
+    are combined map-side, so a key that repeats in a third of all rows is one row there. Rows of one key
+    are chosen together: the number is exact where keys are unique.
     """
     dig = digest(seed, op, "", F.col(KEY))
     draw = F.struct(dig.alias("d"), F.col(KEY).alias("k"))
-    drawn = df.select(draw.alias("draw")).withColumn("bucket", F.substring("draw.d", 1, 5))
-
-    def counted(by: str, rows: DataFrame) -> DataFrame:
-        """Rows per value and rows up to it. At most 2**20 values, so one window is bounded."""
-        upto = F.sum("n").over(Window.orderBy(by))
-        return rows.groupBy(by).agg(F.count("*").alias("n")).withColumn("upto", upto)
-
-    wanted = total.select(F.floor(F.col("n") * F.lit(rate)).cast("bigint")).scalar()
-    edge = (
-        counted("bucket", drawn)
-        .where(F.col("upto") >= wanted)
-        .agg(F.min(F.struct("bucket", (F.col("upto") - F.col("n")).alias("before"))).alias("e"))
-        .select("e.*")
-    )
-    last = (
-        counted("draw", drawn.where(F.col("bucket") == edge.select("bucket").scalar()))
-        .where(F.col("upto") >= wanted - edge.select("before").scalar())
-        .agg(F.min("draw"))
-    )
-    return F.coalesce((draw <= last.scalar()) & (wanted > 0), F.lit(False))
+    drawn = df.select(draw.alias("draw"))
+
+    def edge(rows: DataFrame, by: Column, wanted: Column) -> Row | None:
+        """The value at which the running count reaches `wanted`, and the count before it. At most
+        2**20 values, so one window is bounded."""
+        counted = rows.groupBy(by.alias("value")).agg(F.count("*").alias("n"))
+        everyone = Window.partitionBy()
+        upto = counted.select(
+            "value", F.sum("n").over(everyone).alias("rows"), F.sum("n").over(everyone.orderBy("value")).alias("upto"), "n"
+        ).withColumn("wanted", wanted)
+        reached = upto.where(F.col("upto") >= F.col("wanted"))
+        return reached.orderBy("value").select("value", "rows", "wanted", (F.col("upto") - F.col("n")).alias("before")).first()
+
+    known = F.col("rows") if total is None else F.lit(total)
+    bucket = F.substring("draw.d", 1, 5)
+    first = edge(drawn, bucket, F.floor(known * F.lit(rate)).cast("bigint"))
+    if first is None or not first["wanted"]:
+        n = total if total is not None else (first["rows"] if first else 0)
+        return F.lit(False), n
+    n, left = (first["rows"] if total is None else total), first["wanted"] - first["before"]
+    inner = drawn.where(bucket == first["value"])
+    second = edge(inner, F.substring("draw.d", 6, 5), F.lit(left).cast("bigint"))
+    prefix = first["value"] + second["value"]
+    last = edge(inner.where(F.substring("draw.d", 1, 10) == prefix), F.col("draw"), F.lit(left - second["before"]).cast("bigint"))
+    return draw <= F.struct(F.lit(last["value"]["d"]).alias("d"), F.lit(last["value"]["k"]).alias("k")), n
 
 
 def inject_duplicates(
@@ -263,8 +268,8 @@ def inject_duplicates(
     """Exact copies, then near copies with normal noise on the first three double columns.
 
     By default a row is copied with the given probability, so the number of copies is binomial
-    around n * rate, in one pass. With `exact_count` it is int(n * rate), at the price of two
-    more scans of the key columns. A row is copied at most once per kind. Near copies are drawn
+    around n * rate, in one pass. With `exact_count` it is int(n * rate), at the price of one more
+    scan of the key columns and two of a millionth of them, for either kind. A row is copied at most once per kind. Near copies are drawn
     after exact ones, from a pool that holds them, and their number refers to the rows before.
     """
     if not config.get("enabled"):
@@ -305,15 +310,15 @@ def inject_duplicates(
 
 
 def _counted_copies(df: DataFrame, exact: float, near: float, seed: int) -> DataFrame:
-    """Exactly int(n * rate) copies of either kind, in two rounds."""
-    total = df.agg(F.count("*").alias("n"))
-
-    def copied(frame: DataFrame, op: str, rate: float, suffix: str) -> DataFrame:
-        chosen = _exact_count(frame, op, seed, total, rate)
-        return _mark(frame, F.when(chosen, _marks("", suffix)).otherwise(_marks("")))
-
-    out = copied(df, "exact", exact, "|x").drop("__copy") if exact > 0 else df
-    return copied(out, "near", near, "|n") if near > 0 else out
+    """Exactly int(n * rate) copies of either kind, in two rounds; n is counted in the first."""
+    out, total = df, None
+    if exact > 0:
+        chosen, total = _exact_count(df, "exact", seed, exact, None)
+        out = _mark(df, F.when(chosen, _marks("", "|x")).otherwise(_marks(""))).drop("__copy")
+    if near > 0:
+        chosen, _ = _exact_count(out, "near", seed, near, total)
+        out = _mark(out, F.when(chosen, _marks("", "|n")).otherwise(_marks("")))
+    return out
 
 
 def inject_drift(df: DataFrame, config: dict) -> DataFrame:

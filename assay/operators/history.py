@@ -42,9 +42,11 @@ def history_per_key(scans: DataFrame, n: int = CONTEXT_SCANS, shown: int = CONTE
 def history_context(violations: DataFrame, scans: DataFrame) -> DataFrame:
     """Violations with their partition's history; no table or partition → no history.
 
-    The current scan is part of it once it has been stored.
+    The current scan is part of it once it has been stored. Only the scans of violated keys are ranked:
+    the few keys filter the history before its window.
     """
-    history = history_per_key(scans.where((F.col("table_name") != "") & (F.col("partition") != "")))
+    asked = violations.select(*SCAN_KEY).where((F.col("table_name") != "") & (F.col("partition") != "")).distinct()
+    history = history_per_key(scans.join(asked, list(SCAN_KEY), "left_semi"))
     return violations.join(history, list(SCAN_KEY), "left").withColumns(
         {
             "previous_scans": F.coalesce("previous_scans", F.lit(0)),

@@ -8,8 +8,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
-from assay.session import broadcast_checked
-
 # Metric names and units.
 SCORE, ANOMALIES, ACTIONS = "OverallQualityScore", "AnomaliesDetected", "RemediationActions"
 QUARANTINED, DECISIONS, DIMENSION_SCORE = "RecordsQuarantined", "DecisionCount", "QualityScore"
@@ -88,12 +86,21 @@ def scan_metrics(scans: DataFrame) -> DataFrame:
 
 
 def remediation_metrics(remediations: DataFrame) -> DataFrame:
+    """Two points of each remediation, from one pass."""
     table = F.col("table_name")
-    return _metric(
-        remediations, ACTIONS, F.lit(1), "Count", TableName=table, ActionType=F.col("action_type")
-    ).unionByName(
-        _metric(remediations, QUARANTINED, F.col("records_affected"), "Count", TableName=table)
+
+    def point(name: str, value: Column, **dimensions: Column) -> Column:
+        pairs = [x for k, v in dimensions.items() for x in (F.lit(k), v)]
+        return F.struct(
+            F.lit(name).alias("name"), value.cast("double").alias("value"), F.lit("Count").alias("unit"),
+            F.create_map(*pairs).alias("dimensions"),
+        )
+
+    points = F.array(
+        point(ACTIONS, F.lit(1), TableName=table, ActionType=F.col("action_type")),
+        point(QUARANTINED, F.col("records_affected"), TableName=table),
     )
+    return remediations.select("ts", F.inline(points))
 
 
 def decision_metrics(decisions: DataFrame) -> DataFrame:
@@ -170,8 +177,8 @@ ALARM_COLUMNS = ("alarm", "metric", "period", "statistic", "threshold", "compari
 def alarm_windows(metrics: DataFrame, alarms: DataFrame) -> DataFrame:
     """One row per alarm and period with data: the statistic and whether it breaches.
 
-    `alarms` is configuration of a few rows (see `alarm_table`) and is broadcast after a check of
-    its size: an equality on the metric name, with the dimensions compared on matching rows.
+    An equality on the metric name, with the dimensions compared on matching rows. `alarms` is
+    configuration of a few local rows (see `alarm_table`), whose size Spark knows and broadcasts.
     """
     points = alarm_points(metrics, alarms).withColumn("period_start", period_start(F.col("ts"), F.col("period")))
     return alarm_values(points.groupBy(*ALARM_COLUMNS, "period_start"))
@@ -179,7 +186,7 @@ def alarm_windows(metrics: DataFrame, alarms: DataFrame) -> DataFrame:
 
 def alarm_points(metrics: DataFrame, alarms: DataFrame) -> DataFrame:
     """Metric points beside each alarm that watches them."""
-    return metrics.join(broadcast_checked(alarms, 10_000), F.col("name") == F.col("metric")).where(
+    return metrics.join(alarms, F.col("name") == F.col("metric")).where(
         matches(F.col("alarm_dimensions"), F.col("dimensions"))
     )
 

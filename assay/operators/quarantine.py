@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from assay.functions.text import partition_pairs
 from assay.operators.history import before_score
 from assay.operators.retention import DAY, remove_folders, with_folder
-from assay.session import broadcast_checked
 from assay.sources.partitions import path_exists, write_partitions
 from assay.sources.tables import parse_partition, partition_filter
 
@@ -152,7 +151,7 @@ def _tagged(df: DataFrame, requests: Requests) -> DataFrame:
         entry = F.struct("number", "predicate", "issue_id", "run_id")
         scope = own.groupBy(*[f"key_{k}" for k in keys]).agg(F.sort_array(F.collect_list(entry)).alias(f"requests_{n}"))
         how = "inner" if len(asked.by_keys) == 1 else "left"
-        out = out.join(broadcast_checked(scope), _on_keys(keys), how).drop(*[f"key_{k}" for k in keys])
+        out = out.join(scope, _on_keys(keys), how).drop(*[f"key_{k}" for k in keys])
         lists.append(F.coalesce(f"requests_{n}", F.array()))
     holds = F.array(*[is_bad(p) for p in asked.predicates])
     mine = F.filter(F.sort_array(F.concat(*lists)), lambda r: F.element_at(F.col("__holds"), r["predicate"]))
@@ -216,7 +215,7 @@ def write_quarantine(
             DataFrame.unionByName,
             [
                 with_folder(zone).join(
-                    broadcast_checked(own.select("issue_id", "run_id", *[f"key_{k}" for k in named]).distinct()),
+                    (own.select("issue_id", "run_id", *[f"key_{k}" for k in named]).distinct()),
                     (zone["issue_id"] == own["issue_id"]) & (zone["run_id"] == own["run_id"]) & _on_keys(named),
                     "left_semi",
                 ).select("folder")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from assay.operators import corrupt as C
 from assay.plans import inputs as I
 from assay.plans.registry import query
-from assay.sources.tables import spread
 
 _KEYS = ", ".join(I.KEY)
 _NOISY = ["l_quantity", "l_extendedprice", "l_discount"]
@@ -197,7 +196,7 @@ def corruption_rates(spark, d):
     """The whole chain with the fast generator, which SQL cannot repeat draw by draw: the share of
     nulls left in each column lies within five standard deviations of what the config asks for."""
     config = {**I.CONFIG, "generator": "xxhash64"}
-    out = C.corrupt(spread(I.fact(spark, d)), config, I.KEY, keep_key=True)
+    out = C.corrupt(I.fact(spark, d), config, I.KEY, keep_key=True)
     before = ~F.col(C.KEY).endswith("|x") & ~F.col(C.KEY).endswith("|n")
     one = out.where(before).agg(F.count("*").alias("n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in _SHARES])
     rows = [

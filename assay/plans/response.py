@@ -91,6 +91,8 @@ def respond(
     shared = ["evaluation_id", "table_name", "partition", "ts", "overall_score", "overall_status", "violation_count"]
     violation_rows = V.violations(evaluations)
     acted = actions(violation_rows, history.select(*shared).unionByName(scans.select(*shared)), answers)
+    # Alerts and decisions both start from it: the history is ranked once.
+    acted = stored(acted, scratch_dir(evaluations.sparkSession, "actions"))
     message = F.concat(
         F.col("rule"), F.lit(" on "), F.col("table_name"), F.lit(" "), F.col("partition"), F.lit(": "),
         F.col("recommended_action"),

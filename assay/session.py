@@ -5,8 +5,7 @@ from __future__ import annotations
 import tempfile
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
 # Settings that the operators rely on at scale. Shuffle partitions are left to the cluster:
 # AQE coalesces them and splits the skewed ones.
@@ -45,12 +44,3 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
             raise RuntimeError("spark.checkpoint.dir is unset; name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="assay-")
     return f"{base.rstrip('/')}/assay/{label}-{uuid4().hex}"
-
-
-def broadcast_checked(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """`df` with a broadcast hint if it has at most `max_rows` rows, else as it is.
-
-    For narrow key frames (partitions present, alarms) whose estimated size says nothing about
-    their real one. The count stops at the bound, so the check is cheap on a large frame too.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

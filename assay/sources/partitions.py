@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from itertools import islice
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assay.session import broadcast_checked
-
+# Fixed value: how Spark names the folder of a null.
+NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 # Partition specs per ALTER TABLE statement.
 _REGISTER_BATCH = 500
 
@@ -20,24 +21,38 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def partition_folders(spark: SparkSession, path: str, keys: Sequence[str]) -> list[tuple[str, ...]]:
+    """Partition values under a path, from its folders, level by level; data files are not listed.
+
+    A folder counts if its last level holds anything. Partition names are what a catalog keeps on the
+    driver too.
+    """
+    if not path_exists(spark, path):
+        return []
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    level = [(root, ())]
+    for key in keys:
+        below = []
+        for folder, values in level:
+            for status in files.listStatus(folder):
+                name = status.getPath().getName()
+                if status.isDirectory() and name.startswith(f"{key}="):
+                    below.append((status.getPath(), (*values, unquote(name[len(key) + 1 :]))))
+        level = below
+    return sorted(values for folder, values in level if files.listStatusIterator(folder).hasNext())
+
+
 def existing_partitions(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """Partition values present under a path, from the file listing; no file is opened."""
+    """Partition values present under a path as a table of texts."""
     schema = T.StructType([T.StructField(k, T.StringType()) for k in keys])
-    if not path_exists(spark, path):
-        return spark.createDataFrame([], schema)
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.parquet")
-        .option("recursiveFileLookup", "true")
-        .load(path)
-        .select("path")
-    )
+    return spark.createDataFrame(partition_folders(spark, path, keys), schema)
 
-    def value(k: str):
-        raw = F.regexp_extract("path", rf"/{k}=([^/]*)/", 1)
-        return F.url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))).alias(k)
 
-    return files.select(*[value(k) for k in keys]).distinct()
+def partition_name(keys: Sequence[str]) -> Column:
+    """The values of a row's partition as one text; null is spelled as its folder."""
+    return F.concat_ws("/", *[F.coalesce(F.col(k).cast("string"), F.lit(NULL_PARTITION)) for k in keys])
 
 
 def month_calendar(spark: SparkSession, start_year: int, start_month: int, months: int) -> DataFrame:
@@ -75,12 +90,17 @@ def write_partitions(
 def ingest_partitions(
     df: DataFrame, path: str, keys: Sequence[str], overwrite: bool = False, rebalance: bool = True
 ) -> None:
-    """Write a frame's partitions: skip those already there, or overwrite them."""
+    """Write a frame's partitions: skip those already there, or overwrite them.
+
+    What is there becomes a filter on the partition columns. If the frame is a scan that is partitioned by
+    them, the skipped partitions are not read.
+    """
     if overwrite:
         write_partitions(df, path, keys, "overwrite", rebalance)
         return
-    there = broadcast_checked(existing_partitions(df.sparkSession, path, keys))
-    write_partitions(df.join(there, list(keys), "left_anti"), path, keys, "append", rebalance)
+    there = ["/".join(values) for values in partition_folders(df.sparkSession, path, keys)]
+    new = df.where(~partition_name(keys).isin(there)) if there else df
+    write_partitions(new, path, keys, "append", rebalance)
 
 
 def known_partitions(spark: SparkSession, table: str, keys: Sequence[str]) -> DataFrame:

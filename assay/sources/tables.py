@@ -30,16 +30,6 @@ def read_fact(spark: SparkSession, path: str, schema: str = TRIP_SCHEMA) -> Data
     return spark.read.schema(schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a few files that cannot be split, over all cores, for work that is heavy per row.
-
-    A scan that already has as many splits as there are cores, as any large table has, stays as it
-    is and is not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def parse_partition(spec: str) -> dict[str, str]:
     """`year=2025/month=09` as a dict. Pieces without `=` are dropped; none left is an error,
     so that a broken scope never turns into the whole table."""

@@ -208,7 +208,21 @@ def test_zones():
         S.zone_path("/lake", "bronze", "trips")
 
 
-def test_spread_only_helps_small_inputs(spark):
-    wide = spark.range(100, numPartitions=64)
-    assert S.spread(wide) is wide
-    assert S.spread(spark.range(100, numPartitions=1)).rdd.getNumPartitions() == 8
+def test_skipped_partitions_are_not_read(spark, tmp_path):
+    src, path = str(tmp_path / "src"), str(tmp_path / "table")
+    rows = [(n, "2025", f"{1 + n % 4:02d}", f"a{n % 2}:50%") for n in range(40)]
+    df = spark.createDataFrame(rows, "id bigint, year string, month string, kind string")
+    keys = ["year", "month", "kind"]
+    P.write_partitions(df, src, keys)
+    P.write_partitions(df.where("month < '03'"), path, keys)
+    assert {tuple(r) for r in P.existing_partitions(spark, path, keys).collect()} == {
+        ("2025", m, k) for m, k in (("01", "a0:50%"), ("02", "a1:50%"))
+    }
+    stored = spark.read.schema("id bigint, year string, month string, kind string").parquet(src)
+    there = ["/".join(v) for v in P.partition_folders(spark, path, keys)]
+    left = stored.where(~P.partition_name(keys).isin(there))
+    text = left._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [NOT" in text and len(left.inputFiles()) == len(stored.inputFiles())
+    P.ingest_partitions(stored, path, keys)
+    P.ingest_partitions(stored, path, keys)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == list(range(40))
