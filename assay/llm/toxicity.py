@@ -267,8 +267,31 @@ def learn(
     stems -= {t[:-1] for t in single}
     kept = {t: o for t, o in terms.items() if t not in single and not covered(t)}
     top = max(kept.values(), default=1.0)
-    lexicon = Lexicon({t: max(0.5, o / top) for t, o in kept.items()})
-    return _fitted(sample, lexicon)
+    weights = {t: max(0.5, o / top) for t, o in kept.items()}
+    return _fitted(sample, Lexicon(_needed(sample, weights)))
+
+
+def _needed(sample: DataFrame, weights: dict[str, float]) -> dict[str, float]:
+    """The sure entries, and those others that enough toxic texts without a sure entry hold. A rare word
+    of a toxic text that has many copies is not one of them."""
+    sure = Lexicon({t: w for t, w in weights.items() if w >= SURE})
+    others = [t for t, w in weights.items() if w < SURE]
+    if not others:
+        return weights
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in sliced(batches, "text"):
+            for text in batch.column(0).to_pylist():
+                if not any(sure.weight(t) for t in text.lower().split()):
+                    counts.update(_terms(text).intersection(others))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"]
+        )
+
+    parts = sample.where("toxic = 1").select("text").mapInArrow(held, "term string, n bigint")
+    found = parts.groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_SUPPORT).collect()
+    return {t: w for t, w in weights.items() if w >= SURE} | {r["term"]: weights[r["term"]] for r in found}
 
 
 def _fitted(sample: DataFrame, lexicon: Lexicon) -> Model:
