@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed value: how Spark names the folder of a null partition value.
+NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
+
 
 def partition_of_predicate(predicate: Column) -> Column:
     """`year='2025' AND month='09'` → `year=2025/month=09`; null or no pair → ''."""
@@ -30,8 +33,9 @@ def predicate_of_partition(spec: Column) -> Column:
 
 
 def partition_text(by: list[str]) -> Column:
-    """`k=v/k=v` of the named columns."""
-    return F.concat_ws("/", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in by])
+    """`k=v/k=v` of the named columns; a null is spelled as its folder, never left out."""
+    values = [F.coalesce(F.col(c).cast("string"), F.lit(NULL_PARTITION)) for c in by]
+    return F.concat_ws("/", *[F.concat(F.lit(f"{c}="), v) for c, v in zip(by, values)])
 
 
 def year_month_of_filename(name: Column) -> Column:

@@ -217,7 +217,8 @@ def _chosen() -> Column:
 
 
 def alarm_states(metrics: DataFrame, alarms: DataFrame, as_of: Column, prefix: str = "") -> DataFrame:
-    """State of every alarm in the last period that ended by `as_of`. No data is no breach.
+    """State of every alarm in the last period that ended by `as_of`; `updated` is that end. No data is
+    no breach.
 
     Only alarms whose name has the prefix; it is cut off for display.
     """
@@ -239,6 +240,7 @@ def alarm_states(metrics: DataFrame, alarms: DataFrame, as_of: Column, prefix: s
             "threshold",
             "value",
             F.when(F.coalesce("breach", F.lit(False)), "ALARM").otherwise("OK").alias("state"),
+            F.timestamp_seconds(F.unix_seconds("period_start") + F.col("period")).alias("updated"),
         )
     )
 

@@ -389,7 +389,8 @@ _ALARM_ROWS = ", ".join(f"('{n}', '{m}', {t}::DOUBLE)" for n, (m, _, t, *_x) in
 @query(
     "alarm_states",
     f"""WITH {I.METRICS}, w AS ({_STATES}), a(alarm, metric, threshold) AS (VALUES {_ALARM_ROWS})
-SELECT a.alarm, a.metric, a.threshold, value, CASE WHEN breach THEN 'ALARM' ELSE 'OK' END AS state
+SELECT a.alarm, a.metric, a.threshold, value, CASE WHEN breach THEN 'ALARM' ELSE 'OK' END AS state,
+  TIMESTAMP '{_NOW}' AS updated
 FROM a LEFT JOIN w ON w.alarm = 'quality-' || a.alarm""",
 )
 def alarm_states(spark, d):
@@ -397,7 +398,7 @@ def alarm_states(spark, d):
     other = M.Alarm("other-LowQualityScore", M.SCORE, "Minimum", 50.0, "<")
     alarms = M.alarm_table(spark, [*M.default_alarms("lineitem"), other])
     out = M.alarm_states(I.metrics(spark, d), alarms, F.lit(_NOW).cast("timestamp"), "quality-")
-    return out.withColumn("value", F.round("value", 4))
+    return _ntz(out.withColumn("value", F.round("value", 4)), "updated")
 
 
 @query(

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Fixed value: how Spark names the folder of a null.
-NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
+from assay.functions.text import NULL_PARTITION
+
 # Partition specs per ALTER TABLE statement.
 _REGISTER_BATCH = 500
 

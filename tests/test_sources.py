@@ -226,3 +226,11 @@ def test_skipped_partitions_are_not_read(spark, tmp_path):
     P.ingest_partitions(stored, path, keys)
     P.ingest_partitions(stored, path, keys)
     assert sorted(r.id for r in spark.read.parquet(path).collect()) == list(range(40))
+
+
+def test_a_null_key_is_never_left_out(spark):
+    from assay.functions.text import partition_text
+
+    df = spark.createDataFrame([(None, "01"), ("2025", "02")], "year string, month string")
+    got = sorted(r[0] for r in df.select(partition_text(["year", "month"])).collect())
+    assert got == ["year=2025/month=02", "year=__HIVE_DEFAULT_PARTITION__/month=01"]
