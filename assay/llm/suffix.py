@@ -35,6 +35,7 @@ LENGTH, GRAM = 100, 20
 PIECE = 192
 LIMIT = 512
 BLOCK_BYTES = 1 << 19
+BLOCK_TEXT = 1 << 17
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = np.random.Generator(np.random.PCG64(3)).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -69,35 +70,52 @@ def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(values[:-rest], values[rest:]) if rest else values
 
 
-def runs_of(data: bytes, length: int = LENGTH, gram: int = GRAM, piece: int = PIECE):
-    """Runs of windows with one minimizer: starts, numbers of windows, minimizers, and whether the
-    minimizer stands in the run more than once (only then can the run repeat itself)."""
-    array = np.frombuffer(data, np.uint8)
-    if len(array) < length:
+def runs_of(texts: list[bytes], length: int = LENGTH, gram: int = GRAM, piece: int = PIECE):
+    """Runs of windows with one minimizer, of several texts at once: the text's number, the start, the
+    number of windows, the minimizer, and whether the minimizer stands in the run more than once (only
+    then can the run repeat itself)."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    begins = np.cumsum(sizes) - sizes
+    windows = np.maximum(sizes - length + 1, 0)
+    if not windows.any():
         nothing = np.zeros(0, np.int64)
-        return nothing, nothing, np.zeros(0, np.uint64), np.zeros(0, bool)
+        return nothing, nothing, nothing, np.zeros(0, np.uint64), np.zeros(0, bool)
     width = length - gram + 1
-    hashes = gram_hashes(array, gram)
+    hashes = gram_hashes(np.frombuffer(b"".join(texts), np.uint8), gram)
     least = _sliding(hashes, width, np.minimum)
-    change = np.flatnonzero(least[1:] != least[:-1]) + 1
-    starts = np.concatenate(([0], change))
-    counts = np.diff(np.concatenate((starts, [len(least)])))
+    inside = np.zeros(len(least) + 1, np.int8)  # windows that lie within one text
+    own = np.flatnonzero(windows)
+    inside[begins[own]] += 1
+    np.add.at(inside, np.minimum(begins[own] + windows[own], len(least)), -1)
+    inside = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
+    change = np.ones(len(least), bool)
+    change[1:] = least[1:] != least[:-1]
+    change[begins[own]] = True
+    starts = np.flatnonzero(change & inside)
+    text = own[np.searchsorted(begins[own], starts, side="right") - 1]
+    ends = np.minimum(np.concatenate((starts[1:], [len(least)])), begins[text] + windows[text])
     # A gram is a minimizer if it equals the largest of the minima of the windows that hold it.
-    padded = np.concatenate((np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)))
+    padded = np.zeros(len(least) + 2 * (width - 1), np.uint64)
+    padded[width - 1 : width - 1 + len(least)] = np.where(inside, least, np.uint64(0))
     places = hashes[_sliding(padded, width, np.maximum) == hashes]
     again = np.unique(places[1:][places[1:] == places[:-1]])
+    counts = ends - starts
     if (counts > piece).any():
         parts = -(-counts // piece)
         within = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        ends = np.repeat(starts + counts, parts)
+        ends, text = np.repeat(ends, parts), np.repeat(text, parts)
         starts = np.repeat(starts, parts) + within * piece
         counts = np.minimum(ends - starts, piece)
     values = least[starts]
-    return starts, counts, values, np.isin(values, again)
+    return text, starts - begins[text], counts, values, np.isin(values, again)
 
 
-def two_stage_order(data: np.ndarray, depth: int = LENGTH) -> np.ndarray:
-    """All suffixes of `data` (bytes) in the order of their first `depth` bytes."""
+def two_stage_order(data: np.ndarray, depth: int = LENGTH, upto: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """The suffixes of `data` (bytes) in the order of their first `depth` bytes.
+
+    With `upto` (firsts, lasts) only those that start in these ranges, and the few after each range that
+    they are induced from: up to the next suffix that is sorted directly.
+    """
     n = len(data)
     if not n:
         return np.zeros(0, np.int64)
@@ -108,13 +126,20 @@ def two_stage_order(data: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     inner = following < len(differs)
     at = differs[following[inner]]
     rises[inner] = data[at + 1] > data[at]
-    text = data.tobytes()
-    direct = sorted(np.flatnonzero(rises).tolist(), key=lambda p: text[p : p + depth])
+    text, wanted = data.tobytes(), np.ones(n, bool)
+    if upto is not None:
+        places = np.append(np.flatnonzero(rises), n - 1)
+        marks = np.zeros(n + 1, np.int64)
+        np.add.at(marks, upto[0], 1)
+        np.add.at(marks, places[np.searchsorted(places[:-1], upto[1])] + 1, -1)
+        wanted = np.cumsum(marks[:-1]) > 0
+    direct = sorted(np.flatnonzero(rises & wanted).tolist(), key=lambda p: text[p : p + depth])
     direct = np.array(direct, np.int64)
     chars = data[direct] if len(direct) else np.zeros(0, np.uint8)
     low, high = np.searchsorted(chars, np.arange(256), side="left"), np.searchsorted(chars, np.arange(256), side="right")
     pending: list[list[np.ndarray]] = [[] for _ in range(256)]
-    pending[data[n - 1]].append(np.array([n - 1]))  # induced by the empty suffix, which is the least
+    if wanted[n - 1]:
+        pending[data[n - 1]].append(np.array([n - 1]))  # induced by the empty suffix, which is the least
     out = []
     for char in range(256):
         if not pending[char] and low[char] == high[char]:
@@ -123,13 +148,13 @@ def two_stage_order(data: np.ndarray, depth: int = LENGTH) -> np.ndarray:
         bucket = [induced]
         while len(induced):  # suffixes that repeat the byte before an induced one come next
             induced = induced[induced > 0] - 1
-            induced = induced[data[induced] == char]
+            induced = induced[(data[induced] == char) & wanted[induced]]
             bucket.append(induced)
         bucket.append(direct[low[char] : high[char]])
         found = np.concatenate(bucket)
         out.append(found)
         before = found[found > 0] - 1
-        before = before[data[before] > char]
+        before = before[(data[before] > char) & wanted[before]]
         kinds = data[before]
         order = np.argsort(kinds, kind="stable")
         before, kinds = before[order], kinds[order]
@@ -137,7 +162,7 @@ def two_stage_order(data: np.ndarray, depth: int = LENGTH) -> np.ndarray:
         for part in np.split(before, cuts):
             if len(part):
                 pending[data[part[0]]].append(part)
-    return np.concatenate(out)
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, depth: int = LENGTH) -> np.ndarray:
@@ -172,7 +197,7 @@ def kept_windows(
     place = begins[owner] + within
     number = np.full(len(data), -1)
     number[place] = np.arange(len(place))
-    order = two_stage_order(data, length)
+    order = two_stage_order(data, length, (begins, begins + counts - 1))
     order = order[number[order] >= 0]
     equal = common_prefixes(data, order, length) >= length
     group = np.concatenate(([0], np.cumsum(~equal)))
@@ -199,36 +224,44 @@ def _key(key: str, text: Column) -> Column:
     return F.coalesce(F.col(key).cast("bigint"), last)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Keys and texts in groups of about BLOCK_TEXT bytes."""
+    keys, texts, size = [], [], 0
+    for batch in sliced(batches, "text"):
+        for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            keys.append(key)
+            texts.append(data)
+            size += len(data)
+            if size >= BLOCK_TEXT:
+                yield keys, texts
+                keys, texts, size = [], [], 0
+    if keys:
+        yield keys, texts
+
+
 def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from xxhash import xxh3_64_intdigest
 
-    for batch in sliced(batches, "text"):
-        for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            starts, counts, values, again = runs_of(data)
-            if not len(starts):
-                continue
-            ends = (starts + counts + LENGTH - 1).tolist()
-            hashes = np.array([xxh3_64_intdigest(data[a:b]) for a, b in zip(starts.tolist(), ends)], np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(values.view(np.int64)), pa.array(hashes.view(np.int64)),
-                    pa.array(np.full(len(starts), key, np.int64)), pa.array(starts << 8 | counts), pa.array(again),
-                ],
-                names=["gram", "hash", "key", "at", "again"],
-            )
-
-
-def _joined(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
-    """The same rows in fewer batches."""
-    held, n = [], 0
-    for batch in batches:
-        held.append(batch)
-        n += batch.num_rows
-        if n >= rows:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held, n = [], 0
-    if held:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+    for keys, texts in _blocks(batches):
+        text, starts, counts, values, again = runs_of(texts)
+        ends = starts + counts + LENGTH - 1
+        hashes = [xxh3_64_intdigest(texts[t][a:b]) for t, a, b in zip(text.tolist(), starts.tolist(), ends.tolist())]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(values.view(np.int64)), pa.array(np.array(hashes, np.uint64).view(np.int64)),
+                pa.array(np.array(keys, np.int64)[text]), pa.array(starts << 8 | counts), pa.array(again),
+            ],
+            names=["gram", "hash", "key", "at", "again"],
+        )
+
+
+def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The minimizers alone, as often as they count; twice where a run may repeat itself."""
+    for _, texts in _blocks(batches):
+        _, _, _, values, again = runs_of(texts)
+        grams, place = np.unique(values, return_inverse=True)
+        n = np.bincount(place, weights=1.0 + again, minlength=len(grams)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n)], names=["gram", "n"])
 
 
 def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,84 +282,137 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
-        columns: tuple[list, ...] = ([], [], [], [], [], [])
-        for key, packed, firsts in zip(*(batch.column(n).to_pylist() for n in range(3))):
+        columns: tuple[list, ...] = ([], [], [], [], [], [], [])
+        offsets, firsts = batch.column(2).offsets.to_pylist(), batch.column(2).values
+        fields = [firsts.field(n).to_pylist() for n in range(5)]
+        for row, (key, packed) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
             data = unpack.decompress(packed)
-            for first in firsts:
-                start, count = first["at"] >> 8, first["at"] & 255
+            for gram, hash_, at, split, again in zip(*(f[offsets[row] : offsets[row + 1]] for f in fields)):
+                start, count = at >> 8, at & 255
                 piece = data[start : start + count + LENGTH - 1]
                 # Of rows with one key and different texts each takes the runs that are its own.
-                if xxh3_64_intdigest(piece) != first["hash"] & 0xFFFFFFFFFFFFFFFF:
+                if xxh3_64_intdigest(piece) != hash_ & 0xFFFFFFFFFFFFFFFF:
                     continue
-                if not first["split"]:
-                    for column, value in zip(columns, (first["gram"], 0, key, start, count, piece)):
+                if not split:
+                    for column, value in zip(columns, (gram, 0, key, start, count, piece, again)):
                         column.append(value)
                     continue
                 for n in range(count):
                     digest = xxh3_128_intdigest(piece[n : n + LENGTH])
                     signed = [(x & 0xFFFFFFFFFFFFFFFF) - ((x >> 63 & 1) << 64) for x in (digest, digest >> 64)]
-                    for column, value in zip(columns, (*signed, key, start + n, 1, None)):
+                    for column, value in zip(columns, (*signed, key, start + n, 1, None, False)):
                         column.append(value)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        names = ["gram", "hash", "key", "start", "count", "segment"]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_())
+        names = ["gram", "hash", "key", "start", "count", "segment", "again"]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
 
 def _sort_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Segments in order of their minimizers → the windows to keep. Minimizers are sorted together in
-    blocks of about BLOCK_BYTES; no minimizer is cut."""
-    held: list[tuple] = []
+    blocks of about BLOCK_BYTES; no minimizer is cut. A segment that is alone with its minimizer, which
+    stands in it once, has nothing equal and is kept as it is."""
+    block: list[tuple] = []
+    group: list[tuple] = []
+    lone: list[tuple] = []
     size = 0
 
-    def sort_block() -> pa.RecordBatch:
-        _, keys, starts, counts, segments = zip(*held)
-        found = list(kept_windows(list(segments), np.array(keys), np.array(starts), np.array(counts)))
-        rows = [(keys[s], starts[s] + a, starts[s] + b, crc32(segments[s][a : a + LENGTH])) for s, a, b in found]
-        columns = list(zip(*rows)) if rows else [[], [], [], []]
+    def rows_of(found) -> pa.RecordBatch:
+        columns = list(zip(*found)) if found else [[], [], [], []]
         return pa.RecordBatch.from_arrays(
             [pa.array(c, pa.int64()) for c in columns], names=["key", "first", "end", "check"]
         )
 
+    def sort_block() -> pa.RecordBatch:
+        _, keys, starts, counts, segments, _ = zip(*block)
+        found = kept_windows(list(segments), np.array(keys), np.array(starts), np.array(counts))
+        return rows_of([(keys[s], starts[s] + a, starts[s] + b, crc32(segments[s][a : a + LENGTH])) for s, a, b in found])
+
+    def close_group() -> None:
+        nonlocal size
+        if len(group) == 1 and not group[0][5]:
+            _, key, start, count, segment, _ = group[0]
+            lone.append((key, start, start + count, crc32(segment[:LENGTH])))
+        else:
+            block.extend(group)
+            size += sum(len(row[4]) for row in group)
+        group.clear()
+
     for batch in batches:
-        for row in zip(*(batch.column(n).to_pylist() for n in range(5))):
-            if size >= BLOCK_BYTES and row[0] != held[-1][0]:
-                yield sort_block()
-                held, size = [], 0
-            held.append(row)
-            size += len(row[4])
-    if held:
+        for row in zip(*(batch.column(n).to_pylist() for n in range(6))):
+            if group and row[0] != group[0][0]:
+                close_group()
+                if size >= BLOCK_BYTES:
+                    yield sort_block()
+                    block.clear()
+                    size = 0
+                if len(lone) >= 10_000:
+                    yield rows_of(lone)
+                    lone.clear()
+            group.append(row)
+    if group:
+        close_group()
+    if block:
         yield sort_block()
+    if lone:
+        yield rows_of(lone)
+
+
+def _covered(size: int, firsts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which of `size` places lie in one of the ranges."""
+    marks = np.zeros(size + 1, np.int32)
+    np.add.at(marks, firsts, 1)
+    np.add.at(marks, ends, -1)
+    return np.cumsum(marks[:-1]) > 0
+
+
+def _removed(data: bytes, at: np.ndarray, hashes: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """Which bytes go. `kept` has the columns first, end and check; a first of -1 says that the key
+    stands on several rows, of which each takes only what is its own."""
+    from xxhash import xxh3_64_intdigest
+
+    firsts, counts = at >> 8, at & 255
+    repeated = kept[0] < 0
+    if repeated.any():
+        kept = kept[:, ~repeated]
+        mine = [
+            xxh3_64_intdigest(data[a : a + n + LENGTH - 1]) == h & 0xFFFFFFFFFFFFFFFF
+            for a, n, h in zip(firsts.tolist(), counts.tolist(), hashes.tolist())
+        ]
+        firsts, counts = firsts[mine], counts[mine]
+        valid = [c < 0 or crc32(data[a : a + LENGTH]) == c for a, c in zip(kept[0].tolist(), kept[2].tolist())]
+        kept = kept[:, valid]
+    windows = max(0, len(data) - LENGTH + 1)
+    fits = kept[1] <= windows
+    going = _covered(windows, firsts, firsts + counts) & ~_covered(windows, kept[0][fits], kept[1][fits])
+    edges = np.flatnonzero(np.diff(going.astype(np.int8), prepend=0, append=0))
+    return _covered(len(data), edges[::2], edges[1::2] + LENGTH - 1)
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
-    from xxhash import xxh3_64_intdigest
 
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
-        out: tuple[list, ...] = ([], [], [], [])
-        for packed, runs, kept in zip(*(batch.column(n).to_pylist() for n in (1, 2, 3))):
+        out: tuple[list, ...] = ([], [], [], [], [])
+        runs, windows = batch.column(2), batch.column(3)
+        of_runs, of_windows = runs.offsets.to_pylist(), windows.offsets.to_pylist()
+        at, hashes = (runs.values.field(n).to_numpy(zero_copy_only=False) for n in range(2))
+        kept = np.stack([windows.values.field(n).to_numpy(zero_copy_only=False) for n in range(3)])
+        for row, packed in enumerate(batch.column(1).to_pylist()):
             data = unpack.decompress(packed)
-            going = np.zeros(max(0, len(data) - LENGTH + 1), bool)
-            for run in runs or ():
-                start, count = run["at"] >> 8, run["at"] & 255
-                if xxh3_64_intdigest(data[start : start + count + LENGTH - 1]) == run["hash"] & 0xFFFFFFFFFFFFFFFF:
-                    going[start : start + count] = True
-            for window in kept or ():
-                if window["check"] in (None, crc32(data[window["first"] : window["first"] + LENGTH])):
-                    going[window["first"] : window["end"]] = False
-            covered = np.zeros(len(data) + 1, np.int64)
-            places = np.flatnonzero(going)
-            np.add.at(covered, places, 1)
-            np.add.at(covered, places + LENGTH, -1)
-            removed = np.cumsum(covered[:-1]) > 0
-            rest = np.frombuffer(data, np.uint8)[~removed].tobytes()
-            spans = int(np.count_nonzero(removed & ~np.concatenate(([False], removed[:-1]))))
-            for column, value in zip(out, (len(data), int(removed.sum()), spans, rest)):
+            a, b = of_runs[row], of_runs[row + 1]
+            rest, removed, spans = data, 0, 0
+            if a < b:
+                gone = _removed(data, at[a:b], hashes[a:b], kept[:, of_windows[row] : of_windows[row + 1]])
+                removed = int(np.count_nonzero(gone))
+                if removed:
+                    rest = np.frombuffer(data, np.uint8)[~gone].tobytes()
+                    spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(gone[0])
+            for column, value in zip(out, (len(data), removed, spans, hashlib.sha256(rest).hexdigest(), rest)):
                 column.append(value)
-        digests = [hashlib.sha256(rest).hexdigest() for rest in out[3]]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(digests, pa.string()), pa.array(out[3], pa.binary())],
+            [batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds))],
             names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
         )
 
@@ -341,31 +427,30 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(_key(key, whole).alias("key"), whole.cast("binary").alias("text"))
-    runs = rows.mapInArrow(
-        lambda batches: _joined(_find_runs(batches)), "gram bigint, hash bigint, key bigint, at bigint, again boolean"
-    )
-    weight = F.when(F.col("again"), 2).otherwise(1)
-    repeated = runs.groupBy("gram").agg(F.sum(weight).alias("n")).where("n > 1").select("gram")
-    candidates = written(runs.select("gram", "hash", "key", "at").join(repeated, "gram"), "repeat-candidates")
-    first = F.min(F.struct("key", "at")).alias("first")
+    runs = rows.mapInArrow(_find_runs, "gram bigint, hash bigint, key bigint, at bigint, again boolean")
+    counted = rows.select("key", "text").mapInArrow(_count_grams, "gram bigint, n bigint")
+    repeated = counted.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
+    candidates = written(runs.join(repeated, "gram"), "repeat-candidates")
+    first = F.min(F.struct("key", "at", "again")).alias("first")
     firsts = written(
-        candidates.groupBy("gram", "hash").agg(first).select("gram", "hash", "first.key", "first.at"), "repeat-firsts"
+        candidates.groupBy("gram", "hash").agg(first).select("gram", "hash", "first.key", "first.at", "first.again"),
+        "repeat-firsts",
     )
     crowded = firsts.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > LIMIT).select("gram", F.lit(True).alias("split"))
     listed = (
         firsts.join(crowded, "gram", "left")
         .groupBy("key")
-        .agg(F.collect_list(F.struct("gram", "hash", "at", F.coalesce("split", F.lit(False)).alias("split"))).alias("firsts"))
+        .agg(F.collect_list(F.struct("gram", "hash", "at", F.coalesce("split", F.lit(False)).alias("split"), "again")).alias("firsts"))
     )
     texts = docs.select(_key(key, whole).alias("key"), whole.cast("binary").alias("text"), F.col(key).cast("bigint").alias("doc"))
     texts = texts.mapInArrow(_compress, "key bigint, packed binary, doc bigint")
     segments = written(
         texts.select("key", "packed").join(listed, "key").mapInArrow(
-            _segments, "gram bigint, hash bigint, key bigint, start bigint, count int, segment binary"
+            _segments, "gram bigint, hash bigint, key bigint, start bigint, count int, segment binary, again boolean"
         ),
         "repeat-segments",
     )
-    together = segments.where(F.col("segment").isNotNull()).select("gram", "key", "start", "count", "segment")
+    together = segments.where(F.col("segment").isNotNull()).select("gram", "key", "start", "count", "segment", "again")
     sorted_kept = together.repartition("gram").sortWithinPartitions("gram").mapInArrow(
         _sort_segments, "key bigint, first bigint, end bigint, check bigint"
     )
@@ -373,11 +458,16 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         segments.where(F.col("segment").isNull())
         .groupBy("gram", "hash")
         .agg(F.min(F.struct("key", "start")).alias("w"))
-        .select("w.key", F.col("w.start").alias("first"), (F.col("w.start") + 1).alias("end"), F.lit(None).cast("bigint").alias("check"))
+        .select("w.key", F.col("w.start").alias("first"), (F.col("w.start") + 1).alias("end"), F.lit(-1).cast("bigint").alias("check"))
     )
-    kept = sorted_kept.unionByName(split_kept).groupBy("key").agg(F.collect_list(F.struct("first", "end", "check")).alias("kept"))
+    # Keys that stand on several rows are marked, as their lists belong to different texts.
+    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    marks = shared.select("key", *[F.lit(-1).cast("bigint").alias(c) for c in ("first", "end", "check")])
+    kept = sorted_kept.unionByName(split_kept).unionByName(marks).groupBy("key").agg(F.collect_list(F.struct("first", "end", "check")).alias("kept"))
     going = candidates.groupBy("key").agg(F.collect_list(F.struct("at", "hash")).alias("runs"))
     joined = texts.join(going, "key", "left").join(kept, "key", "left").select("doc", "packed", "runs", "kept")
+    nothing = [F.coalesce(c, F.array().cast(t)) for c, t in (("runs", "array<struct<at:bigint,hash:bigint>>"), ("kept", "array<struct<first:bigint,end:bigint,check:bigint>>"))]
+    joined = joined.select("doc", "packed", nothing[0].alias("runs"), nothing[1].alias("kept"))
     removed = joined.mapInArrow(
         _remove, "doc bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
     )
