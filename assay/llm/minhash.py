@@ -8,8 +8,8 @@ probability of the weighted Jaccard similarity. A coordinate left empty doubles
 
 Joining: texts with equal words are one node from the start. Nodes that share a band meet in a bucket;
 instead of all pairs of a bucket, its members are compared with its most popular nodes (those with the
-most bucket mates over all bands, which are the centres of groups of copies): first with one, then, where a
-member is not yet in that node's component, with the next ones, until a pass finds no new link. Pairs whose
+most bucket mates over all bands, which are the centres of groups of copies): first with one, then, where
+they are not yet in one component, with the next ones, until a pass finds no new link. Pairs whose
 signatures agree too little are passed over; the others are verified on their shingle sets.
 """
 
@@ -32,7 +32,8 @@ BANDS, ROWS = 24, 4
 # Signatures of a pair with the wanted similarity agree in fewer coordinates than this many standard
 # deviations below the mean once in ten million pairs.
 DEVIATIONS = 5.2
-REPRESENTATIVES = 8
+# Centres of a bucket that its members are compared with in one pass, after the first one.
+REPRESENTATIVES = 2
 BLOCK_ELEMENTS = 1 << 18
 FRACTION_BITS, RANK_BITS = 36, 48
 SEED = 0x9E3779B97F4A7C15
@@ -240,38 +241,44 @@ def near_duplicates(
     members = written(mates.join(sizes, "bucket").select("bucket", "id", "size"), "members")
     popular = members.groupBy("id").agg(F.sum("size").alias("mates"))
     order = Window.partitionBy("bucket").orderBy(F.col("mates").desc(), "id")
-    ranked = members.join(popular, "id").select("bucket", "id", "mates")
+    ranked = written(members.join(popular, "id").select("bucket", "id", "mates"), "ranked-members")
     signs = written(own.join(popular.select("id"), "id", "left_semi").select("id", "signature"), "node-signatures")
 
     def agreeing(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs (a, b) whose signatures agree enough to be verified."""
+        """The pairs (a, b) whose signatures agree enough to be verified."""
         left = signs.select(F.col("id").alias("a"), F.col("signature").alias("sa"))
         right = signs.select(F.col("id").alias("b"), F.col("signature").alias("sb"))
-        met = pairs.distinct().join(left, "a").join(right, "b")
+        met = pairs.join(left, "a").join(right, "b")
         return met.where(_agreeing(F.col("sa"), F.col("sb")) >= least_agreeing).select("a", "b")
 
-    def with_centres(low: int, high: int) -> DataFrame:
-        """Members of buckets beside the bucket's nodes number `low` to `high` by popularity."""
-        centres = ranked.withColumn("n", F.row_number().over(order)).where((F.col("n") <= high) & (F.col("n") >= low))
-        return members.select("bucket", F.col("id").alias("a")).join(
-            centres.select("bucket", F.col("id").alias("b")), "bucket"
-        ).where("a != b").select("a", "b")
+    def with_centres(rows: DataFrame, low: int, high: int) -> DataFrame:
+        """Distinct pairs of members and their bucket's nodes number `low` to `high` by popularity, of
+        different components."""
+        number = F.row_number().over(order)
+        centres = rows.withColumn("n", number).where(F.col("n") <= high).where(F.col("n") >= low)
+        centres = centres.select("bucket", F.col("id").alias("centre"), F.col("component").alias("other"))
+        met = rows.join(centres, "bucket").where((F.col("id") != F.col("centre")) & (F.col("component") != F.col("other")))
+        return met.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
 
-    # The sets of shingles of nodes that may have a link: the text is read a second time for them.
-    tried = written(agreeing(with_centres(1, 1)), "pairs")
-    texts = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
     held: list[DataFrame] = []
 
     def sets_of(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        """The shingle sets of the pairs' nodes; the text is read again for those that lack theirs."""
+        lacking = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         for known in held:
-            wanted = wanted.join(known.select("id"), "id", "left_anti")
-        wanted = nodes.join(wanted, "id")
-        found = texts.join(
-            wanted.select("id", F.col("least"), F.col("h1").alias("w1"), F.col("h2").alias("w2")), F.col("key").eqNullSafe(F.col("least"))
-        ).select("id", "w1", "w2", words_of(F.col("text")).alias("words"))
-        right_text = (long_hash("words", salt=1) == F.col("w1")) & (long_hash("words", salt=2) == F.col("w2"))
-        held.append(written(found.where(right_text).select("id", shingle_hashes(F.col("words")).alias("shingles")).dropDuplicates(["id"]), "shingles"))
+            lacking = lacking.join(known.select("id"), "id", "left_anti")
+        lacking = nodes.join(lacking, "id").select("id", "least", F.col("h1").alias("w1"), F.col("h2").alias("w2"))
+        lacking = written(lacking, "lacking-sets")
+        if not lacking.isEmpty():
+            if not held:  # a part of all texts at any size: the texts are dealt out, but not sorted
+                lacking = lacking.hint("shuffle_hash")
+            texts = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
+            found = texts.join(lacking, F.col("key").eqNullSafe(F.col("least"))).select(
+                "id", "w1", "w2", words_of(F.col("text")).alias("words")
+            )
+            right_text = (long_hash("words", salt=1) == F.col("w1")) & (long_hash("words", salt=2) == F.col("w2"))
+            sets = found.where(right_text).select("id", shingle_hashes(F.col("words")).alias("shingles"))
+            held.append(written(sets.dropDuplicates(["id"]), "shingles"))
         return reduce(DataFrame.unionByName, held)
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -282,26 +289,22 @@ def near_duplicates(
         jaccard = common / (F.size("sa") + F.size("sb") - common)
         return pairs.join(left, "a").join(right, "b").where(jaccard >= similarity).select("a", "b")
 
-    links = written(verified(tried), "links")
-    known = components(links)
-    low, high = 1, REPRESENTATIVES
+    empty = docs.sparkSession.createDataFrame([], "a bigint, b bigint")
+    links, tried, known = empty, empty, docs.sparkSession.createDataFrame([], "id bigint, component bigint")
+    low, high = 1, 1
     while True:
-        label = known.select(F.col("id"), F.col("component"))
-        met = with_centres(low, high)
-        apart = (
-            met.join(label.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
-            .join(label.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-            .where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        )
-        fresh = apart.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+        # Buckets that lie within one component have nothing left to find.
+        labelled = ranked.join(known, "id", "left").select("bucket", "id", "mates", F.coalesce("component", "id").alias("component"))
+        mixed = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y")
+        rows = labelled.join(mixed.select("bucket"), "bucket")
+        fresh = with_centres(rows, low, high).join(tried, ["a", "b"], "left_anti")
         pairs = written(agreeing(fresh), "pairs")
-        more = written(verified(pairs), "links")
+        more = written(verified(pairs), "links") if not pairs.isEmpty() else empty
         if more.isEmpty():
             break
         links, tried = links.unionByName(more), tried.unionByName(pairs)
         known = components(links)
-        low, high = high + 1, high + REPRESENTATIVES
+        low, high = (1, REPRESENTATIVES) if high == 1 else (high + 1, high + REPRESENTATIVES)
     classes = nodes.join(known, "id", "left").select(
         F.col("h1").alias("n1"), F.col("h2").alias("n2"), "least", "id", F.coalesce("component", "id").alias("class_id")
     )
