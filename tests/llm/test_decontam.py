@@ -37,3 +37,28 @@ def test_beyond_the_broadcast_bound(spark, monkeypatch):
 
     monkeypatch.setattr(D, "BROADCAST_WINDOWS", 0)
     assert set(found(spark, [(1, ITEM), (2, "nothing of it here, at all, whatever")])) == {(1, 1)}
+
+
+def test_every_occurrence_is_judged_by_itself(spark):
+    twice = "Tom has 3 red apples in all and then Ann has 5 red apples in all today."
+    keeps = "In the old shop she keeps 30 boxes of apples for long winters and sells 12 of them each day to Anna, who likes the red ones most and eats them all before the sun is up."
+    items = ((1, twice), (2, keeps))
+    mixed = keeps.replace("12", "7").replace("30", "50")
+    torn = keeps.replace("sells", "then after a very long and cold night of rain sells")
+    docs = [
+        (1, twice), (2, twice.replace("3", "8").replace("5", "9")),
+        (3, "They said she keeps 7 boxes of apples for long. " + keeps), (4, "So she keeps 7 boxes of apples for long. " + mixed),
+        (5, "So she keeps 7 boxes of apples for long. " + torn), (6, keeps),
+    ]
+    got = found(spark, docs, items)
+    assert set(got) == {(1, 1), (2, 1), (3, 2), (4, 2), (5, 2), (6, 2)}
+    assert {k: r.consistent for k, r in got.items()} == dict.fromkeys(got, True)
+    assert got[1, 1].n_found == got[1, 1].n_windows and got[3, 2].n_found == got[3, 2].n_windows
+    assert got[3, 2].first_word == 10 + got[6, 2].first_word
+
+
+def test_no_occurrence_is_consistent(spark):
+    item = "Anna has 3 red apples at home and then gives 3 green apples to her friends and 4 to Otto."
+    bad = item.replace("3 green", "8 green")
+    got = found(spark, [(1, bad + " " + bad), (2, bad), (2, "It has 3 red apples at home. " + item), (None, "Why has 5 red apples at home? " + item)], ((1, item),))
+    assert {k: r.consistent for k, r in got.items()} == {(1, 1): False, (2, 1): True, (None, 1): True}
