@@ -9,7 +9,8 @@ probability of the weighted Jaccard similarity. A coordinate left empty doubles
 Joining: texts with equal words are one node from the start. Nodes that share a band meet in a bucket;
 instead of all pairs of a bucket, its members are compared with its most popular nodes (those with the
 most bucket mates over all bands, which are the centres of groups of copies): first with one, then, where
-they are not yet in one component, with the next ones, until a pass finds no new link. Pairs whose
+they are not yet in one component, with the next ones, until a pass finds no new link. What then shares a
+bucket but no component is compared pair by pair, in blocks. Pairs whose
 signatures agree too little are passed over; the others are verified on their shingle sets.
 """
 
@@ -34,6 +35,8 @@ BANDS, ROWS = 24, 4
 DEVIATIONS = 5.2
 # Centres of a bucket that its members are compared with in one pass, after the first one.
 REPRESENTATIVES = 2
+# Members of a bucket (on average) that one block of the pairwise rest holds.
+BLOCK_MEMBERS = 256
 BLOCK_ELEMENTS = 1 << 18
 FRACTION_BITS, RANK_BITS = 36, 48
 SEED = 0x9E3779B97F4A7C15
@@ -225,8 +228,8 @@ def near_duplicates(
     fewer than five words are one shingle. Null texts and texts without a word are each alone (class_id is
     their own key, the hashes of their words null). Rows that repeat a key are placed by their texts; a class of
     null keys only has a hash for its id. `is_first` marks the rows of one key and one word sequence. The key must be an integer. Other columns are not read; an empty table gives an empty one.
-    Recall of pairs at the threshold is that of the bands, 1 - (1 - similarity^rows)^bands, if the pair
-    shares a component with a popular node or is compared with it.
+    Recall of pairs at the threshold is that of the bands, 1 - (1 - similarity^rows)^bands: every pair that
+    shares a band is in one component or compared.
     """
     k = bands * rows
     least_agreeing = max(rows, math.floor(k * similarity - DEVIATIONS * math.sqrt(k * similarity * (1 - similarity))))
@@ -289,15 +292,36 @@ def near_duplicates(
         jaccard = common / (F.size("sa") + F.size("sb") - common)
         return pairs.join(left, "a").join(right, "b").where(jaccard >= similarity).select("a", "b")
 
+    def unsettled() -> DataFrame:
+        """The members of buckets that do not lie within one component: those have nothing left to find."""
+        labelled = ranked.join(known, "id", "left").select("bucket", "id", "mates", F.coalesce("component", "id").alias("component"))
+        mixed = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y")
+        return labelled.join(mixed.select("bucket"), "bucket")
+
+    def every_pair(rows: DataFrame) -> DataFrame:
+        """Distinct pairs of members of a bucket that agree enough and are of different components. A crowded
+        bucket is cut into blocks, and each pair of blocks is met by itself."""
+        blocks = rows.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).alias("blocks"))
+        dealt = rows.join(blocks, "bucket").join(signs, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+        left = dealt.select(
+            "bucket", F.col("block").alias("x"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("y"),
+            F.col("id").alias("l"), F.col("component").alias("cl"), F.col("signature").alias("sl"),
+        )
+        right = dealt.select(
+            "bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), "block")).alias("x"), F.col("block").alias("y"),
+            F.col("id").alias("r"), F.col("component").alias("cr"), F.col("signature").alias("sr"),
+        )
+        right = right.withColumnsRenamed({"bucket": "bucket_r", "x": "xr", "y": "yr"})
+        together = (F.col("bucket") == F.col("bucket_r")) & (F.col("x") == F.col("xr")) & (F.col("y") == F.col("yr"))
+        once = ((F.col("x") != F.col("y")) | (F.col("l") < F.col("r"))) & (F.col("cl") != F.col("cr"))
+        met = left.join(right, together & once & (_agreeing(F.col("sl"), F.col("sr")) >= least_agreeing))
+        return met.select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b")).distinct()
+
     empty = docs.sparkSession.createDataFrame([], "a bigint, b bigint")
     links, tried, known = empty, empty, docs.sparkSession.createDataFrame([], "id bigint, component bigint")
     low, high = 1, 1
     while True:
-        # Buckets that lie within one component have nothing left to find.
-        labelled = ranked.join(known, "id", "left").select("bucket", "id", "mates", F.coalesce("component", "id").alias("component"))
-        mixed = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y")
-        rows = labelled.join(mixed.select("bucket"), "bucket")
-        fresh = with_centres(rows, low, high).join(tried, ["a", "b"], "left_anti")
+        fresh = with_centres(unsettled(), low, high).join(tried, ["a", "b"], "left_anti")
         pairs = written(agreeing(fresh), "pairs")
         more = written(verified(pairs), "links") if not pairs.isEmpty() else empty
         if more.isEmpty():
@@ -305,6 +329,11 @@ def near_duplicates(
         links, tried = links.unionByName(more), tried.unionByName(pairs)
         known = components(links)
         low, high = (1, REPRESENTATIVES) if high == 1 else (high + 1, high + REPRESENTATIVES)
+    tried = tried.unionByName(pairs)
+    rest = written(every_pair(written(unsettled(), "unsettled-members")).join(tried, ["a", "b"], "left_anti"), "pairs")
+    more = written(verified(rest), "links") if not rest.isEmpty() else empty
+    if not more.isEmpty():
+        known = components(links.unionByName(more))
     classes = nodes.join(known, "id", "left").select(
         F.col("h1").alias("n1"), F.col("h2").alias("n2"), "least", "id", F.coalesce("component", "id").alias("class_id")
     )

@@ -99,3 +99,18 @@ def test_odd_rows(spark):
     assert [i for i, _ in kept].count(1) == 1 and not {8, 20} & {i for i, _ in kept}
     assert len([t for i, t in kept if i is None]) == 2  # one with words, one null
     assert near_duplicates(documents(spark, [])).count() == 0 and one_of_each(documents(spark, [])).count() == 0
+
+
+def test_pairs_within_a_crowd_of_less_similar_texts(spark):
+    draw, docs = random.Random(5), []
+    for family in range(2):
+        shared = [f"f{family}w{n}" for n in range(100)]
+        for member in range(70):
+            own = [f"x{draw.randint(0, 10**9)}" for _ in range(13)]
+            docs.append((len(docs), " ".join(shared + own)))  # 96 of 122 shingles with any other
+            if member < 30:  # 97 of 121 with this one
+                docs.append((len(docs), " ".join(shared + own[:1] + [f"y{draw.randint(0, 10**9)}" for _ in range(12)])))
+    expected = classes(docs)
+    assert len(set(expected.values())) == len(docs) - 60
+    got = {r.doc_id: r.class_id for r in near_duplicates(documents(spark, docs)).collect()}
+    assert got == expected
