@@ -38,11 +38,22 @@ def type_of_rule(rule_type: Column) -> Column:
         F.when(rule_type == "Completeness", "completeness")
         .when(rule_type == "DataFreshness", "freshness")
         .when(rule_type.isin("ColumnValues", "Mean"), "distribution")
-        .when(rule_type == "ColumnExists", "schema")
+        .when(rule_type == "Uniqueness", "uniqueness")
+        .when(rule_type.isin("ColumnExists", "SchemaMatch"), "schema")
         .otherwise("unknown")
     )
 
 
+def classify_line(text: Column) -> Column:
+    """`classify_rule`, with the rules that only rulesets have told by the start of their line."""
+    start = F.ltrim(text)
+    return (
+        F.when(start.startswith('Uniqueness "'), "uniqueness")
+        .when(start.startswith('SchemaMatch "'), "schema")
+        .otherwise(classify_rule(text))
+    )
+
+
 def extract_column(text: Column) -> Column:
     """The first quoted name, else `unknown`."""
     name = F.regexp_extract(text, '"([^"]+)"', 1)
@@ -83,12 +94,25 @@ def uniqueness_severity(duplicate_share: Column) -> Column:
     return _over(duplicate_share * 100, DUPLICATE_PCT_LINES)
 
 
+def uniqueness_metric_severity(metrics: Column) -> Column:
+    """Of metrics that say which share of the rows does not repeat an earlier one."""
+    return _first_hit(metrics, lambda v: uniqueness_severity(F.lit(1.0) - v))
+
+
+def schema_severity(metrics: Column) -> Column:
+    """WARNING where all that the metrics name are columns added, else CRITICAL."""
+    names = F.map_keys(metrics)
+    added = (F.size(names) > 0) & F.forall(names, lambda n: n.endswith(".Added"))
+    return F.when(F.coalesce(added, F.lit(False)), "WARNING").otherwise("CRITICAL")
+
+
 def severity(violation_type: Column, metrics: Column) -> Column:
     return (
         F.when(violation_type == "completeness", completeness_severity(metrics))
         .when(violation_type == "freshness", freshness_severity(metrics))
         .when(violation_type == "distribution", distribution_severity(metrics))
-        .when(violation_type == "schema", "CRITICAL")
+        .when(violation_type == "uniqueness", uniqueness_metric_severity(metrics))
+        .when(violation_type == "schema", schema_severity(metrics))
         .otherwise("WARNING")
     )
 

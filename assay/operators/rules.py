@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -32,6 +33,11 @@ class Rule:
     hi: float | None = None
     rule_text: str = ""
 
+    @property
+    def keys(self) -> tuple[str, ...]:
+        """The columns of a rule that names several, as `a","b`."""
+        return tuple(re.split(r'"\s*,\s*"', self.column)) if self.column else ()
+
 
 # The ruleset of the trip table.
 TRIP_RULES = (
@@ -60,50 +66,58 @@ _LINE = (
     rf'^\s*(?:((?:{"|".join(t for t in COLUMN_TYPES if t != "ColumnExists")}))\s+"([^"]+)"\s+{_BOUND}'
     rf'|(ColumnExists)\s+"([^"]+)"|({"|".join(PLAIN_TYPES)})\s+{_BOUND})\s*,?\s*$'
 )
+# The further forms of a ruleset: rows told apart by one or several columns, a schema against its baseline.
+KEYED_TYPE, SCHEMA_TYPE = "Uniqueness", "SchemaMatch"
+_SET_LINE = (
+    rf'^\s*(?:({KEYED_TYPE})\s+"([^"]+(?:"\s*,\s*"[^"]+)*)"\s+{_BOUND}|({SCHEMA_TYPE})\s+"([^"]+)")\s*,?\s*$'
+)
 
 
-def rule_fields(text: Column) -> list[Column]:
+def rule_fields(text: Column, ruleset: bool = False) -> list[Column]:
     """rule_type, column, op, lo, hi and error of a rule line.
 
     The whole line has to match a form; one that does not has `error` set and all else null, so that
-    nothing is read out of a part of it.
+    nothing is read out of a part of it. `ruleset` adds the forms that `rulesets.evaluate` knows.
     """
 
-    def part(*groups: int) -> Column:
-        return F.coalesce(*[F.nullif(F.regexp_extract(text, _LINE, g), F.lit("")) for g in groups])
+    def part(*groups: int, of_set: Sequence[int] = ()) -> Column:
+        found = [F.regexp_extract(text, _LINE, g) for g in groups]
+        found += [F.regexp_extract(text, _SET_LINE, g) for g in of_set if ruleset]
+        return F.coalesce(*[F.nullif(f, F.lit("")) for f in found])
 
-    low = part(5, 12)
-    lone = part(4, 11)
+    low = part(5, 12, of_set=[5])
+    lone = part(4, 11, of_set=[4])
+    known = text.rlike(_LINE) | text.rlike(_SET_LINE) if ruleset else text.rlike(_LINE)
     return [
-        part(1, 7, 9).alias("rule_type"),
-        part(2, 8).alias("column"),
-        F.coalesce(part(3, 10), F.when(low.isNotNull(), "between")).alias("op"),
+        part(1, 7, 9, of_set=[1, 7]).alias("rule_type"),
+        part(2, 8, of_set=[2, 8]).alias("column"),
+        F.coalesce(part(3, 10, of_set=[3]), F.when(low.isNotNull(), "between")).alias("op"),
         F.coalesce(lone, low).try_cast("double").alias("lo"),
-        part(6, 13).try_cast("double").alias("hi"),
-        F.when(~F.coalesce(text.rlike(_LINE), F.lit(False)), F.concat(F.lit("not a rule: "), F.coalesce(text, F.lit("null")))).alias("error"),
+        part(6, 13, of_set=[6]).try_cast("double").alias("hi"),
+        F.when(~F.coalesce(known, F.lit(False)), F.concat(F.lit("not a rule: "), F.coalesce(text, F.lit("null")))).alias("error"),
     ]
 
 
-def rules_from_text(lines: DataFrame, text: str = "rule_text") -> DataFrame:
+def rules_from_text(lines: DataFrame, text: str = "rule_text", ruleset: bool = False) -> DataFrame:
     """A table of rule lines with the rule columns, and `error` where a line is no rule, beside the text."""
-    fields = rule_fields(F.col(text))
+    fields = rule_fields(F.col(text), ruleset)
     return lines.select(*[c for c in lines.columns if c != text], *fields, F.col(text).alias("rule_text"))
 
 
-def load_rules(spark: SparkSession, lines: Sequence[str]) -> list[Rule]:
+def load_rules(spark: SparkSession, lines: Sequence[str], ruleset: bool = False) -> list[Rule]:
     """Rule objects of a ruleset's lines; a line that is no rule raises. A ruleset is configuration: a few lines."""
     frame = spark.createDataFrame(list(enumerate(lines, 1)), "rule_id int, rule_text string")
-    rows = [row.asDict() for row in rules_from_text(frame).orderBy("rule_id").collect()]
+    rows = [row.asDict() for row in rules_from_text(frame, ruleset=ruleset).orderBy("rule_id").collect()]
     errors = [row.pop("error") for row in rows]
     if wrong := [e for e in errors if e]:
         raise ValueError("; ".join(wrong))
     return [Rule(**row) for row in rows]
 
 
-def read_ruleset(spark: SparkSession, path: str) -> list[Rule]:
+def read_ruleset(spark: SparkSession, path: str, ruleset: bool = False) -> list[Rule]:
     """The rules of a ruleset file: one rule per line between the brackets."""
     lines = [row["value"].strip().rstrip(",") for row in spark.read.text(path).collect()]
-    return load_rules(spark, [line for line in lines if line and not line.endswith(("[", "]"))])
+    return load_rules(spark, [line for line in lines if line and not line.endswith(("[", "]"))], ruleset)
 
 
 def rule_table(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
@@ -153,6 +167,8 @@ def _metric(rule: Rule, columns: Sequence[str], as_of: Column | None) -> tuple[s
     if rule.rule_type == "ColumnValues":
         ratio = F.count_if(outside(c, rule.lo, rule.hi)) / F.nullif(F.count(named(c)), F.lit(0)) if there else F.max(null)
         return f"Column.{c}.OutlierRatio", ratio
+    if rule.rule_type in (KEYED_TYPE, SCHEMA_TYPE):
+        raise ValueError(f"{rule.rule_text!r} is a rule of rulesets.evaluate")
     raise ValueError(f"no such rule type: {rule.rule_text!r}")
 
 
@@ -167,6 +183,8 @@ def _passes(rule: Rule, metric: str, inclusive: bool) -> str:
     """SQL condition of a rule on its metric; a null metric does not pass."""
     if rule.rule_type == "ColumnExists":
         test = f"{metric} = 1D"
+    elif rule.rule_type == SCHEMA_TYPE:
+        test = f"cardinality({metric}) = 0"
     elif rule.rule_type == "ColumnValues":
         test = f"{metric} = 0D"
     elif rule.op == "between":
@@ -183,9 +201,11 @@ def _result(rule: Rule, metric_key: str | None, metric: str, inclusive: bool) ->
     """SQL struct of one rule's result, from its metric's column."""
     passed = _passes(rule, metric, inclusive)
     metrics = f"map({_text(metric_key)}, {metric})" if metric_key else "cast(null as map<string,double>)"
+    if rule.rule_type == SCHEMA_TYPE:
+        metrics = metric
     return (
         f"named_struct('rule_id', {rule.rule_id}, 'rule', {_text(rule.rule_text)}, "
-        f"'rule_type', {_text(rule.rule_type)}, 'column', {_text(rule.column)}, "
+        f"'rule_type', {_text(rule.rule_type)}, 'column', {_text(','.join(rule.keys) or None)}, "
         f"'state', if({passed}, 'PASSED', 'FAILED'), 'evaluated_metrics', {metrics}, "
         f"'description', if({passed}, '', {_text('not met: ' + rule.rule_text)}))"
     )
@@ -211,10 +231,15 @@ def evaluate(
         F.count(F.lit(1)).alias("row_count"),
         *[aggregate.alias(f"m_{i}") for i, (_, aggregate) in enumerate(metrics)],
     )
-    results = [
-        _result(rule, metric_key, f"m_{i}", inclusive)
-        for i, (rule, (metric_key, _)) in enumerate(zip(rules, metrics))
-    ]
+    return evaluation_rows(grouped, rules, [key for key, _ in metrics], by, table, database, inclusive)
+
+
+def evaluation_rows(
+    grouped: DataFrame, rules: Sequence[Rule], metric_keys: Sequence[str | None], by: Sequence[str], table: str,
+    database: str = "lake", inclusive: bool = True,
+) -> DataFrame:
+    """Evaluations from one row per partition with `row_count` and the metric of rule i in `m_i`."""
+    results = [_result(rule, key, f"m_{i}", inclusive) for i, (rule, key) in enumerate(zip(rules, metric_keys))]
     out = grouped.select(
         *by,
         F.lit(database).alias("database"),

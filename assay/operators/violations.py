@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from assay.functions.severity import (
     FAILED_STATES,
-    classify_rule,
+    classify_line,
     extract_column,
     is_failed,
     score,
@@ -59,13 +59,27 @@ def failed_evaluations(evaluations: DataFrame, results: DataFrame) -> DataFrame:
     return evaluations.join(failed_results(results).select("evaluation_id"), "evaluation_id", "left_semi")
 
 
+def _affected(text: Column, metrics: Column) -> Column:
+    """The column a rule names; all of a key; of a schema the columns that changed."""
+    changed = F.filter(
+        F.transform(F.map_keys(metrics), lambda n: F.regexp_extract(n, r"^Column\.(.*)\.(?:Added|Removed|Retyped)$", 1)),
+        lambda n: n != "",
+    )
+    kind = F.ltrim(text)
+    return (
+        F.when(kind.startswith('Uniqueness "'), F.regexp_extract_all(text, F.lit('"([^"]+)"'), F.lit(1)))
+        .when(kind.startswith('SchemaMatch "') & (F.size(changed) > 0), changed)
+        .otherwise(F.array(extract_column(text)))
+    )
+
+
 def _violation(result: Column, by_rule_table: bool) -> Column:
     text = F.coalesce(result["rule"], result["description"], F.lit(""))
-    kind = type_of_rule(result["rule_type"]) if by_rule_table else classify_rule(text)
+    kind = type_of_rule(result["rule_type"]) if by_rule_table else classify_line(text)
     return F.struct(
         kind.alias("type"),
         severity(kind, result["evaluated_metrics"]).alias("severity"),
-        F.array(extract_column(text)).alias("affected_columns"),
+        _affected(text, result["evaluated_metrics"]).alias("affected_columns"),
         result["evaluated_metrics"].alias("observed_values"),
         text.alias("rule"),
     )

@@ -5,6 +5,7 @@ from assay.plans import (  # noqa: F401
     history_queries,
     response_queries,
     rule_queries,
+    ruleset_queries,
     source_queries,
     stream_queries,
 )
