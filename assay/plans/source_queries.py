@@ -20,6 +20,7 @@ from assay.plans.registry import query
 from assay.plans.response import isolate, stored
 from assay.session import scratch_dir
 from assay.sources import audit as A
+from assay.sources import idindex as J
 from assay.sources import partitions as P
 from assay.sources import results as E
 from assay.sources import tables as S
@@ -662,6 +663,21 @@ def audit_append(spark, d):
     return spark.read.parquet(path).select("evaluation_id", "table_name", "ts", "ttl", "ds")
 
 
+@query(
+    "audit_append_indexed",
+    """SELECT 'ev-' || lpad(event_id::VARCHAR, 8, '0') AS evaluation_id, 't_' || event_type AS table_name, ts,
+  CAST(floor(epoch(ts)) AS BIGINT) + 90 * 86400 AS ttl, strftime(ts, '%Y-%m-%d') AS ds FROM events""",
+)
+def audit_append_indexed(spark, d):
+    """Six overlapping batches, replays among them, merged to three runs at most on the way."""
+    path = scratch_dir(spark, "audit-indexed")
+    rows = I.scans(spark, d)
+    part = F.pmod(F.xxhash64("evaluation_id"), F.lit(5))
+    for batch in (rows.where(part < 2), rows.where(part == 3), rows.where(part.isin(1, 3)), rows.where(part == 2), rows, rows):
+        J.append_indexed(spark, batch, path, ["evaluation_id"], max_runs=3)
+    return J.read_indexed(spark, path).select("evaluation_id", "table_name", "ts", "ttl", "ds")
+
+
 @query(
     "stored_history",
     f"""WITH {I.SUMMARY_SQL} SELECT "partition", CAST(overall_score AS BIGINT) AS overall_score, violation_count,

@@ -11,6 +11,7 @@ from assay.plans import inputs as I
 from assay.plans.registry import query
 from assay.plans.response_queries import ALARMS_SQL
 from assay.session import scratch_dir
+from assay.sources.idindex import append_indexed, read_indexed
 from assay.sources import results as R
 from assay.streaming import events as E
 
@@ -146,6 +147,16 @@ def stream_dedup(spark, d):
     return spark.read.parquet(path).select("user_id", "event_type")
 
 
+@query("stream_dedup_indexed", "SELECT DISTINCT user_id, event_type FROM events")
+def stream_dedup_indexed(spark, d):
+    """As `stream_dedup`, into a table whose ids are indexed."""
+    path = scratch_dir(spark, "actions-indexed")
+    ids = _events_stream(spark, d).select("user_id", "event_type", "ts")
+    writer = E.write_once(ids, path, ["user_id", "event_type"], append=append_indexed)
+    E.run_available(writer, scratch_dir(spark, "checkpoint"))
+    return read_indexed(spark, path).select("user_id", "event_type")
+
+
 @query(
     "stream_alarms",
     f"""WITH {I.METRICS}, w AS ({ALARMS_SQL})

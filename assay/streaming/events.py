@@ -6,7 +6,7 @@ is added here is state (windows) and sinks that store every id once.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,15 +40,18 @@ def run_available(writer: DataStreamWriter, checkpoint: str) -> None:
     writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def write_once(events: DataFrame, path: str, key: Sequence[str], ts: str = "ts") -> DataStreamWriter:
+def write_once(
+    events: DataFrame, path: str, key: Sequence[str], ts: str = "ts", append: Callable = append_audit
+) -> DataStreamWriter:
     """Append one row per key to an audit table, however late or often it comes, or its batch is replayed.
+    With `idindex.append_indexed` a micro-batch opens the files alone that may hold its ids.
 
     The stored ids alone hold repeats back: there is no watermark, so no event is too late, and no
     state per key, and repeats within a batch are combined before its shuffle.
     """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        append_audit(batch.sparkSession, batch, path, key, ts)
+        append(batch.sparkSession, batch, path, key, ts)
 
     return events.writeStream.foreachBatch(sink)
 
