@@ -101,8 +101,12 @@ def next_baseline(new: DataFrame, baselines: DataFrame) -> DataFrame:
 
 
 def before_score(keys: DataFrame, scans: DataFrame) -> DataFrame:
-    """The newest stored score per table and partition, 0.0 where there is none."""
-    last = scans.groupBy(*SCAN_KEY).agg(
+    """The newest stored score per table and partition, 0.0 where there is none.
+
+    Only the scans of the keys asked for are aggregated: the few keys filter the history first.
+    """
+    asked = keys.select(*SCAN_KEY).distinct()
+    last = scans.join(asked, list(SCAN_KEY), "left_semi").groupBy(*SCAN_KEY).agg(
         F.max_by("overall_score", F.struct("ts", "evaluation_id")).cast("double").alias("before_score")
     )
     return keys.join(last, list(SCAN_KEY), "left").withColumn(

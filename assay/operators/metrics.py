@@ -223,12 +223,11 @@ def alarm_states(metrics: DataFrame, alarms: DataFrame, as_of: Column, prefix: s
     Only alarms whose name has the prefix; it is cut off for display.
     """
     wanted = alarms.where(F.col("alarm").startswith(prefix))
-    longest = wanted.agg(F.max("period")).scalar()
+    # Alarms are a few rows of configuration; as a literal, the bound reaches the scan.
+    longest = wanted.agg(F.max("period")).first()[0] or 0
     ts = F.col("ts")
     now = F.unix_seconds(as_of.cast("timestamp"))
-    recent = metrics.where(
-        (F.unix_seconds(ts.cast("timestamp")) >= now - longest * 2) & (ts < as_of)
-    )
+    recent = metrics.where((ts >= as_of - F.make_dt_interval(secs=F.lit(2.0 * longest))) & (ts < as_of))
     last = (F.floor(now / F.col("period")) - 1) * F.col("period")
     windows = alarm_windows(recent, wanted).select("alarm", "period_start", "value", "breach")
     return (

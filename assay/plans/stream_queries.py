@@ -13,6 +13,7 @@ from assay.plans.response_queries import ALARMS_SQL
 from assay.session import scratch_dir
 from assay.sources.idindex import append_indexed, read_indexed
 from assay.sources import results as R
+from assay.streaming import alarms as L
 from assay.streaming import events as E
 
 _NOW = "2024-01-30 12:00:00"
@@ -200,3 +201,43 @@ def stream_metric_windows(spark, d):
         F.round("average", 8).alias("average"), "minimum", "maximum", F.round("total", 4).alias("total"),
         "sample_count",
     )
+
+
+# Changes of state: a breach raises an alarm, a period that does not breach or has no data ends it.
+_CHANGES = f"""w AS (SELECT *, epoch(period_start)::BIGINT AS start FROM ({ALARMS_SQL})),
+horizon AS (SELECT max(ts) - INTERVAL 10 MINUTE AS h FROM events),
+closed AS (SELECT *, coalesce(lag(breach) OVER o AND lag(start) OVER o = start - 300, false) AS was,
+    coalesce(lead(start) OVER o = start + 300, false) AS goes_on
+  FROM w, horizon WHERE period_start + INTERVAL 5 MINUTE <= h WINDOW o AS (PARTITION BY alarm ORDER BY start)),
+changes AS (SELECT alarm, 'ALARM' AS state, period_start, value FROM closed WHERE breach AND NOT was
+  UNION ALL SELECT alarm, 'OK', period_start, value FROM closed WHERE NOT breach AND was
+  UNION ALL SELECT alarm, 'OK', period_start + INTERVAL 5 MINUTE, NULL FROM closed
+  WHERE breach AND NOT goes_on AND period_start + INTERVAL 10 MINUTE <= h)
+SELECT alarm, state, period_start, period_start + INTERVAL 5 MINUTE AS updated, value FROM changes"""
+
+
+def _shown(changes):
+    zoned = {c: F.col(c).cast("timestamp_ntz") for c in ("period_start", "updated")}
+    return changes.withColumns({**zoned, "value": F.round("value", 4)})
+
+
+@query("alarm_transitions", f"WITH {I.METRICS}, {_CHANGES}")
+def alarm_transitions(spark, d):
+    """Every change of three alarms, up to the point where a stream of the same points stands at its end."""
+    points = I.metrics(spark, d)
+    until = I.table(spark, d, "events").agg(F.max("ts").cast("timestamp") - F.expr("interval 10 minutes")).scalar()
+    alarms = M.alarm_table(spark, M.default_alarms("lineitem"))
+    return _shown(L.alarm_transitions(points, alarms, until))
+
+
+@query("stream_alarm_transitions", f"WITH {I.METRICS}, {_CHANGES}")
+def stream_alarm_transitions(spark, d):
+    """The same from the stream: state per alarm, and a timer that ends an alarm that falls silent."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", L.ROCKSDB)
+    path = scratch_dir(spark, "transitions")
+    points = I.metric_points(_events_stream(spark, d))
+    changes = L.transition_stream(points, M.alarm_table(spark, M.default_alarms("lineitem")))
+    E.run_available(
+        changes.writeStream.format("parquet").option("path", path).outputMode("append"), scratch_dir(spark, "checkpoint")
+    )
+    return _shown(spark.read.schema(changes.schema).parquet(path))
