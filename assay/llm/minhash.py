@@ -6,19 +6,24 @@ and below a rank limit chosen so that about k ln k + 2k are seen; each dart belo
 coordinates, and a coordinate keeps its earliest dart. Two signatures agree in a coordinate with the
 probability of the weighted Jaccard similarity. A coordinate left empty doubles the limit.
 
-Joining: texts with equal words are one node from the start. Nodes that share a band meet in a bucket;
-instead of all pairs of a bucket, its members are compared with its most popular nodes (those with the
-most bucket mates over all bands, which are the centres of groups of copies): first with one, then, where
-they are not yet in one component, with the next ones, until a pass finds no new link. What then shares a
-bucket but no component is compared pair by pair, in blocks. Pairs whose
-signatures agree too little are passed over; the others are verified on their shingle sets.
+Joining: texts with equal words are one node from the start. Nodes that share a band meet in a bucket; buckets
+of the same nodes are one. Instead of all pairs of a bucket, its members are compared with one centre, the
+node with the most bucket mates, which in a group of copies links nearly all of them. Passes go on over buckets
+that still hold several components, with the next centre among those that no earlier one is linked to.
+
+What is left then, nodes that share a bucket but no component, is joined exactly: shingles are put in order of
+their frequency among those nodes, and two nodes of the wanted similarity share one among the few rarest
+of each. How few depends on both sizes, so nodes meet by size classes. A crowd of texts that share a long
+passage and are less similar than wanted have enough shingles of their own to make no pair at all.
+
+Every candidate is verified on the shingle sets, which are taken once from the texts of the nodes that have
+bucket mates. Nodes are numbered by the hash of their words; keys come in again at the end.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +38,10 @@ BANDS, ROWS = 24, 4
 # Signatures of a pair with the wanted similarity agree in fewer coordinates than this many standard
 # deviations below the mean once in ten million pairs.
 DEVIATIONS = 5.2
-# Centres of a bucket that its members are compared with in one pass, after the first one.
-REPRESENTATIVES = 2
-# Members of a bucket (on average) that one block of the pairwise rest holds.
-BLOCK_MEMBERS = 256
+# Passes over centres end when less than this share of what they compare is linked; the rest is exact.
+LEAST_LINKED = 1 / 64
+# Ratio of the sizes at the ends of a size class of the exact join.
+CLASS_RATIO = 1.03
 BLOCK_ELEMENTS = 1 << 18
 FRACTION_BITS, RANK_BITS = 36, 48
 SEED = 0x9E3779B97F4A7C15
@@ -144,12 +149,12 @@ def shingle_hashes(words: Column, size: int = SHINGLE) -> Column:
 
 
 def signed(docs: DataFrame, key: str, text: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """`key`, `h1`, `h2` (hash of the words), `signature`, `bands` of every text with a word."""
+    """`key`, `raw` (hash of the text), `h1`, `h2` (of the words), `signature`, `bands` of every text with a word."""
     k = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(3)
+            lists = batch.column(4)
             sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             values = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             ends = np.concatenate(([0], np.cumsum(sizes)))
@@ -164,20 +169,22 @@ def signed(docs: DataFrame, key: str, text: str, bands: int = BANDS, rows: int =
                 offsets = np.arange(stop - start + 1, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0), part.column(1), part.column(2),
+                        *part.columns[:4],
                         pa.ListArray.from_arrays(offsets * k, short.ravel()),
                         pa.ListArray.from_arrays(offsets * bands, band_keys(table, bands, rows).ravel()),
                     ],
-                    names=["key", "h1", "h2", "signature", "bands"],
+                    names=["key", "raw", "h1", "h2", "signature", "bands"],
                 )
                 start = stop
 
-    words = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("key"), words_of(F.col(text)).alias("words"))
+    words = docs.where(F.col(text).isNotNull()).select(
+        F.col(key).cast("bigint").alias("key"), long_hash(F.col(text)).alias("raw"), words_of(F.col(text)).alias("words")
+    )
     shingles = words.where(F.size("words") > 0).select(
-        "key", long_hash("words", salt=1).alias("h1"), long_hash("words", salt=2).alias("h2"),
+        "key", "raw", long_hash("words", salt=1).alias("h1"), long_hash("words", salt=2).alias("h2"),
         shingle_hashes(F.col("words")).alias("shingles"),
     )
-    return shingles.mapInArrow(run, "key bigint, h1 bigint, h2 bigint, signature array<int>, bands array<bigint>")
+    return shingles.mapInArrow(run, "key bigint, raw bigint, h1 bigint, h2 bigint, signature array<int>, bands array<bigint>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -217,150 +224,239 @@ def _agreeing(left: Column, right: Column) -> Column:
     return F.size(F.filter(F.zip_with(left, right, lambda x, y: x == y), lambda same: same))
 
 
-def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,
-    bands: int = BANDS, rows: int = ROWS,
-) -> DataFrame:
-    """`key`, `class_id`, `is_first`, `h1`, `h2`: one row per row of `docs` with the least key of its class.
+def _nodes(rowed: DataFrame) -> DataFrame:
+    """One row per word sequence: `id`, the least key, the key and text hash of one of its rows, its signature.
 
-    Two texts are linked if their sets of five-word shingles have a Jaccard similarity of at least
-    `similarity`; a class is what links connect. Words are lower-case runs of letters and digits. Texts of
-    fewer than five words are one shingle. Null texts and texts without a word are each alone (class_id is
-    their own key, the hashes of their words null). Rows that repeat a key are placed by their texts; a class of
-    null keys only has a hash for its id. `is_first` marks the rows of one key and one word sequence. The key must be an integer. Other columns are not read; an empty table gives an empty one.
-    Recall of pairs at the threshold is that of the bands, 1 - (1 - similarity^rows)^bands: every pair that
-    shares a band is in one component or compared.
+    The id is the first hash of the words; where two sequences share it, the others take one of both hashes.
     """
-    k = bands * rows
-    least_agreeing = max(rows, math.floor(k * similarity - DEVIATIONS * math.sqrt(k * similarity * (1 - similarity))))
-    rowed = written(signed(docs, key, text, bands, rows), "signatures")
-    nodes = written(
-        rowed.groupBy("h1", "h2").agg(F.coalesce(F.min("key"), F.min("h1")).alias("id"), F.min("key").alias("least")), "nodes"
+    found = rowed.groupBy("h1", "h2").agg(
+        F.min("key").alias("least"), F.min(F.struct("key", "raw")).alias("row"),
+        F.any_value("signature").alias("signature"), F.any_value("bands").alias("bands"),
+    )
+    first = F.row_number().over(Window.partitionBy("h1").orderBy("h2")) == 1
+    return found.withColumn("id", F.when(first, F.col("h1")).otherwise(long_hash("h1", "h2", salt=3)))
+
+
+def _members(nodes: DataFrame) -> DataFrame:
+    """`bucket`, `id`, `mates` of nodes that share a band; buckets of the same nodes are one.
+
+    `mates` counts a node's bucket mates over all bands.
+    """
+    mates = nodes.select("id", F.explode("bands").alias("bucket"))
+    shared = mates.groupBy("bucket").agg(
+        F.count("*").alias("size"), F.bit_xor(long_hash("id", salt=1)).alias("x"), F.bit_xor(long_hash("id", salt=2)).alias("y")
+    ).where("size > 1")
+    kept = shared.groupBy("size", "x", "y").agg(F.min("bucket").alias("bucket"), (F.count("*") * F.col("size")).alias("weight"))
+    members = written(mates.join(kept.select("bucket", "weight"), "bucket"), "members")
+    popular = members.groupBy("id").agg(F.sum("weight").alias("mates"))
+    return members.join(popular, "id").select("bucket", "id", "mates")
+
+
+def shingle_sets(docs: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
+    """`id` and `shingles` of nodes (`id`, `row`). Texts are found by key and text hash and read once."""
+    wanted = nodes.select("id", F.col("row.key").alias("of_key"), F.col("row.raw").alias("of_raw"))
+    texts = docs.where(F.col(text).isNotNull()).select(
+        F.col(key).cast("bigint").alias("key"), long_hash(F.col(text)).alias("raw"), F.col(text).alias("text")
+    )
+    # A part of all texts at any size: they are dealt out, but not sorted. Only what is found is split to words.
+    met = texts.join(wanted.hint("shuffle_hash"), F.col("key").eqNullSafe(F.col("of_key")) & (F.col("raw") == F.col("of_raw")))
+    found = written(met.groupBy("id").agg(F.any_value("text").alias("text")), "node-texts")
+    return found.select("id", shingle_hashes(words_of(F.col("text"))).alias("shingles"))
+
+
+def _agreeing(left: Column, right: Column) -> Column:
+    return F.size(F.filter(F.zip_with(left, right, lambda x, y: x == y), lambda same: same))
+
+
+def _relabelled(labels: DataFrame, mapping: DataFrame) -> DataFrame:
+    """`labels` with components renamed by `mapping` (`id`, `component`)."""
+    moved = mapping.select(F.col("id").alias("component"), F.col("component").alias("to"))
+    kept = [c for c in labels.columns if c != "component"]
+    return labels.join(moved, "component", "left").select(*kept, F.coalesce("to", "component").alias("component"))
+
+
+def rare_pairs(open_nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs `a`, `b` (with components `ca`, `cb`) of different components that may reach the similarity.
+
+    None that does is left out. `open_nodes` has `id` and `component`. With t the similarity, sets of n and m
+    need ceil(t / (1 + t) (n + m)) shingles in common, so one of those is among the first n + 1 less that
+    many of the first set, by any order of shingles, and among as many of the second. Rare shingles come first.
+    """
+    share = similarity / (1 + similarity)
+    step = math.log(CLASS_RATIO)
+    reach = math.ceil(-math.log(similarity) / step) + 1
+    tokens = open_nodes.join(sets, "id").select("id", "component", F.explode("shingles").alias("token"))
+    per_component = tokens.groupBy("token", "component").agg(F.count("*").alias("n"))
+    # Shingles of one component alone make no pair; the largest component of a shingle is not met with itself.
+    frequent = per_component.groupBy("token").agg(
+        F.sum("n").alias("frequency"), F.max_by("component", F.struct("n", "component")).alias("largest"),
+        (F.count("*") > 1).alias("mixed"),
+    )
+    entry = F.struct("frequency", "token", "mixed", (F.col("component") == F.col("largest")).alias("large"))
+    ordered = tokens.join(frequent, "token").groupBy("id", "component").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+    ordered = ordered.withColumn("n", F.size("entries"))
+
+    def needed(n: str, m: str) -> str:
+        return f"cast(ceil({share!r}D * ({n} + {m}) - 1e-9) as int)"
+
+    size_class, least = f"cast(floor(ln(n) / {step!r}D + 1e-9) as int)", f"cast(floor(exp(c * {step!r}D) * 0.9999) as int)"
+    # Partners at least as large, by class, and how many of the first shingles can be the first in common.
+    longer = (
+        f"transform(sequence({size_class}, {size_class} + {reach}), c -> named_struct('low', {size_class}, 'high', c, "
+        f"'first', n + 1 - {needed('n', f'greatest(n, {least})')}))"
+    )
+    shorter = (
+        f"transform(sequence(greatest(0, {size_class} - {reach}), {size_class}), c -> named_struct('low', c, 'high', {size_class}, "
+        f"'first', n + 1 - {needed('n', f'greatest({least}, cast(ceil({similarity!r}D * n - 1e-9) as int))')}))"
+    )
+    head = F.expr(f"slice(entries, 1, greatest(1, n + 1 - cast(ceil({similarity!r}D * n - 1e-9) as int)))")
+    spread = ordered.select("id", "component", "n", F.posexplode(head).alias("place", "e")).where("e.mixed").select(
+        "id", "component", "n", "place", "e.token", "e.large"
     )
-    first = F.col("key").eqNullSafe(F.col("least")) & (rowed["h1"] == nodes["h1"]) & (rowed["h2"] == nodes["h2"])
-    own = rowed.join(nodes, first).select("id", "signature", "bands")
-    mates = own.select("id", F.explode("bands").alias("bucket"))
-    sizes = mates.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = written(mates.join(sizes, "bucket").select("bucket", "id", "size"), "members")
-    popular = members.groupBy("id").agg(F.sum("size").alias("mates"))
-    order = Window.partitionBy("bucket").orderBy(F.col("mates").desc(), "id")
-    ranked = written(members.join(popular, "id").select("bucket", "id", "mates"), "ranked-members")
-    signs = written(own.join(popular.select("id"), "id", "left_semi").select("id", "signature"), "node-signatures")
+
+    def side(classes: str, parts: str, name: str) -> DataFrame:
+        met = spread.withColumn("k", F.explode(F.filter(F.expr(classes), lambda k: k["first"] > F.col("place"))))
+        return met.select(
+            F.col("token").alias(f"t_{name}"), F.col("k.low").alias(f"l_{name}"), F.col("k.high").alias(f"h_{name}"),
+            F.explode(F.expr(parts)).alias(f"p_{name}"), F.col("id").alias(f"id_{name}"), F.col("component").alias(f"c_{name}"),
+            F.col("n").alias(f"n_{name}"), F.col("place").alias(f"at_{name}"),
+        )
+
+    low, high = side(longer, "if(large, array(1), array(0))", "x"), side(shorter, "if(large, array(0), array(0, 1))", "y")
+    same = (F.col("t_x") == F.col("t_y")) & (F.col("l_x") == F.col("l_y")) & (F.col("h_x") == F.col("h_y")) & (F.col("p_x") == F.col("p_y"))
+    once = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("id_x") < F.col("id_y")))
+    left = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
+    possible = left >= F.expr(needed("n_x", "n_y"))
+    met = low.join(high, same & (F.col("c_x") != F.col("c_y")) & once & possible)
+    return met.select(
+        F.col("id_x").alias("a"), F.col("id_y").alias("b"), F.col("c_x").alias("ca"), F.col("c_y").alias("cb")
+    ).distinct()
+
+
+def _labels(docs: DataFrame, nodes: DataFrame, key: str, text: str, similarity: float, least_agreeing: int) -> DataFrame:
+    """`id`, `component` of the nodes that share a band with another."""
+    live = written(_members(nodes), "ranked-members")
+    labels = live.select("id").distinct().withColumn("component", F.col("id"))
+    mated = nodes.join(live.select("id").distinct(), "id", "left_semi")
+    signs = written(mated.select("id", "row", "signature"), "mated-nodes")
+    sets = written(shingle_sets(docs, signs, key, text), "shingles")
+    live = live.withColumns({"component": F.col("id"), "open": F.lit(True)})
 
     def agreeing(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose signatures agree enough to be verified."""
         left = signs.select(F.col("id").alias("a"), F.col("signature").alias("sa"))
         right = signs.select(F.col("id").alias("b"), F.col("signature").alias("sb"))
         met = pairs.join(left, "a").join(right, "b")
-        return met.where(_agreeing(F.col("sa"), F.col("sb")) >= least_agreeing).select("a", "b")
-
-    def with_centres(rows: DataFrame, low: int, high: int) -> DataFrame:
-        """Distinct pairs of members and their bucket's nodes number `low` to `high` by popularity, of
-        different components."""
-        number = F.row_number().over(order)
-        centres = rows.withColumn("n", number).where(F.col("n") <= high).where(F.col("n") >= low)
-        centres = centres.select("bucket", F.col("id").alias("centre"), F.col("component").alias("other"))
-        met = rows.join(centres, "bucket").where((F.col("id") != F.col("centre")) & (F.col("component") != F.col("other")))
-        return met.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-
-    held: list[DataFrame] = []
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        """The shingle sets of the pairs' nodes; the text is read again for those that lack theirs."""
-        lacking = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        for known in held:
-            lacking = lacking.join(known.select("id"), "id", "left_anti")
-        lacking = nodes.join(lacking, "id").select("id", "least", F.col("h1").alias("w1"), F.col("h2").alias("w2"))
-        lacking = written(lacking, "lacking-sets")
-        if not lacking.isEmpty():
-            if not held:  # a part of all texts at any size: the texts are dealt out, but not sorted
-                lacking = lacking.hint("shuffle_hash")
-            texts = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
-            found = texts.join(lacking, F.col("key").eqNullSafe(F.col("least"))).select(
-                "id", "w1", "w2", words_of(F.col("text")).alias("words")
-            )
-            right_text = (long_hash("words", salt=1) == F.col("w1")) & (long_hash("words", salt=2) == F.col("w2"))
-            sets = found.where(right_text).select("id", shingle_hashes(F.col("words")).alias("shingles"))
-            held.append(written(sets.dropDuplicates(["id"]), "shingles"))
-        return reduce(DataFrame.unionByName, held)
+        return met.where(_agreeing(F.col("sa"), F.col("sb")) >= least_agreeing).select(*pairs.columns)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        sets = sets_of(pairs)
         left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
         right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
         common = F.size(F.array_intersect("sa", "sb"))
         jaccard = common / (F.size("sa") + F.size("sb") - common)
-        return pairs.join(left, "a").join(right, "b").where(jaccard >= similarity).select("a", "b")
-
-    def unsettled() -> DataFrame:
-        """The members of buckets that do not lie within one component: those have nothing left to find."""
-        labelled = ranked.join(known, "id", "left").select("bucket", "id", "mates", F.coalesce("component", "id").alias("component"))
-        mixed = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y")
-        return labelled.join(mixed.select("bucket"), "bucket")
-
-    def every_pair(rows: DataFrame) -> DataFrame:
-        """Distinct pairs of members of a bucket that agree enough and are of different components. A crowded
-        bucket is cut into blocks, and each pair of blocks is met by itself."""
-        blocks = rows.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).alias("blocks"))
-        dealt = rows.join(blocks, "bucket").join(signs, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-        left = dealt.select(
-            "bucket", F.col("block").alias("x"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("y"),
-            F.col("id").alias("l"), F.col("component").alias("cl"), F.col("signature").alias("sl"),
+        return pairs.join(left, "a").join(right, "b").where(jaccard >= similarity).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+
+    while True:
+        # One centre a bucket, combined before the shuffle; a crowded bucket is one key of a join that AQE splits.
+        centres = written(
+            live.where("open").groupBy("bucket").agg(
+                F.max_by(F.struct("id", "component"), F.struct("mates", "id")).alias("c"), F.count("*").alias("n")
+            ).where("n > 1").select("bucket", F.col("c.id").alias("centre"), F.col("c.component").alias("of")),
+            "centres",
         )
-        right = dealt.select(
-            "bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), "block")).alias("x"), F.col("block").alias("y"),
-            F.col("id").alias("r"), F.col("component").alias("cr"), F.col("signature").alias("sr"),
+        met = live.where("open").join(centres, "bucket").where(F.col("component") != F.col("of"))
+        ordered = F.col("id") < F.col("centre")
+        pairs = met.select(
+            F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"),
+            F.when(ordered, F.col("component")).otherwise(F.col("of")).alias("ca"),
+            F.when(ordered, F.col("of")).otherwise(F.col("component")).alias("cb"),
+        ).distinct()
+        pairs = written(agreeing(pairs), "pairs")
+        links = written(verified(pairs), "verified")
+        found, compared = links.count(), pairs.count()
+        if found:
+            mapping = components(links)
+            labels = written(_relabelled(labels, mapping), "labels")
+            live = _relabelled(live, mapping)
+            centres = _relabelled(centres.select("bucket", F.col("of").alias("component")), mapping)
+        else:
+            centres = centres.select("bucket", F.col("of").alias("component"))
+        mixed = live.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("bucket")
+        used = centres.select("bucket", F.col("component").alias("used"))
+        live = written(
+            live.join(mixed, "bucket").join(used, "bucket", "left").select(
+                "bucket", "id", "mates", "component",
+                (F.col("open") & ~F.coalesce(F.col("component") == F.col("used"), F.lit(False))).alias("open"),
+            ),
+            "mixed-buckets",
         )
-        right = right.withColumnsRenamed({"bucket": "bucket_r", "x": "xr", "y": "yr"})
-        together = (F.col("bucket") == F.col("bucket_r")) & (F.col("x") == F.col("xr")) & (F.col("y") == F.col("yr"))
-        once = ((F.col("x") != F.col("y")) | (F.col("l") < F.col("r"))) & (F.col("cl") != F.col("cr"))
-        met = left.join(right, together & once & (_agreeing(F.col("sl"), F.col("sr")) >= least_agreeing))
-        return met.select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b")).distinct()
-
-    empty = docs.sparkSession.createDataFrame([], "a bigint, b bigint")
-    links, tried, known = empty, empty, docs.sparkSession.createDataFrame([], "id bigint, component bigint")
-    low, high = 1, 1
-    while True:
-        fresh = with_centres(unsettled(), low, high).join(tried, ["a", "b"], "left_anti")
-        pairs = written(agreeing(fresh), "pairs")
-        more = written(verified(pairs), "links") if not pairs.isEmpty() else empty
-        if more.isEmpty():
+        if found <= LEAST_LINKED * compared or live.isEmpty():
             break
-        links, tried = links.unionByName(more), tried.unionByName(pairs)
-        known = components(links)
-        low, high = (1, REPRESENTATIVES) if high == 1 else (high + 1, high + REPRESENTATIVES)
-    tried = tried.unionByName(pairs)
-    rest = written(every_pair(written(unsettled(), "unsettled-members")).join(tried, ["a", "b"], "left_anti"), "pairs")
-    more = written(verified(rest), "links") if not rest.isEmpty() else empty
-    if not more.isEmpty():
-        known = components(links.unionByName(more))
-    classes = nodes.join(known, "id", "left").select(
-        F.col("h1").alias("n1"), F.col("h2").alias("n2"), "least", "id", F.coalesce("component", "id").alias("class_id")
+    if not live.isEmpty():
+        pairs = written(rare_pairs(live.select("id", "component").distinct(), sets, similarity), "pairs")
+        links = written(verified(pairs), "verified")
+        if not links.isEmpty():
+            labels = _relabelled(labels, components(links))
+    return labels
+
+
+def near_duplicates(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,
+    bands: int = BANDS, rows: int = ROWS,
+) -> DataFrame:
+    """`key`, `class_id`, `is_first`, `raw`: one row per row of `docs` with the least key of its class.
+
+    Two texts are linked if their sets of five-word shingles have a Jaccard similarity of at least
+    `similarity`; a class is what links connect. Words are lower-case runs of letters and digits. Texts of
+    fewer than five words are one shingle. Null texts and texts without a word are each alone (class_id is
+    their own key). Rows that repeat a key are placed by their texts; a class of null keys only has a hash for
+    its id. `is_first` marks the rows that are alike (key and text) and stand for their class; `raw` is the
+    hash of the text. The key must be an integer. Other columns are not read; an empty table gives an empty one.
+    Recall of pairs at the threshold is that of the bands, 1 - (1 - similarity^rows)^bands: every pair that
+    shares a band is in one component or joined exactly.
+    """
+    k = bands * rows
+    least_agreeing = max(rows, math.floor(k * similarity - DEVIATIONS * math.sqrt(k * similarity * (1 - similarity))))
+    rowed = written(signed(docs, key, text, bands, rows), "signatures")
+    nodes = written(_nodes(rowed), "nodes")
+    labels = written(_labels(docs, nodes, key, text, similarity, least_agreeing), "components")
+    small = nodes.select("id", "h1", "h2", "least", "row")
+    joined = small.join(labels, "id").select("component", "id", "least", "row")
+    rank = F.struct(F.col("least").isNull().alias("keyless"), "least", "id", F.col("row"))
+    firsts = joined.groupBy("component").agg(F.min(rank).alias("f"))
+    placed_in = joined.join(firsts, "component").select("id", F.coalesce("f.least", "f.id").alias("class"), F.col("f.row").alias("first"))
+    classes = small.join(placed_in, "id", "left").select(
+        F.col("h1").alias("n1"), F.col("h2").alias("n2"), F.coalesce("class", "least", "id").alias("class_id"),
+        F.when(F.col("class").isNull(), F.col("row")).otherwise(F.col("first")).alias("first"),
     )
-    placed = rowed.select("key", "h1", "h2").join(classes, (F.col("h1") == F.col("n1")) & (F.col("h2") == F.col("n2")))
-    first_row = (F.col("id") == F.col("class_id")) & F.col("key").eqNullSafe(F.col("least"))
-    hashless = F.lit(None).cast("bigint")
-    wordless = docs.where(F.col(text).isNull() | (F.size(words_of(F.col(text))) == 0)).select(
-        F.col(key).cast("bigint").alias("key"), F.col(key).cast("bigint").alias("class_id"),
-        F.lit(True).alias("is_first"), hashless.alias("h1"), hashless.alias("h2"),
+    placed = rowed.select("key", "raw", "h1", "h2").join(classes, (F.col("h1") == F.col("n1")) & (F.col("h2") == F.col("n2")))
+    is_first = F.struct("key", "raw").eqNullSafe(F.col("first"))
+    wordless = docs.where(_wordless(F.col(text))).select(
+        F.col(key).cast("bigint").alias("key"), F.col(key).cast("bigint").alias("class_id"), F.lit(True).alias("is_first"),
+        F.lit(None).cast("bigint").alias("raw"),
     )
-    every = placed.select("key", "class_id", first_row.alias("is_first"), "h1", "h2").unionByName(wordless)
+    every = placed.select("key", "class_id", is_first.alias("is_first"), "raw").unionByName(wordless)
     return every.withColumnRenamed("key", key)
 
 
+def _wordless(text: Column) -> Column:
+    return ~F.coalesce(text.rlike(r"[\p{L}\p{M}\p{N}]"), F.lit(False))
+
+
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """The rows of `docs`, with all their columns, that are the first of their class: one of each.
 
-    Rows without a word are each alone and stay. Of rows that repeat key and words one stays.
+    Rows without a word are each alone and stay. Of rows that repeat key and text one stays.
     """
-    names = docs.columns
-    firsts = near_duplicates(docs, key, text, **settings).where(F.col("is_first") & F.col("h1").isNotNull())
-    firsts = firsts.select(F.col(key).alias("_key"), F.col("h1").alias("_w1"), F.col("h2").alias("_w2"))
-    words = F.coalesce(words_of(F.col(text)), F.array().cast("array<string>"))
-    hashed = docs.withColumn("_words", words).select(
-        *[F.col(c) for c in names], (F.size("_words") > 0).alias("_worded"),
-        long_hash("_words", salt=1).alias("_h1"), long_hash("_words", salt=2).alias("_h2"),
+    firsts = near_duplicates(docs, key, text, **settings).where(F.col("is_first") & F.col("raw").isNotNull())
+    # Rows alike in key and text are counted, so that only those are thinned out.
+    firsts = firsts.groupBy(F.col(key).alias("of_key"), F.col("raw").alias("of_raw")).agg(F.count("*").alias("copies"))
+    # The user's row is one column meanwhile, whatever its columns are called.
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row")).select(
+        "row", F.col("row")[key].cast("bigint").alias("key"), F.col("row")[text].alias("text")
     )
-    same = F.col(key).cast("bigint").eqNullSafe(F.col("_key")) & (F.col("_h1") == F.col("_w1")) & (F.col("_h2") == F.col("_w2"))
-    kept = hashed.where("_worded").join(firsts, same, "left_semi").dropDuplicates([key, "_h1", "_h2"])
-    return kept.select(*names).unionByName(docs.where(F.coalesce(F.size(words) == 0, F.lit(True))))
+    worded = rows.where(~_wordless(F.col("text"))).select("row", "key", long_hash("text").alias("raw"))
+    kept = worded.join(firsts, F.col("key").eqNullSafe(F.col("of_key")) & (F.col("raw") == F.col("of_raw")))
+    once = kept.where("copies = 1").select("row")
+    thinned = kept.where("copies > 1").groupBy("key", "raw").agg(F.any_value("row").alias("row")).select("row")
+    alone = rows.where(_wordless(F.col("text"))).select("row")
+    return once.unionByName(thinned).unionByName(alone).select("row.*")

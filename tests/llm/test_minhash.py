@@ -94,7 +94,7 @@ def test_odd_rows(spark):
     assert len(got) == len(more)
     by = {r.doc_id: r for r in got}
     assert by[1].class_id == by[8].class_id == by[20].class_id == 1
-    assert by[2].class_id == 2 and by[3].class_id == 3 and by[4].class_id == 4 and by[5].h1 is None
+    assert by[2].class_id == 2 and by[3].class_id == 3 and by[4].class_id == 4 and by[5].raw is None
     kept = [(r.doc_id, r.text) for r in one_of_each(documents(spark, more)).collect()]
     assert [i for i, _ in kept].count(1) == 1 and not {8, 20} & {i for i, _ in kept}
     assert len([t for i, t in kept if i is None]) == 2  # one with words, one null
