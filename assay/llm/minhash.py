@@ -260,7 +260,9 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, key: str, text: str) -> Data
     )
     # A part of all texts at any size: they are dealt out, but not sorted. Only what is found is split to words.
     met = texts.join(wanted.hint("shuffle_hash"), F.col("key").eqNullSafe(F.col("of_key")) & (F.col("raw") == F.col("of_raw")))
-    found = written(met.groupBy("id").agg(F.any_value("text").alias("text")), "node-texts")
+    # The work is in the words, not the bytes: as many tasks as the session shuffles with, however small the texts.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = met.select("id", "text").repartition(tasks, "id").groupBy("id").agg(F.any_value("text").alias("text"))
     return found.select("id", shingle_hashes(words_of(F.col("text"))).alias("shingles"))
 
 
