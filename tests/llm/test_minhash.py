@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from assay.llm.minhash import band_keys, near_duplicates, one_of_each, signatures
+from assay.llm.minhash import band_keys, near_duplicates, one_of_each, rare_pairs, shingle_sets, signatures
 from tests.llm.frames import ODD, documents
 
 
@@ -114,3 +114,57 @@ def test_pairs_within_a_crowd_of_less_similar_texts(spark):
     assert len(set(expected.values())) == len(docs) - 60
     got = {r.doc_id: r.class_id for r in near_duplicates(documents(spark, docs)).collect()}
     assert got == expected
+
+
+def test_two_texts_under_one_key_are_two_nodes(spark):
+    a, b = (" ".join(f"{c}{n}" for n in range(30)) for c in "ab")
+    docs = documents(spark, [(5, a), (5, b), (1, b + " more"), (7, "nothing like it at all here")] + [(None, b)] * 3)
+    got = sorted((r.doc_id is None, r.doc_id, r.class_id) for r in near_duplicates(docs).collect())
+    assert got == [(False, 1, 1), (False, 5, 1), (False, 5, 5), (False, 7, 7), *[(True, None, 1)] * 3]
+    kept = sorted((r.doc_id, r.text) for r in one_of_each(docs).collect())
+    assert kept == sorted([(1, b + " more"), (5, a), (7, "nothing like it at all here")])
+
+
+def test_names_of_the_user_are_free(spark):
+    names = ("_words", "_h1", "_key", "_w1", "_worded", "row", "key", "raw", "of_key", "copies", "id", "bucket", "component")
+    docs = documents(spark, [(1, "one two three four five six"), (2, "one two three four five six"), (3, None)], extra=False)
+    docs = docs.selectExpr("*", *[f"'mine' AS {n}" for n in names])
+    kept = one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+    assert {r.component for r in kept.collect()} == {"mine"}
+
+
+def test_rare_pairs_miss_none_and_skip_the_crowd(spark):
+    draw = random.Random(9)
+    sets = {}
+    for family in range(3):
+        shared = [draw.randrange(2**60) for _ in range(draw.choice([40, 90, 150]))]
+        for member in range(60):
+            own = [draw.randrange(2**60) for _ in range(round(len(shared) * draw.choice([0.02, 0.1, 0.14, 0.3])))]
+            sets[len(sets)] = shared[: len(shared) - draw.choice([0, 0, 5])] + own
+    for n in range(20):
+        sets[len(sets)] = [draw.randrange(40) for _ in range(1)] + [1000 + n // 2]
+    component = {i: i - i % draw.choice([1, 1, 2, 7]) for i in sets}
+    nodes = spark.createDataFrame(list(component.items()), "id bigint, component bigint")
+    held = spark.createDataFrame([(i, sorted(set(x))) for i, x in sets.items()], "id bigint, shingles array<bigint>")
+    got = {tuple(sorted((r.a, r.b))) for r in rare_pairs(nodes, held, 0.8).collect()}
+    want, near = set(), 0
+    for a in sets:
+        for b in range(a):
+            x, y = set(sets[a]), set(sets[b])
+            if component[a] != component[b] and len(x & y) >= 0.8 * len(x | y):
+                want.add((b, a))
+            near += len(x & y) >= 0.7 * len(x | y)
+    assert want and want <= got and len(got) < near
+    # All of a crowd just below the similarity: no pair at all.
+    crowd = {n: list(range(96)) + [10**6 + 13 * n + k for k in range(13)] for n in range(300)}
+    nodes = spark.createDataFrame([(n, n) for n in crowd], "id bigint, component bigint")
+    held = spark.createDataFrame(list(crowd.items()), "id bigint, shingles array<bigint>")
+    assert rare_pairs(nodes, held, 0.8).count() == 0
+
+
+def test_words_are_no_key_of_a_shuffle(spark, corpus):
+    docs = documents(spark, corpus)
+    nodes = spark.createDataFrame([(1, (1, 2))], "id bigint, row struct<key:bigint,raw:bigint>")
+    plan = shingle_sets(docs, nodes, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "split(" in line and ("Exchange" in line or "Join" in line)]
