@@ -263,7 +263,8 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, key: str, text: str) -> Data
     # The work is in the words, not the bytes: as many tasks as the session shuffles with, however small the texts.
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = met.select("id", "text").repartition(tasks, "id").groupBy("id").agg(F.any_value("text").alias("text"))
-    return found.select("id", shingle_hashes(words_of(F.col("text"))).alias("shingles"))
+    # The words are a column of their own: within the lambda over shingles they would be split once a shingle.
+    return found.select("id", words_of(F.col("text")).alias("words")).select("id", shingle_hashes(F.col("words")).alias("shingles"))
 
 
 def _agreeing(left: Column, right: Column) -> Column:
