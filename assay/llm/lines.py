@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.frames import long_hash
+from assay.llm.frames import free_names, long_hash
 
 WINDOW = 3
 
@@ -65,28 +65,28 @@ def dedup_lines(
     """
     kept_columns = [c for c in docs.columns if c not in counts]
     rows = docs.select(*kept_columns)
-    places = repeated_places(line_windows(rows, key, text, window)).select(
-        F.col("no_key").alias("_no_key"), F.col("key").alias("_key"), F.col("text_hash").alias("_text_hash"),
-        F.col("places").alias("_places"),
+    no_key, own_key, text_hash, found, lines, left = free_names(rows, "no_key", "key", "text_hash", "places", "lines", "kept")
+    places = repeated_places(line_windows(rows, key, text, window)).withColumnsRenamed(
+        {"no_key": no_key, "key": own_key, "text_hash": text_hash, "places": found}
     )
     same = (
-        F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(text) == F.col("_text_hash"))
-        & (F.col(key).isNull() == F.col("_no_key"))
+        F.col(key).eqNullSafe(F.col(own_key)) & (F.xxhash64(text) == F.col(text_hash))
+        & (F.col(key).isNull() == F.col(no_key))
     )
-    joined = rows.join(places, same, "left").withColumn("_lines", _lines(text))
+    joined = rows.join(places, same, "left").withColumn(lines, _lines(text))
     # Covered lines merge into spans; what stays lies between the end of one window and the next start.
-    starts = F.concat(F.array(F.lit(0)), F.transform("_places", lambda p: p + window))
-    ends = F.concat(F.col("_places"), F.array(F.size("_lines")))
+    starts = F.concat(F.array(F.lit(0)), F.transform(found, lambda p: p + window))
+    ends = F.concat(F.col(found), F.array(F.size(lines)))
     gaps = F.filter(F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda g: g["a"] < g["b"])
-    kept = F.flatten(F.transform(gaps, lambda g: F.slice(F.col("_lines"), g["a"] + 1, g["b"] - g["a"])))
-    held = joined.withColumn("_kept", F.when(F.col("_places").isNull(), F.col("_lines")).otherwise(kept))
-    n_lines = F.coalesce(F.size("_lines"), F.lit(0))
+    kept = F.flatten(F.transform(gaps, lambda g: F.slice(F.col(lines), g["a"] + 1, g["b"] - g["a"])))
+    held = joined.withColumn(left, F.when(F.col(found).isNull(), F.col(lines)).otherwise(kept))
+    n_lines = F.coalesce(F.size(lines), F.lit(0))
     return held.select(
         *[
-            F.when(F.col("_places").isNull(), F.col(text)).otherwise(F.array_join("_kept", "\n")).alias(text)
+            F.when(F.col(found).isNull(), F.col(text)).otherwise(F.array_join(left, "\n")).alias(text)
             if c == text else F.col(c)
             for c in kept_columns
         ],
         F.when(F.col(text).isNull(), 0).otherwise(n_lines).cast("bigint").alias(counts[0]),
-        F.when(F.col(text).isNull(), 0).otherwise(n_lines - F.size("_kept")).cast("bigint").alias(counts[1]),
+        F.when(F.col(text).isNull(), 0).otherwise(n_lines - F.size(left)).cast("bigint").alias(counts[1]),
     )

@@ -44,3 +44,12 @@ def test_odd_rows(spark):
     assert dedup_lines(documents(spark, [])).count() == 0
     plain = dedup_lines(docs, counts=("_a", "_b"))
     assert plain.columns == [*docs.columns, "_a", "_b"]
+
+
+def test_names_of_the_user_are_free(spark):
+    docs = documents(spark, [(1, "a\nb\nc"), (2, "a\nb\nc\nd")], extra=False).selectExpr(
+        "*", *[f"'mine' AS {n}" for n in ("_places", "_key", "_text_hash", "_lines", "_kept", "places", "text_hash", "kept", "no_key")]
+    )
+    got = dedup_lines(docs)
+    assert got.columns == [*docs.columns, "n_lines", "n_removed"]
+    assert {(r.doc_id, r.text, r._kept, r.kept, r.places) for r in got.collect()} == {(1, "a\nb\nc", *["mine"] * 3), (2, "d", *["mine"] * 3)}

@@ -1,11 +1,14 @@
 """The pipeline: what each stage removes and keeps, on planted and on odd documents."""
 
 import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from assay.llm.frames import written
+from assay.llm.mixing import mix
 from tests.llm.frames import ODD, documents
 from tests.llm.test_lines import direct
 from tests.llm.test_minhash import classes
@@ -33,8 +36,6 @@ def ids(df):
 
 
 def test_toxic_documents_go(spark, sf_dir, planted):
-    from pyspark.sql import functions as F
-
     own = spark.read.parquet(f"{sf_dir}/documents.parquet")
     docs = own.unionByName(documents(spark, planted, extra=False).withColumn("doc_id", F.col("doc_id") + 10**6))
     kept = set(ids(STAGES["toxicity"](spark, docs, sf_dir)))
@@ -66,17 +67,38 @@ def test_run_equals_its_stages(spark, sf_dir):
     for name, stage in corpus_pipeline.STAGES:
         before = docs
         docs = written(stage(spark, docs, sf_dir), f"test-{name}")
+        assert docs.columns == before.columns and 0 < docs.count()
         if name != "mixing":
-            assert docs.columns == before.columns and 0 < docs.count() <= before.count()
-    assert docs.count() == before.count()
+            assert docs.count() <= before.count()
     assert sorted(map(str, corpus_pipeline.run(spark, sf_dir).collect())) == sorted(map(str, docs.collect()))
 
 
+def test_the_mix_is_emitted(spark, sf_dir):
+    rows = [(n, f"text {n} " * (1 + n % 5), "en", f"s{n % 3 if n % 4 else 0}") for n in range(300)]
+    docs = documents(spark, [*rows, rows[0], rows[0], (None, "w", "en", None)])
+    want, row = Counter(), F.struct("doc_id", F.xxhash64("text"), F.col("source").alias("of")).alias("row")
+    for r in mix(docs.select(row, "text", "source"), key="row").collect():
+        want[r.row.doc_id] += r.copies
+    got = Counter(r.doc_id for r in STAGES["mixing"](spark, docs, sf_dir).collect())
+    assert got == +want and max(got.values()) > 1 and any(r[0] not in got for r in rows)
+
+
+@pytest.mark.parametrize("name", list(STAGES)[1:])
+def test_names_of_the_user_are_free(spark, sf_dir, name):
+    names = ("_row", "row", "leak", "whole", "own", "copies", "rows", "n_lines", "n_removed", "_lines_removed", "_key", "of")
+    docs = documents(spark, [(1, "one two three"), (2, "four five six seven eight nine")], extra=False)
+    docs = docs.selectExpr("*", *[f"'mine' AS {n}" for n in names])
+    got = STAGES[name](spark, docs, sf_dir)
+    assert got.columns == docs.columns and all(r.copies == r._row == "mine" for r in got.collect())
+
+
 @pytest.mark.parametrize("name", list(STAGES))
 def test_odd_rows(spark, sf_dir, name):
     docs = documents(spark, ODD)
     got = STAGES[name](spark, docs, sf_dir)
-    if name != "mixing":
-        assert got.columns == docs.columns
-    assert got.count() == {"minhash_near_dedup": len(ODD) - 2}.get(name, len(ODD))
+    assert got.columns == docs.columns
+    if name == "mixing":
+        assert got.count() > 0 and {r.text for r in got.collect()} <= {r.text for r in docs.collect()}
+    else:
+        assert got.count() == {"minhash_near_dedup": len(ODD) - 2}.get(name, len(ODD))
     assert STAGES[name](spark, documents(spark, []), sf_dir).count() == 0
