@@ -2,8 +2,8 @@
 
 toxicity (rejected documents go), line dedup (later occurrences of repeated windows go, and documents of
 which nothing is left), MinHash near-dedup (one document of each class stays), benchmark decontamination
-(leaking documents go), mixing (how often each document is taken). All stages but the last return the
-columns of `documents`, extra ones included. Rows are told apart by key and text, so null and repeated keys
+(leaking documents go), mixing (each document as often as the mix takes it: not at all, once or several
+times). All stages return the columns of `documents`, extra ones included. Rows are told apart by key and text, so null and repeated keys
 lose nothing to each other; empty tables pass through.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay.llm.decontam import leaks
-from assay.llm.frames import learns, table, written
+from assay.llm.frames import free_names, learns, table, written
 from assay.llm.lines import dedup_lines
 from assay.llm.minhash import one_of_each
 from assay.llm.mixing import mix
@@ -30,10 +30,11 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = dedup_lines(docs, counts=("_lines_before", "_lines_removed"))
-    left = found.where((F.col("_lines_removed") == 0) | (F.col("_lines_removed") < F.col("_lines_before")))
+    before, removed = free_names(docs, "n_lines", "n_removed")
+    found = dedup_lines(docs, counts=(before, removed))
+    left = found.where((F.col(removed) == 0) | (F.col(removed) < F.col(before)))
     if "n_chars" in docs.columns:
-        changed = F.col("_lines_removed") > 0
+        changed = F.col(removed) > 0
         kind = docs.schema["n_chars"].dataType
         left = left.withColumn("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return left.select(*docs.columns)
@@ -47,12 +48,23 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row = F.struct(F.col("doc_id"), F.xxhash64("text"))
     named = docs.select(row.alias("row"), "text")
     found = leaks(named, table(spark, sf_dir, "benchmark"), key="row").where("consistent")
-    leaking = found.select(F.col("row").alias("_row")).distinct()
-    return docs.join(leaking, row.eqNullSafe(F.col("_row")), "left_anti")
+    leak = free_names(docs, "leak")[0]
+    leaking = found.select(F.col("row").alias(leak)).distinct()
+    return docs.join(leaking, row.eqNullSafe(F.col(leak)), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix(docs)
+    """Rows alike in key, text and source are taken together, as often as all of them are."""
+    row = F.struct(F.col("doc_id"), F.xxhash64("text"), F.col("source").alias("of"))
+    taken = mix(docs.select(row.alias("row"), "text", "source"), key="row").groupBy("row").agg(
+        F.sum("copies").alias("copies"), F.count("*").alias("rows")
+    ).where("copies > 0")
+    whole = docs.select(row.alias("own"), F.struct(*docs.columns).alias("whole"))
+    met = whole.join(taken, F.col("own").eqNullSafe(F.col("row")))
+    once = met.where("rows = 1").select("whole", "copies")
+    alike = met.where("rows > 1").groupBy("own").agg(F.any_value("whole").alias("whole"), F.first("copies").alias("copies"))
+    every = once.unionByName(alike.select("whole", "copies"))
+    return every.select("whole", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).select("whole.*")
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -63,8 +75,8 @@ STAGES: list[tuple[str, Stage]] = [
     ("mixing", mix_sources),
 ]
 
-# The learned toxicity scores and the near-duplicate classes are beyond SQL; tests compare each stage
-# with a brute-force version.
+# The learned toxicity scores and the near-duplicate classes are beyond SQL. Tests compare line dedup,
+# near-dedup and mixing with direct versions, toxicity and decontamination with planted documents.
 ORACLE_SQL: str | None = None
 
 
