@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from assay.functions.text import partition_text
 from assay.operators import incremental as N
+from assay.operators import overlap as O
 from assay.operators import rules as R
 from assay.operators import rulesets as S
 from assay.operators import violations as V
@@ -173,3 +175,58 @@ def incremental_evaluation(spark, d):
     return R.rule_results(found, I.BY).select(
         "year", "month", "rule", F.round(R.single_metric(F.col("evaluated_metrics")), 4).alias("metric"), "state"
     )
+
+
+# --- issues that hit the same rows ----------------------------------------------------------
+
+ISSUES = {
+    "tax": "l_tax < 0 OR l_tax > 1", "price": "l_extendedprice < 0 OR l_extendedprice > 500000",
+    "quantity": "l_quantity < 1 OR l_quantity > 50", "cheap": "l_extendedprice < 1",
+    "flag": "l_returnflag NOT IN ('A', 'N', 'R')", "blank": "l_returnflag IN ('YES', 'NO', 'maybe', '1', '0', '')",
+}
+_BITS = " + ".join(f"CASE WHEN coalesce({p}, false) THEN {1 << i} ELSE 0 END" for i, p in enumerate(ISSUES.values()))
+_HELD = "list_filter([" + ", ".join(f"CASE WHEN {{0}} & {1 << i} <> 0 THEN '{n}' END" for i, n in enumerate(ISSUES)) + "], lambda x: x IS NOT NULL)"
+MASKS_SQL = f"""{I.CORRUPT}, masks AS (SELECT year, month, ({_BITS})::BIGINT AS mask, count(*) AS n FROM dirty GROUP BY ALL)"""
+
+
+def _masks(spark, d):
+    return O.row_masks(I.corrupted(spark, d), ISSUES, I.BY)
+
+
+@query(
+    "issue_overlap",
+    f"""WITH {MASKS_SQL}, t AS (SELECT year, month, sum(n) AS total FROM masks GROUP BY ALL),
+every AS (SELECT year, month, s.held, sum(n) AS support FROM masks, range(1, {1 << len(ISSUES)}) s(held)
+  WHERE mask & held = held GROUP BY ALL),
+closed AS (SELECT * FROM every e WHERE NOT EXISTS (SELECT 1 FROM every w WHERE w.year = e.year AND w.month = e.month
+  AND w.held <> e.held AND w.held & e.held = e.held AND w.support = e.support))
+SELECT c.year, c.month, array_to_string({_HELD.format('c.held')}, '+') AS issues, c.support::BIGINT AS support,
+  round(c.support / t.total / product(e.support::DOUBLE / t.total), 3) AS lift
+FROM closed c JOIN t ON c.year = t.year AND c.month = t.month
+JOIN every e ON e.year = c.year AND e.month = c.month AND bit_count(e.held) = 1 AND c.held & e.held <> 0
+WHERE c.support >= 2 GROUP BY c.year, c.month, c.held, c.support, t.total""",
+)
+def issue_overlap(spark, d):
+    """All closed sets of issues that two rows of a month have at least, by brute force over all subsets in SQL."""
+    found = O.closed_sets(_masks(spark, d), list(ISSUES), I.BY, min_support=2)
+    return found.select("year", "month", F.array_join("issues", "+").alias("issues"), "support", F.round("lift", 3).alias("lift"))
+
+
+@query(
+    "joint_quarantine_requests",
+    f"""WITH RECURSIVE {MASKS_SQL}, pairs AS (SELECT year, month, i, j, sum(n) FILTER (mask & (1 << i) <> 0 AND mask & (1 << j) <> 0) AS n_both,
+    sum(n) FILTER (mask & (1 << i) <> 0 OR mask & (1 << j) <> 0) AS n_either
+  FROM masks, range({len(ISSUES)}) a(i), range({len(ISSUES)}) b(j) GROUP BY ALL),
+links AS (SELECT year, month, i, j FROM pairs WHERE n_both >= 0.9::DOUBLE * n_either),
+reach AS (SELECT year, month, i, j FROM links UNION SELECT r.year, r.month, r.i, l.j FROM reach r
+  JOIN links l ON l.year = r.year AND l.month = r.month AND l.i = r.j),
+held AS (SELECT DISTINCT year, month, held FROM (SELECT year, month, i, sum(1 << j)::BIGINT AS held FROM reach GROUP BY ALL))
+SELECT {I.PARTITION} AS "partition", array_to_string({_HELD.format('held')}, '+') AS issue_id, sum(n)::BIGINT AS bad_rows
+FROM held JOIN masks USING (year, month) WHERE mask & held <> 0 GROUP BY year, month, held""",
+)
+def joint_quarantine_requests(spark, d):
+    """Issues whose rows coincide are one request; with the number of rows it takes out."""
+    groups = O.coinciding(_masks(spark, d), list(ISSUES), I.BY)
+    requests = O.joint_requests(groups, ISSUES, I.TABLE, I.BY).select("partition", "issue_id")
+    named = groups.select(partition_text(I.BY).alias("partition"), F.array_join("issues", "+").alias("issue_id"), "bad_rows")
+    return requests.join(named, ["partition", "issue_id"])
