@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from assay.functions.text import partition_text
 from assay.operators import incremental as N
+from assay.operators import learned as Q
 from assay.operators import overlap as O
 from assay.operators import rules as R
 from assay.operators import rulesets as S
@@ -230,3 +231,36 @@ def joint_quarantine_requests(spark, d):
     requests = O.joint_requests(groups, ISSUES, I.TABLE, I.BY).select("partition", "issue_id")
     named = groups.select(partition_text(I.BY).alias("partition"), F.array_join("issues", "+").alias("issue_id"), "bad_rows")
     return requests.join(named, ["partition", "issue_id"])
+
+
+# --- bounds learned from the data -------------------------------------------------------------
+
+_LEARNED = ["l_quantity", "l_extendedprice", "l_discount"]
+
+
+@query(
+    "learned_bounds",
+    f"""WITH {I.CORRUPT}, long AS (UNPIVOT (SELECT year, month, {', '.join(_LEARNED)} FROM dirty)
+  ON {', '.join(_LEARNED)} INTO NAME "column" VALUE v)
+SELECT "column", count(DISTINCT (year, month)) AS partitions, count(*) AS value_count, true AS within, true AS robust
+FROM long GROUP BY ALL""",
+)
+def learned_bounds(spark, d):
+    """Bounds of three columns with planted outliers, merged over months: are ranks within the sketches' error,
+    and do the bounds leave out the planted values, 1 to 3 in a hundred, and hardly more?"""
+    past = response.stored(I.corrupted(spark, d).select(*I.BY, *_LEARNED), scratch_dir(spark, "past"))
+    sketches = response.stored(Q.sketched(past, _LEARNED, I.BY), scratch_dir(spark, "sketches"))
+    levels = [n / 10 for n in range(1, 10)]
+    asked = Q.merged_quantiles(sketches, levels).join(Q.learned_bounds(sketches).select("column", "lo", "hi"), "column")
+    values = past.unpivot(I.BY, _LEARNED, "column", "v").where(F.col("v").isNotNull())
+    met = values.join(F.broadcast(asked), "column")
+    ranks = [F.count_if(F.col("v") < F.col("quantiles")[i]) for i in range(9)], [F.count_if(F.col("v") <= F.col("quantiles")[i]) for i in range(9)]
+    grouped = met.groupBy("column").agg(
+        F.first("partitions").alias("partitions"), F.count("*").alias("value_count"),
+        F.array(*ranks[0]).alias("below"), F.array(*ranks[1]).alias("upto"),
+        (F.count_if((F.col("v") < F.col("lo")) | (F.col("v") > F.col("hi"))) / F.count("*")).alias("outside"),
+    )
+    slack = 2 * Q.RANK_ERROR
+    within = [((F.col("below")[i] / F.col("value_count") <= p + slack) & (F.col("upto")[i] / F.col("value_count") >= p - slack)) for i, p in enumerate(levels)]
+    return grouped.select("column", "partitions", "value_count", F.forall(F.array(*within), lambda x: x).alias("within"),
+                          (F.col("outside").between(0.005, 0.05)).alias("robust"))
