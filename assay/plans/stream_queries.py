@@ -14,6 +14,7 @@ from assay.session import scratch_dir
 from assay.sources.idindex import append_indexed, read_indexed
 from assay.sources import results as R
 from assay.streaming import alarms as L
+from assay.streaming import arrivals as A
 from assay.streaming import events as E
 
 _NOW = "2024-01-30 12:00:00"
@@ -241,3 +242,29 @@ def stream_alarm_transitions(spark, d):
         changes.writeStream.format("parquet").option("path", path).outputMode("append"), scratch_dir(spark, "checkpoint")
     )
     return _shown(spark.read.schema(changes.schema).parquet(path))
+
+
+# Islands of arrivals with less than a quiet time between neighbours.
+_SETTLED = """WITH a AS (SELECT event_type AS kind, user_id % 20 AS part, ts,
+    coalesce(ts - lag(ts) OVER o > INTERVAL 30 MINUTE, true) AS starts FROM events
+  WINDOW o AS (PARTITION BY event_type, user_id % 20 ORDER BY ts)),
+n AS (SELECT *, sum(starts::INT) OVER (PARTITION BY kind, part ORDER BY ts ROWS UNBOUNDED PRECEDING) AS island FROM a),
+s AS (SELECT kind, part, min(ts) AS first_arrival, max(ts) + INTERVAL 30 MINUTE AS settled_at, count(*) AS files
+  FROM n GROUP BY kind, part, island)
+SELECT * FROM s WHERE settled_at <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"""
+
+
+@query("settled_partitions", _SETTLED)
+def settled_partitions(spark, d):
+    """Events as arrivals of a hundred partitions: every version that has come to rest, once."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", L.ROCKSDB)
+    path = scratch_dir(spark, "settled")
+    arrivals = _events_stream(spark, d).select(
+        F.col("event_type").alias("kind"), (F.col("user_id") % 20).alias("part"), F.col("ts").cast("timestamp").alias("ts")
+    )
+    versions = A.settled(arrivals, ["kind", "part"])
+    E.run_available(
+        versions.writeStream.format("parquet").option("path", path).outputMode("append"), scratch_dir(spark, "checkpoint")
+    )
+    out = spark.read.schema(versions.schema).parquet(path)
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_arrival", "settled_at")})
