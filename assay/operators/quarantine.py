@@ -6,10 +6,11 @@ downstream use. A predicate that is null on a row does not make it bad.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from hashlib import md5
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,7 +65,7 @@ def clean_rows(df: DataFrame, request: Request) -> DataFrame:
     return df.where(request.scope).where(~request.bad)
 
 
-# Distinct predicates of one call: each is an expression of the plan. Requests have no such bound.
+# Distinct predicates of one pass: each is an expression of its plan. More take several passes.
 MAX_PREDICATES = 200
 # Partitions in scope that become a filter of the plan; beyond that the join with the scopes prunes.
 MAX_SCOPES = 100
@@ -109,10 +110,7 @@ def _requested(spark: SparkSession, requests: Requests) -> _Requested:
         ).alias("scope"),
     ).withColumn("keys", F.array_sort(F.map_keys("scope")))
     # Predicates, sets of keys and a few scopes: bounded lists that shape the plan.
-    found = table.select("condition").distinct().limit(MAX_PREDICATES + 1).collect()
-    if len(found) > MAX_PREDICATES:
-        raise ValueError(f"more than {MAX_PREDICATES} different predicates in one call")
-    predicates = sorted(row["condition"] for row in found)
+    predicates = sorted(row["condition"] for row in table.select("condition").distinct().collect())
     numbered = F.array_position(F.array(*map(F.lit, predicates)), F.col("condition")) if predicates else F.lit(0)
     by_keys = {}
     for row in table.select("keys").distinct().collect():
@@ -126,6 +124,26 @@ def _requested(spark: SparkSession, requests: Requests) -> _Requested:
     return _Requested(predicates, by_keys, scopes if len(scopes) <= MAX_SCOPES else None)
 
 
+def in_passes(requests: Requests) -> Iterator[Requests]:
+    """The requests in parts of at most MAX_PREDICATES different predicates each.
+
+    Of a table, the predicates of one part are on the driver at a time.
+    """
+    if not isinstance(requests, DataFrame):
+        named: dict[str, list[Request]] = {}
+        for r in requests:
+            parse_partition(r.partition)  # a broken scope raises before anything is written
+            named.setdefault(r.filter_condition.strip(), []).append(r)
+        groups = [named[c] for c in sorted(named)]
+        for n in range(0, len(groups), MAX_PREDICATES):
+            yield [r for group in groups[n : n + MAX_PREDICATES] for r in group]
+        return
+    condition = F.trim("filter_condition")
+    rows = requests.select(condition.alias("c")).where("c IS NOT NULL").distinct().toLocalIterator()
+    while part := [row["c"] for row in islice(rows, MAX_PREDICATES)]:
+        yield requests.where(condition.isin(part))
+
+
 def run_id(condition: Column) -> Column:
     """The folder of a request's copy within its issue: requests with other predicates have others."""
     return F.left(F.md5(F.trim(condition).cast("binary")), F.lit(12))
@@ -161,15 +179,24 @@ def _tagged(df: DataFrame, requests: Requests) -> DataFrame:
 
 
 def tag_issues(df: DataFrame, requests: Requests) -> DataFrame:
-    """Bad rows of several requests in one pass, each with the ids of all issues it belongs to."""
+    """Bad rows of several requests in one pass, each with the ids of all issues it belongs to.
+
+    One plan holds all different predicates, as a row's issues are to stand together.
+    """
     issues = F.array_distinct(F.transform("hits", lambda h: h["issue_id"]))
     return _tagged(df, requests).withColumn("issue_ids", issues).drop("hits")
 
 
 def quarantine_counts(df: DataFrame, requests: Requests) -> DataFrame:
     """Bad, total and remaining rows of every request, from one aggregate over the predicates'
-    columns and the partitions in scope (for each set of keys that requests name). Exact also when
-    tasks are repeated. Requests whose partition text names no partition have no row."""
+    columns and the partitions in scope (for each set of keys that requests name, and each pass of
+    predicates). Exact also when tasks are repeated. Requests whose partition text names no partition
+    have no row."""
+    passes = [_counts(df, part) for part in in_passes(requests)] or [_counts(df, [])]
+    return reduce(DataFrame.unionByName, passes)
+
+
+def _counts(df: DataFrame, requests: Requests) -> DataFrame:
     asked = _requested(df.sparkSession, requests)
     parts = []
     for keys, own in asked.by_keys.items():
@@ -203,6 +230,11 @@ def write_quarantine(
     any more; the rows stay in the source, and a replay after a failure stores them again. Requests of one
     call must concern one source table.
     """
+    for part in in_passes(requests):
+        _write_pass(df, part, path, keys, written_at)
+
+
+def _write_pass(df: DataFrame, requests: Requests, path: str, keys: Sequence[str], written_at: Column) -> None:
     spark = df.sparkSession
     asked = _requested(spark, requests)
     tables = {r["table_name"] for own in asked.by_keys.values() for r in own.select("table_name").distinct().limit(2).collect()}

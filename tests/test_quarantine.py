@@ -137,3 +137,16 @@ def test_expiry_drops_old_folders_and_rewrites_mixed_ones(spark, tmp_path):
         expire_quarantine(spark, path, ["issue_id"], now())
         assert ids(spark.read.parquet(path)) == [3, 4]
     assert not (tmp_path / "zone" / "issue_id=old").exists()
+
+
+@pytest.mark.parametrize("as_table", [False, True])
+def test_any_number_of_predicates(spark, tmp_path, as_table):
+    df = spark.range(1000).selectExpr("id AS a", "'x' AS p").coalesce(1)
+    asked = [Q.Request("t", "p=x", f"a = {n} OR a = {n + 1}", f"i{n}") for n in range(450)]
+    requests = asked
+    if as_table:
+        rows = [(r.issue_id, r.table_name, r.partition, r.filter_condition) for r in asked]
+        requests = spark.createDataFrame(rows, "issue_id string, table_name string, partition string, filter_condition string")
+    counts = Q.quarantine_counts(df, requests).collect()
+    assert sorted(r.issue_id for r in counts) == sorted(r.issue_id for r in asked)
+    assert all((r.bad_count, r.total_count) == (2, 1000) for r in counts)
