@@ -1,9 +1,10 @@
 """Language identification: held-out accuracy, and what it may not look at."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from assay.llm.frames import learns, table
-from assay.llm.langid import identify
+from assay.llm.langid import identify, letter_vector
 from tests.llm.frames import ODD, documents
 
 
@@ -34,3 +35,39 @@ def test_odd_rows(spark):
 def test_ties_go_to_the_smaller_name(spark):
     same = documents(spark, [(n, "the same words", lang) for n, lang in enumerate(("b", "a", "c"))])
     assert {r.lang_pred for r in identify(same, F.lit(True)).collect()} == {"a"}
+
+
+def direct_vector(text, dimensions, seed):
+    """Sum of the bound letter vectors of all trigrams, letter by letter."""
+    spaced, out = [0], np.zeros(dimensions, np.int64)
+    for letter in text.lower():
+        code = ord(letter) if letter.isalpha() else 0
+        if code or spaced[-1]:
+            spaced.append(code)
+    if spaced[-1]:
+        spaced.append(0)
+    for n in range(len(spaced) - 2):
+        bound = np.ones(dimensions, np.int64)
+        for k, code in enumerate(spaced[n : n + 3]):
+            bound *= np.roll(letter_vector(code, dimensions, seed).astype(np.int64), 2 - k)
+        out += bound
+    return out
+
+
+def test_against_a_direct_version(spark, sf_dir):
+    rows = [(r.doc_id, r.text[:400], r.lang) for r in table(spark, sf_dir, "documents").orderBy("doc_id").limit(150).collect()]
+    rows += [(1000 + n, t, "xx") for n, t in enumerate(["北京 Ünï", "a", "ab cd", "1 2 3", "Ǆ ǅ x"])]
+    learn, dimensions, seed = F.col("doc_id") % 3 != 0, 64, 5
+    got = {r.doc_id: r for r in identify(documents(spark, rows), learn, dimensions=dimensions, seed=seed).collect()}
+    own = {i: direct_vector(t, dimensions, seed) for i, t, _ in rows}
+    sums = {}
+    for i, _, lang in rows:
+        if i % 3 and lang is not None:
+            sums[lang] = sums.get(lang, 0) + own[i]
+    for i, text, _ in rows:
+        if not any(c.isalpha() for c in text):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        cosine = {lang: own[i] @ s / np.linalg.norm(own[i]) / np.linalg.norm(s) for lang, s in sums.items()}
+        best = max(cosine.values())
+        assert cosine[got[i].lang_pred] >= best - 1e-9 and abs(got[i].score - max(0.0, best)) < 1e-6
