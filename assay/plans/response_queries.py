@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from assay.operators import answers as S
 from assay.operators import diagnosis as D
 from assay.operators import history as H
 from assay.operators import metrics as M
@@ -12,6 +13,7 @@ from assay.operators import violations as V
 from assay.plans import inputs as I
 from assay.plans import response as P
 from assay.plans.registry import query
+from assay.session import scratch_dir
 
 _NOW = "2024-01-30 12:00:00"
 
@@ -119,6 +121,23 @@ def diagnose_batch(spark, d):
     return answered.select("event_id", D.parse_answer(F.col("answer")).alias("x")).select("event_id", "x.*")
 
 
+@query("diagnose_stored", _POLICY_SQL)
+def diagnose_stored(spark, d):
+    """The same from stored answers: a first run in which a fifth of the prompts fails, a second for those alone."""
+    store = scratch_dir(spark, "answers")
+    prompts = P.stored(_policy(spark, d), scratch_dir(spark, "prompts"))
+
+    def flaky(texts):
+        if texts.map(lambda t: len(t) % 5 == 0).any():
+            raise RuntimeError("down")
+        return "```json\n" + texts + "\n```"
+
+    S.ask_open(prompts, flaky, store, callers=4)
+    S.ask_open(prompts, lambda texts: "```json\n" + texts + "\n```", store, callers=4)
+    answered = S.answered(prompts, store)
+    return answered.select("event_id", D.parse_answer(F.col("answer")).alias("x")).select("event_id", "x.*")
+
+
 def _answers(spark, d):
     """An answer per event: plain JSON, fenced, fence not closed, a fence inside a value, lacking
     keys, and no JSON."""

@@ -23,6 +23,7 @@ from assay.sources import audit as A
 from assay.sources import idindex as J
 from assay.sources import partitions as P
 from assay.sources import results as E
+from assay.sources import swaps as W
 from assay.sources import tables as S
 
 FACT_SCHEMA = I.LINEITEM_SCHEMA + ", year string, month string"
@@ -694,3 +695,21 @@ def stored_history(spark, d):
     return newest.select(
         "partition", "overall_score", "violation_count", F.col("recency").cast("bigint").alias("recency")
     )
+
+
+@query(
+    "restore_swapped",
+    f"""WITH {I.FACT} SELECT year, month, count(*) AS n, sum(l_orderkey)::BIGINT AS keys FROM fact GROUP BY year, month""",
+)
+def restore_swapped(spark, d):
+    """A table of corrupted months, restored from the clean ones by moving its partitions in the catalog."""
+    path, log = scratch_dir(spark, "swapped"), scratch_dir(spark, "swaps")
+    table = "swapped_" + path.rsplit("-", 1)[1]
+    clean = I.fact(spark, d)
+    dirty = inject_nulls(clean.where("l_linenumber < 3"), I.CONFIG["null_injection"], I.KEY, generator=I.GENERATOR)
+    P.write_partitions(dirty, path, I.BY)
+    P.create_fact_table(spark, table, I.LINEITEM_SCHEMA + ", year string, month string", path, I.BY)
+    P.register_partitions(spark, table, P.existing_partitions(spark, path, I.BY), I.BY)
+    whole = stored(clean.repartition(*I.BY), scratch_dir(spark, "clean"))
+    W.restore_swapped(spark, table, whole, f"{path}-staging", log, I.BY)
+    return spark.table(table).groupBy(*I.BY).agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("keys"))
