@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from assay.functions.text import partition_text
 from assay.operators import incremental as N
 from assay.operators import learned as Q
+from assay.operators import neardups as D
 from assay.operators import overlap as O
 from assay.operators import rules as R
 from assay.operators import rulesets as S
@@ -264,3 +265,29 @@ def learned_bounds(spark, d):
     within = [((F.col("below")[i] / F.col("value_count") <= p + slack) & (F.col("upto")[i] / F.col("value_count") >= p - slack)) for i, p in enumerate(levels)]
     return grouped.select("column", "partitions", "value_count", F.forall(F.array(*within), lambda x: x).alias("within"),
                           (F.col("outside").between(0.005, 0.05)).alias("robust"))
+
+
+# --- rows that nearly repeat an earlier one -----------------------------------------------------
+
+_EXACT = ["l_orderkey", "l_partkey", "l_suppkey", "l_shipdate"]
+_NEAR = {"l_quantity": 0.06, "l_extendedprice": 0.06, "l_discount": 0.06}
+_LOW = "-1e18::DOUBLE"
+_TUPLE = "(" + ", ".join(f"coalesce({{0}}.{c}, {_LOW})" for c in _NEAR) + ")"
+_CLOSE = " AND ".join(f"abs(coalesce(a.{c}, {_LOW}) - coalesce(b.{c}, {_LOW})) <= {t}::DOUBLE" for c, t in _NEAR.items())
+
+
+@query(
+    "near_duplicate_rows",
+    f"""WITH {I.CORRUPT}, d AS (SELECT year, month, {', '.join([*_EXACT, *_NEAR])}, count(*) AS copies FROM dirty GROUP BY ALL),
+f AS (SELECT a.*, EXISTS (SELECT 1 FROM d b WHERE {' AND '.join(f'a.{c} = b.{c}' for c in ['year', 'month', *_EXACT])}
+  AND {_TUPLE.format('b')} < {_TUPLE.format('a')} AND {_CLOSE}) AS repeats FROM d a),
+g AS (SELECT year, month, sum(copies)::BIGINT AS row_count, sum(copies - CASE WHEN repeats THEN 0 ELSE 1 END)::BIGINT AS near_repeats
+  FROM f GROUP BY year, month)
+SELECT year, month, row_count, near_repeats, round(near_repeats / row_count, 6) AS duplicate_share,
+  CASE WHEN near_repeats / row_count * 100 > 10 THEN 'CRITICAL' WHEN near_repeats / row_count * 100 > 5 THEN 'WARNING' ELSE 'OK' END AS severity
+FROM g""",
+)
+def near_duplicate_rows(spark, d):
+    """Planted near copies, three columns off by a little, and exact ones; by brute force over pairs in SQL."""
+    out = D.near_uniqueness(I.corrupted(spark, d), _EXACT, _NEAR, I.BY)
+    return out.withColumn("duplicate_share", F.round("duplicate_share", 6))
