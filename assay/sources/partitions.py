@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 from assay.functions.text import NULL_PARTITION
 
+# Present partitions that become a filter of the plan; more are joined.
+MAX_LISTED = 1000
 # Partition specs per ALTER TABLE statement.
 _REGISTER_BATCH = 500
 
@@ -93,13 +95,19 @@ def ingest_partitions(
     """Write a frame's partitions: skip those already there, or overwrite them.
 
     What is there becomes a filter on the partition columns. If the frame is a scan that is partitioned by
-    them, the skipped partitions are not read.
+    them, the skipped partitions are not read. Beyond MAX_LISTED partitions they are a table to join with, so
+    that the plan does not grow with them.
     """
     if overwrite:
         write_partitions(df, path, keys, "overwrite", rebalance)
         return
-    there = ["/".join(values) for values in partition_folders(df.sparkSession, path, keys)]
-    new = df.where(~partition_name(keys).isin(there)) if there else df
+    there = partition_folders(df.sparkSession, path, keys)
+    new = df
+    if len(there) > MAX_LISTED:
+        present = df.sparkSession.createDataFrame([("/".join(values),) for values in there], "_present string")
+        new = df.join(present, partition_name(keys) == F.col("_present"), "left_anti")
+    elif there:
+        new = df.where(~partition_name(keys).isin(["/".join(values) for values in there]))
     write_partitions(new, path, keys, "append", rebalance)
 
 

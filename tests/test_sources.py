@@ -234,3 +234,13 @@ def test_a_null_key_is_never_left_out(spark):
     df = spark.createDataFrame([(None, "01"), ("2025", "02")], "year string, month string")
     got = sorted(r[0] for r in df.select(partition_text(["year", "month"])).collect())
     assert got == ["year=2025/month=02", "year=__HIVE_DEFAULT_PARTITION__/month=01"]
+
+
+@pytest.mark.parametrize("listed", [0, 1000])
+def test_present_partitions_are_skipped_by_list_or_join(spark, tmp_path, monkeypatch, listed):
+    monkeypatch.setattr(P, "MAX_LISTED", listed)
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([(1, "a", "x/y"), (2, "b", None), (3, "c", "")], "id int, p string, q string")
+    P.ingest_partitions(rows.where("id < 3"), path, ["p", "q"])
+    P.ingest_partitions(rows.withColumn("id", F.col("id") + 10), path, ["p", "q"])
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [1, 2, 13]
