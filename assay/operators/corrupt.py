@@ -232,13 +232,18 @@ def _exact_count(df: DataFrame, op: str, seed: int, rate: float, total: int | No
     draw = F.struct(dig.alias("d"), F.col(KEY).alias("k"))
     drawn = df.select(draw.alias("draw"))
 
-    def edge(rows: DataFrame, by: Column, wanted: Column) -> Row | None:
-        """The value at which the running count reaches `wanted`, and the count before it. At most
-        2**20 values, so one window is bounded."""
-        counted = rows.groupBy(by.alias("value")).agg(F.count("*").alias("n"))
+    def edge(rows: DataFrame, by: Column, wanted: Column, head: Column = F.substring("value", 1, 3)) -> Row | None:
+        """The value at which the running count reaches `wanted`, and the count before it. Counts run within
+        the values of three digits in common, and those 4,096 at most are added up in a window of their own."""
+        counted = rows.groupBy(by.alias("value")).agg(F.count("*").alias("n")).withColumn("head", head)
         everyone = Window.partitionBy()
-        upto = counted.select(
-            "value", F.sum("n").over(everyone).alias("rows"), F.sum("n").over(everyone.orderBy("value")).alias("upto"), "n"
+        heads = counted.groupBy("head").agg(F.sum("n").alias("in_head")).select(
+            F.col("head").alias("of_head"), F.sum("in_head").over(everyone).alias("rows"),
+            (F.sum("in_head").over(everyone.orderBy("head")) - F.col("in_head")).alias("base"),
+        )
+        within = F.sum("n").over(Window.partitionBy("head").orderBy("value"))
+        upto = counted.withColumn("within", within).join(heads, F.col("head") == F.col("of_head")).select(
+            "value", "rows", (F.col("base") + F.col("within")).alias("upto"), "n"
         ).withColumn("wanted", wanted)
         reached = upto.where(F.col("upto") >= F.col("wanted"))
         return reached.orderBy("value").select("value", "rows", "wanted", (F.col("upto") - F.col("n")).alias("before")).first()
@@ -253,7 +258,7 @@ def _exact_count(df: DataFrame, op: str, seed: int, rate: float, total: int | No
     inner = drawn.where(bucket == first["value"])
     second = edge(inner, F.substring("draw.d", 6, 5), F.lit(left).cast("bigint"))
     prefix = first["value"] + second["value"]
-    last = edge(inner.where(F.substring("draw.d", 1, 10) == prefix), F.col("draw"), F.lit(left - second["before"]).cast("bigint"))
+    last = edge(inner.where(F.substring("draw.d", 1, 10) == prefix), F.col("draw"), F.lit(left - second["before"]).cast("bigint"), F.lit(0))
     return draw <= F.struct(F.lit(last["value"]["d"]).alias("d"), F.lit(last["value"]["k"]).alias("k")), n
 
 
