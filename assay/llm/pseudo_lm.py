@@ -9,12 +9,12 @@ Both terms are softmaxes of one hidden layer: each neighbour's own embedding tim
 through tanh. So every neighbour word bears on every token's probability. Before training, the biases are the
 corpus' frequencies and the weights are 0: the network starts as the unigram model.
 
-Training, as masked models do, hides one place in ONE_IN: the windows whose hash says so, wherever they
-occur. They are counted over all texts and stored as a table (left and right words, word, count), which grows
-with the corpus; equal windows are one row, so copies make no task longer. The rows are dealt by hash to shards
-of about SHARD rows; each shard trains a copy of the network in numpy, in an order set by hashes, and Spark
-averages the copies row by row, weighted by how much each shard has seen of a row. What reaches the driver is
-one network of PARAMETERS rows. The order and the layout of the documents do not matter.
+Training hides every place of every text once and predicts it. Texts are split once, into a table of their
+buckets, two bytes a token. Equal ones are one row with a count and are dealt by hash to shards of about SHARD
+tokens; each shard makes the windows of its texts, equal ones one with a count, and trains a copy of the network
+on all of them in numpy, in an order set by hashes. Spark averages the copies row by row, weighted by how much
+each shard has seen of a row. What reaches the driver is one network of PARAMETERS rows. The order and the layout
+of the documents do not matter.
 """
 
 from __future__ import annotations
@@ -35,7 +35,8 @@ SIDE = 256  # classes, and buckets of a class
 OUTSIDE = 0  # the bucket of places outside the text
 PLACES = (-2, -1, 1, 2)
 HIDDEN, RATE, SEED = 16, 0.2, 11
-ONE_IN, SHARD, BATCH = 8, 1 << 20, 4096
+ONE_IN, SHARD = 1, 1 << 21
+LEAST, BATCH, STEPS = 1 << 12, 1 << 15, 64  # windows of a step, and steps of a shard that is not small
 ROUNDS = 1
 REMEMBERED = 1_000_000
 CHUNK, ROWS = 1 << 15, 1 << 10  # tokens scored at once, and of them in one product
@@ -132,12 +133,17 @@ def _picked(scores: np.ndarray, column: np.ndarray) -> np.ndarray:
     return own - _exponentials(scores)[1]
 
 
-def _errors(scores: np.ndarray, column: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """The softmax less what is right, times each row's share."""
-    error = _exponentials(scores)[0]
-    error *= share / error.sum(axis=1, keepdims=True)
-    error[np.arange(len(column)), column] -= share[:, 0]
-    return error
+def _errors(hidden: np.ndarray, weights: np.ndarray, column: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the softmax less what is right, times each row's share, sends back to the hidden layer and the weights."""
+    back, gradient = np.empty_like(hidden), np.zeros_like(weights)
+    for at in range(0, len(hidden), ROWS):
+        block = slice(at, at + ROWS)
+        error = _exponentials(hidden[block] @ weights.T)[0]
+        error *= share[block] / error.sum(axis=1, keepdims=True)
+        error[np.arange(len(error)), column[block]] -= share[block, 0]
+        np.matmul(error, weights, out=back[block])
+        gradient += error.T @ hidden[block]
+    return back, gradient
 
 
 def _by_class(words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -182,14 +188,12 @@ class Training:
         """One step up the log-likelihood of windows that occurred `n` times."""
         share = (n / n.mean()).astype(np.float32)[:, None]
         hidden = _hidden(self.params, around)
-        error = _errors(hidden @ self.params[CLASS].T, words // SIDE, share)
-        back = error @ self.params[CLASS]
-        of_classes = error.T @ hidden
+        back, of_classes = _errors(hidden, self.params[CLASS], words // SIDE, share)
         for c, at in _by_class(words):
             rows = slice(WORD.start + c * SIDE, WORD.start + (c + 1) * SIDE)
-            error = _errors(hidden[at] @ self.params[rows].T, words[at] % SIDE, share[at])
-            back[at] += error @ self.params[rows]
-            self._move(rows, error.T @ hidden[at], n[at].sum())
+            of_hidden, of_words = _errors(hidden[at], self.params[rows], words[at] % SIDE, share[at])
+            back[at] += of_hidden
+            self._move(rows, of_words, n[at].sum())
         self._move(CLASS, of_classes, n.sum())
         back *= 1 - hidden * hidden
         back[:, HIDDEN] = 0
@@ -219,12 +223,12 @@ class Model:
         return (each[ends[1:]] - each[ends[:-1]]).tolist()
 
 
-def _groups(texts: list[str | None], buckets: Buckets) -> Iterator[list[np.ndarray]]:
-    """The texts' buckets, some texts at a time: enough to fill a chunk."""
+def _groups(texts: Iterator[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """The texts, some at a time: enough to fill a chunk."""
     group, size = [], 0
     for text in texts:
-        group.append(buckets.of(text or ""))
-        size += len(group[-1])
+        group.append(text)
+        size += len(text)
         if size >= CHUNK:
             yield group
             group, size = [], 0
@@ -232,63 +236,102 @@ def _groups(texts: list[str | None], buckets: Buckets) -> Iterator[list[np.ndarr
         yield group
 
 
-def bucket_counts(docs: DataFrame, text: str) -> np.ndarray:
-    """How often each bucket occurs: added up in each task, then summed by Spark."""
+def _tokens(column: pa.Array | pa.ChunkedArray) -> Iterator[np.ndarray]:
+    """The buckets of each text of a column of `bucketed`."""
+    for value in column:
+        yield np.frombuffer(value.as_buffer(), np.uint16).astype(np.int64)
+
+
+def bucketed(docs: DataFrame, key: str | None, text: str) -> DataFrame:
+    """`key` and `tokens` of every row of `docs`: its buckets, two bytes each; no text has none."""
+    kind = dict(docs.select(key).dtypes)[key] if key else "int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets, counts = Buckets(), np.zeros(BUCKETS, np.int64)
+        buckets = Buckets()
         for batch in sliced(batches, "text"):
-            for group in _groups(batch.column(0).to_pylist(), buckets):
+            tokens = [buckets.of(t or "").astype(np.uint16).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.binary())], names=["key", "tokens"])
+
+    rows = docs.select((F.col(key) if key else F.lit(None).cast("int")).alias("key"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, f"key {kind}, tokens binary")
+
+
+def bucket_counts(texts: DataFrame) -> np.ndarray:
+    """How often each bucket occurs: added up in each task, then summed by Spark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for group in _groups(_tokens(batch.column(0))):
                 counts += np.bincount(np.concatenate(group), minlength=BUCKETS)
         held = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(counts[held])], names=["bucket", "n"])
 
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text")).mapInArrow(run, "bucket int, n bigint")
+    rows = texts.select("tokens").mapInArrow(run, "bucket int, n bigint")
     table = rows.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows at most
     out = np.zeros(BUCKETS, np.int64)
     out[table.column("bucket").to_numpy()] = table.column("n").to_numpy()
     return out
 
 
-def masked_windows(docs: DataFrame, text: str, one_in: int) -> DataFrame:
-    """`context`, `word`, `n` of the windows whose hash hides their middle, counted over all texts."""
+def _windows(texts: list[np.ndarray], one_in: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """`context` and `word` of the windows whose hash hides their middle (all, if `one_in` is 1), that hash, and their text."""
+    words = np.concatenate(texts)
+    context = packed(np.concatenate([neighbours(t, OUTSIDE) for t in texts]))
+    mixed = _mixed(context, words)
+    text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    hidden = slice(None) if one_in == 1 else mixed % np.uint64(one_in) == 0
+    return context[hidden], words[hidden], mixed[hidden], text[hidden]
+
+
+def masked_windows(docs: DataFrame, text: str, one_in: int = ONE_IN) -> DataFrame:
+    """`context`, `word`, `n` of the windows that training hides, counted over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets = Buckets()
-        for batch in sliced(batches, "text"):
-            for group in _groups(batch.column(0).to_pylist(), buckets):
-                words = np.concatenate(group)
-                context = packed(np.concatenate([neighbours(t, OUTSIDE) for t in group]))
-                hidden = _mixed(context, words) % np.uint64(one_in) == 0
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(context[hidden]), pa.array(words[hidden].astype(np.int32))], names=["context", "word"]
-                )
-
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text")).mapInArrow(run, "context bigint, word int")
+        for batch in batches:
+            for group in _groups(_tokens(batch.column(0))):
+                context, words, *_ = _windows(group, one_in)
+                yield pa.RecordBatch.from_arrays([pa.array(context), pa.array(words.astype(np.int32))], names=["context", "word"])
+
+    rows = bucketed(docs, None, text).select("tokens").mapInArrow(run, "context bigint, word int")
     return rows.groupBy("context", "word").agg(F.count("*").alias("n"))
 
 
-def _trained(windows: DataFrame, shards: int, model: Model, passes: int) -> np.ndarray:
+def _shard_windows(table: pa.Table, one_in: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`context`, `word` and number of a shard's windows, equal ones as one, in an order set by their hashes."""
+    copies, parts = table.column("n").to_numpy(), []
+    at = 0
+    for group in _groups(_tokens(table.column("tokens"))):
+        context, words, mixed, text = _windows(group, one_in)
+        parts.append((context, words.astype(np.uint16), mixed, copies[at + text]))
+        at += len(group)
+    context, words, mixed, n = (np.concatenate(column) for column in zip(*parts))
+    order = np.lexsort((words, context, mixed))
+    context, words, n = context[order], words[order].astype(np.int64), n[order]
+    first = np.flatnonzero((np.diff(context, prepend=~context[:1]) != 0) | (np.diff(words, prepend=-1) != 0))
+    return context[first], words[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _trained(texts: DataFrame, shards: int, model: Model, one_in: int, passes: int) -> np.ndarray:
     """The network after each shard has gone over its windows, averaged."""
     values = [f"v{j}" for j in range(HIDDEN + 1)]
 
     def run(table: pa.Table) -> pa.Table:
-        context, word = (table.column(c).to_numpy() for c in ("context", "word"))
-        order = np.lexsort((word, context, _mixed(context, word)))
-        n = table.column("n").to_numpy()[order]
-        words, around = model.rank[word[order]], model.rank[unpacked(np.ascontiguousarray(context[order]))]
+        context, word, n = _shard_windows(table, one_in)
+        size = min(BATCH, max(LEAST, len(word) // STEPS))
         training = Training(model.params)
         for _ in range(passes):
-            for start in range(0, len(words), BATCH):
-                part = slice(start, start + BATCH)
-                training.step(around[part], words[part], n[part])
+            for start in range(0, len(word), size):
+                part = slice(start, start + size)
+                training.step(model.rank[unpacked(context[part])], model.rank[word[part]], n[part])
         rows = np.flatnonzero(training.seen)
         columns = [pa.array(training.params[rows, j]) for j in range(HIDDEN + 1)]
         return pa.table([pa.array(rows.astype(np.int32)), pa.array(training.seen[rows]), *columns], names=["row", "seen", *values])
 
     schema = "row int, seen double, " + ", ".join(f"{v} float" for v in values)
-    shard = F.pmod(F.xxhash64("context", "word"), F.lit(shards))
-    copies = windows.groupBy(shard.alias("shard")).applyInArrow(run, schema)
+    shard = F.pmod(F.xxhash64("tokens"), F.lit(shards)).cast("int")
+    dealt = texts.where(F.length("tokens") > 0).withColumn("shard", shard).groupBy("shard", "tokens").agg(F.count("*").alias("n"))
+    copies = dealt.groupBy("shard").applyInArrow(run, schema)
     means = copies.groupBy("row").agg(*[(F.sum(F.col(v) * F.col("seen")) / F.sum("seen")).cast("float").alias(v) for v in values])
     table = means.toArrow()  # PARAMETERS rows at most
     params = model.params.copy()
@@ -298,13 +341,17 @@ def _trained(windows: DataFrame, shards: int, model: Model, passes: int) -> np.n
 
 def fit(docs: DataFrame, text: str = "text", one_in: int = ONE_IN, passes: int = 1, rounds: int = ROUNDS) -> Model:
     """The network trained on all texts; with `rounds` 0 the unigram model."""
-    rank, params = untrained(bucket_counts(docs, text))
+    return fit_bucketed(written(bucketed(docs, None, text), "buckets"), one_in, passes, rounds)
+
+
+def fit_bucketed(texts: DataFrame, one_in: int = ONE_IN, passes: int = 1, rounds: int = ROUNDS) -> Model:
+    """`fit` on a table of `bucketed`."""
+    counts = bucket_counts(texts)
+    rank, params = untrained(counts)
     model = Model(rank, params)
-    if rounds:
-        windows = written(masked_windows(docs, text, one_in), "masked-windows")
-        shards = 1 + windows.count() // SHARD
-        for _ in range(rounds):
-            model = Model(rank, _trained(windows, shards, model, passes))
+    shards = 1 + int(counts.sum()) // SHARD
+    for _ in range(rounds):
+        model = Model(rank, _trained(texts, shards, model, one_in, passes))
     return model
 
 
@@ -314,13 +361,16 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     A null or empty text has no tokens, the sum 0 and a null mean. Repeated rows are scored each (equal texts
     may differ in the last digits of 32-bit arithmetic). Columns of other names are not read.
     """
-    kind = dict(docs.select(key).dtypes)[key]
+    return score_bucketed(bucketed(docs, key, text), model, key)
+
+
+def score_bucketed(texts: DataFrame, model: Model, key: str) -> DataFrame:
+    """`score` on a table of `bucketed`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets = Buckets()
-        for batch in sliced(batches, "text"):
+        for batch in batches:
             tokens, sums = [], []
-            for group in _groups(batch.column(1).to_pylist(), buckets):
+            for group in _groups(_tokens(batch.column(1))):
                 tokens += map(len, group)
                 sums += model.log_probabilities(group)
             means = [s / n if n else None for s, n in zip(sums, tokens)]
@@ -329,11 +379,11 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 names=["key", "n_tokens", "log_prob", "mean_log_prob"],
             )
 
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    schema = f"key {kind}, n_tokens bigint, log_prob double, mean_log_prob double"
-    return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
+    schema = f"key {dict(texts.dtypes)['key']}, n_tokens bigint, log_prob double, mean_log_prob double"
+    return texts.select("key", "tokens").mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def pseudo_likelihood(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Scores of all texts under the network trained on all of them; see `fit` and `score`."""
-    return score(docs, fit(docs, text), key, text)
+    """Scores of all texts under the network trained on all of them; see `fit` and `score`. Texts are split once."""
+    texts = written(bucketed(docs, key, text), "buckets")
+    return score_bucketed(texts, fit_bucketed(texts), key)

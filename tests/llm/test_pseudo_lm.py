@@ -136,3 +136,11 @@ def test_odd_rows(spark):
     assert by[6].n_tokens == 40_000 and math.isfinite(by[6].log_prob)
     assert by[1].log_prob == pytest.approx(by[8].log_prob, rel=1e-5) and by[1].log_prob < 0
     assert L.pseudo_likelihood(documents(spark, [])).count() == 0
+
+
+def test_every_place_is_trained_on(spark):
+    docs = documents(spark, [(n, " ".join(f"w{n}x{k}" for k in range(100))) for n in range(4)])
+    assert sum(r.n for r in L.masked_windows(docs, "text", L.ONE_IN).collect()) == 400
+    model, start = L.fit(docs, passes=2), L.fit(docs, rounds=0)
+    used = model.rank[[crc32(f"w{n}x{k}".encode()) % (L.BUCKETS - 1) + 1 for n in range(4) for k in range(100)]]
+    assert (model.params[L.INPUT][used] != start.params[L.INPUT][used]).any(axis=1).all()
