@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from assay.functions.text import partition_pairs
 from assay.operators.history import before_score
 from assay.operators.retention import DAY, remove_folders, with_folder
+from assay.session import scratch_dir
 from assay.sources.partitions import path_exists, write_partitions
 from assay.sources.tables import parse_partition, partition_filter
 
@@ -83,10 +84,35 @@ class _Requested:
 
     @property
     def wanted(self) -> Column:
-        """Rows that any predicate may concern, in scope as far as the plan can say."""
+        """Rows that any predicate may concern, in scope as far as the plan can say.
+
+        Of each set of keys, the values of a key are one list, and so are its partitions: however many
+        there are, a row's keys, which may be expressions, are worked out twice.
+        """
         if self.scopes is None:
             return F.lit(True)
-        return _any([reduce(lambda a, b: a & b, [F.col(k) == v for k, v in one.items()]) for one in self.scopes])
+        named: dict[tuple[str, ...], list[dict[str, str]]] = {}
+        for one in self.scopes:
+            named.setdefault(tuple(sorted(one)), []).append(one)
+        return _any([_in_scope(keys, scopes) for keys, scopes in named.items()])
+
+
+def _in_scope(keys: Sequence[str], scopes: Sequence[dict[str, str]]) -> Column:
+    texts = [F.col(k).cast("string") for k in keys]
+    lists = [text.isin(sorted({one[k] for one in scopes})) for k, text in zip(keys, texts)]
+    if len(keys) > 1:
+        whole = F.concat(*[part for text in texts for part in (F.lit("/"), text)])
+        lists.append(whole.isin(sorted({"".join(f"/{one[k]}" for k in keys) for one in scopes})))
+    return reduce(lambda a, b: a & b, lists)
+
+
+def _kept(spark: SparkSession, requests: Requests) -> Requests:
+    """Requests given as a table, stored once: what they are derived from is not read again for each step."""
+    if not isinstance(requests, DataFrame):
+        return requests
+    path = scratch_dir(spark, "requests")
+    requests.select("issue_id", "table_name", "partition", "filter_condition").write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def _requested(spark: SparkSession, requests: Requests) -> _Requested:
@@ -184,7 +210,7 @@ def tag_issues(df: DataFrame, requests: Requests) -> DataFrame:
     One plan holds all different predicates, as a row's issues are to stand together.
     """
     issues = F.array_distinct(F.transform("hits", lambda h: h["issue_id"]))
-    return _tagged(df, requests).withColumn("issue_ids", issues).drop("hits")
+    return _tagged(df, _kept(df.sparkSession, requests)).withColumn("issue_ids", issues).drop("hits")
 
 
 def quarantine_counts(df: DataFrame, requests: Requests) -> DataFrame:
@@ -192,7 +218,7 @@ def quarantine_counts(df: DataFrame, requests: Requests) -> DataFrame:
     columns and the partitions in scope (for each set of keys that requests name, and each pass of
     predicates). Exact also when tasks are repeated. Requests whose partition text names no partition
     have no row."""
-    passes = [_counts(df, part) for part in in_passes(requests)] or [_counts(df, [])]
+    passes = [_counts(df, part) for part in in_passes(_kept(df.sparkSession, requests))] or [_counts(df, [])]
     return reduce(DataFrame.unionByName, passes)
 
 
@@ -230,7 +256,7 @@ def write_quarantine(
     any more; the rows stay in the source, and a replay after a failure stores them again. Requests of one
     call must concern one source table.
     """
-    for part in in_passes(requests):
+    for part in in_passes(_kept(df.sparkSession, requests)):
         _write_pass(df, part, path, keys, written_at)
 
 

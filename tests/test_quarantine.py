@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from assay.operators import quarantine as Q
 from assay.operators.retention import expire_quarantine
 from assay.sources.partitions import write_partitions
+from tests.passes import counted, worked_out
 
 SCHEMA = "id bigint, fare_amount double, year string, month string"
 
@@ -150,3 +151,23 @@ def test_any_number_of_predicates(spark, tmp_path, as_table):
     counts = Q.quarantine_counts(df, requests).collect()
     assert sorted(r.issue_id for r in counts) == sorted(r.issue_id for r in asked)
     assert all((r.bad_count, r.total_count) == (2, 1000) for r in counts)
+
+
+def test_requests_of_a_table_are_worked_out_once(spark, tmp_path):
+    (tmp_path / "seen").mkdir()
+    rows = [(f"i{n}{m}", "trips", f"year=2025/month={n:02d}", f"fare_amount > {m}") for n in range(1, 13) for m in (100, 700)]
+    requests = spark.createDataFrame(rows, "issue_id string, table_name string, partition string, filter_condition string")
+    zone = str(tmp_path / "zone")
+    Q.write_quarantine(trips(spark), counted(requests, tmp_path / "seen"), zone, ["year", "month"], now())
+    assert worked_out(tmp_path / "seen") == len(rows)
+    assert Q.read_quarantine(spark, zone, ["year", "month"]).count() == 58 + 4 + 18 + 18
+
+
+def test_many_scopes_are_a_short_filter(spark):
+    """The keys may be expressions, so a row's are not worked out once per scope."""
+    df = trips(spark)
+    requests = [Q.Request("trips", f"year=2025/month={n:02d}", "true", f"i{n}") for n in range(1, 13)] + [Q.Request("trips", "year=2024", "true", "j")]
+    wanted = Q._requested(spark, requests).wanted
+    assert str(wanted).count("month") <= 3 and df.where(wanted).count() == 100
+    assert df.where(Q._requested(spark, requests[:9]).wanted).count() == 80
+    assert {r.issue_id: r.bad_count for r in Q.quarantine_counts(df, requests).collect() if r.total_count} == {"i9": 80, "i10": 20}
