@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assay.operators import neardups as D
+from tests.passes import counted, worked_out
 
 NEAR = {"x": 0.5, "y": 0.1}
 
@@ -59,3 +60,16 @@ def test_planted_copies_are_found(spark):
     far = clean.where("k % 50 = 1").withColumn("x", F.col("x") + 0.51)
     out = D.near_uniqueness(clean.unionByName(copies).unionByName(far), ["k"], NEAR, ["p"]).first()
     assert (out.row_count, out.near_repeats) == (2080, 40)
+
+
+def test_rows_are_worked_out_a_few_times(spark, tmp_path):
+    """Once for the blocks' sizes, the rows of shared ones, and the partitions' sizes; never for later steps."""
+    rows = [("a", n % 40, n * 0.01, n % 3 * 0.05) for n in range(100)] + [("b", n, 1.0, 1.0) for n in range(50)] + [(None, None, None, 1.0)] * 2
+    df = spark.createDataFrame(rows, "p string, k int, x double, y double").repartition(1)
+    out = {r.p: (r.row_count, r.near_repeats) for r in D.near_uniqueness(counted(df, tmp_path), ["k"], NEAR, ["p"]).collect()}
+    assert worked_out(tmp_path) <= 3 * len(rows)
+    want = {}
+    for (p, *_), (n, repeats) in direct(rows).items():
+        a, b = want.get(p, (0, 0))
+        want[p] = (a + n, b + n - (not repeats))
+    assert out == want
