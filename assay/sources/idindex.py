@@ -1,7 +1,7 @@
 """Audit tables with an index of their ids: an append opens only files that may hold an id of its batch.
 
 Every append writes a run: its rows, sorted by id, in a folder of their own. The index has a row per stretch
-of ids of a file, some STRETCH ids each, with a Bloom filter over them. A batch's ids meet the stretches they
+of ids of a file, some STRETCH ids each at most, with a Bloom filter of BITS bits over them. A batch's ids meet the stretches they
 would lie in by equality, the filters rule out nearly all of them, and the few files left are opened, for the
 id column only, and decide exactly. A run counts once its line stands in the log, which is written last: what
 an attempt left behind that failed before is never seen, so a replay stores what is missing and no more.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,11 +25,12 @@ from assay.sources.audit import BUCKET, audit_rows
 from assay.sources.partitions import path_exists
 
 STRETCH = 1024
-BITS_PER_ID = 16
+BITS = 16 * STRETCH
 HASHES = 6
+PREFIX = 3
 MAX_RUNS = 16
 LOG = "run string, n bigint, depth int, replaces array<string>"
-INDEX = "depth int, stretch bigint, file string, n bigint, words map<int,bigint>, run string"
+INDEX = "depth int, stretch bigint, file string, words map<int,bigint>, run string"
 _ID_BITS = 60
 
 
@@ -37,11 +39,10 @@ def _stretch(id_: Column, depth: Column) -> Column:
     return F.call_function("shiftright", F.conv(F.substring(id_, 1, _ID_BITS // 4), 16, 10).cast("bigint"), F.lit(_ID_BITS) - depth)
 
 
-def _positions(id_: Column, bits: Column) -> Column:
-    """The bits of a Bloom filter of `bits` bits that an id sets."""
-    hashed = F.xxhash64(id_)
+def _positions(hashed: Column) -> list[Column]:
+    """The bits of a Bloom filter that an id of this hash sets."""
     first, step = hashed.bitwiseAND(F.lit(0x7FFFFFFF)), F.shiftrightunsigned(hashed, 33)
-    return F.array(*[(first + i * step) % bits for i in range(HASHES)])
+    return [(first + i * step) % BITS for i in range(HASHES)]
 
 
 def _word(position: Column) -> Column:
@@ -52,10 +53,6 @@ def _bit(position: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), (position % 64).cast("int"))
 
 
-def _bits(n: Column) -> Column:
-    return F.greatest(F.lit(64), F.ceil(n * BITS_PER_ID / 64) * 64).cast("bigint")
-
-
 def live_runs(spark: SparkSession, path: str) -> list:
     """Log rows of the runs that count; a few, as runs are merged."""
     if not path_exists(spark, f"{path}/log"):
@@ -78,12 +75,16 @@ def possible_files(spark: SparkSession, ids: DataFrame, path: str) -> list[str]:
         return []
     index = spark.read.schema(INDEX).option("basePath", f"{path}/index").parquet(*[f"{path}/index/run={r['run']}" for r in runs])
     depths = sorted({r["depth"] for r in runs})
-    asked = ids.select("audit_id", F.explode(F.array(*[F.lit(d) for d in depths])).alias("depth"))
-    asked = asked.withColumn("stretch", _stretch(F.col("audit_id"), F.col("depth")))
+    # Of an id only its stretch and its hash travel.
+    asked = ids.select(
+        F.xxhash64("audit_id").alias("hashed"),
+        F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), _stretch(F.col("audit_id"), F.lit(d)).alias("stretch")) for d in depths])).alias("at"),
+    ).select("hashed", "at.*")
     met = asked.join(index, ["depth", "stretch"])
-    held = F.forall(
-        _positions(F.col("audit_id"), _bits(F.col("n"))),
-        lambda p: F.coalesce(F.try_element_at("words", _word(p)), F.lit(0)).bitwiseAND(_bit(p)) != 0,
+    # One term a bit: the first that is not set ends it.
+    held = reduce(
+        lambda a, b: a & b,
+        [F.coalesce(F.try_element_at("words", _word(p)), F.lit(0)).bitwiseAND(_bit(p)) != 0 for p in _positions(F.col("hashed"))],
     )
     return [row["file"] for row in met.where(held).select("file").distinct().toLocalIterator()]
 
@@ -95,21 +96,28 @@ def _index_run(spark: SparkSession, path: str, run: str, replaces: Sequence[str]
     if not n and not replaces:
         return 0
     depth = max(0, math.ceil(math.log2(max(n, 1) / STRETCH)))
-    key = ["stretch", "file"]
-    placed = rows.withColumn("stretch", _stretch(F.col("audit_id"), F.lit(depth)))
-    sized = placed.groupBy(*key).agg(F.count("*").alias("n"))
-    bits = placed.join(sized, key).select(*key, "n", F.explode(_positions(F.col("audit_id"), _bits(F.col("n")))).alias("p"))
-    words = bits.groupBy(*key, "n", _word(F.col("p")).alias("at")).agg(F.bit_or(_bit(F.col("p"))).alias("word"))
-    # A stretch has some STRETCH ids and so some STRETCH * BITS_PER_ID / 64 words.
-    found = words.groupBy(*key, "n").agg(F.map_from_entries(F.collect_list(F.struct("at", "word"))).alias("words"))
-    found.select(F.lit(depth).alias("depth"), "stretch", "file", "n", "words").write.parquet(f"{path}/index/run={run}")
+    # Bits are counted in BITS whatever a stretch holds, so one pass makes them; a file's hash stands for its path.
+    key = ["stretch", "file_hash"]
+    placed = rows.select(
+        _stretch(F.col("audit_id"), F.lit(depth)).alias("stretch"), F.xxhash64("file").alias("file_hash"),
+        F.explode(F.array(*_positions(F.xxhash64("audit_id")))).alias("p"),
+    )
+    words = placed.groupBy(*key, _word(F.col("p")).alias("at")).agg(F.bit_or(_bit(F.col("p"))).alias("word"))
+    # A stretch has BITS / 64 words at most.
+    found = words.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("at", "word"))).alias("words"))
+    files = rows.select("file").distinct().withColumn("file_hash", F.xxhash64("file"))
+    found = found.join(F.broadcast(files), "file_hash")
+    found.select(F.lit(depth).alias("depth"), "stretch", "file", "words").write.parquet(f"{path}/index/run={run}")
     line = spark.createDataFrame([(n, depth, list(replaces))], "n bigint, depth int, replaces array<string>")
     line.coalesce(1).write.parquet(f"{path}/log/run={run}")
     return n
 
 
 def _write_run(rows: DataFrame, path: str, run: str) -> None:
-    rows.repartitionByRange("audit_id").sortWithinPartitions("audit_id").write.parquet(f"{path}/runs/run={run}")
+    """Ids are dealt by their first PREFIX digits, so that those of a stretch lie together. Ids are hashes, so this
+    is even without a sample of them, for which the rows would be worked out once more."""
+    dealt = rows.repartition(F.substring("audit_id", 1, PREFIX)).sortWithinPartitions("audit_id")
+    dealt.write.parquet(f"{path}/runs/run={run}")
 
 
 def append_indexed(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from assay.sources import idindex as X
 from assay.sources.audit import audit_id
+from tests.passes import counted, worked_out
 
 
 def rows(spark, low, high, shift=0):
@@ -81,3 +82,13 @@ def test_few_files_may_hold_an_id(spark, tmp_path):
     assert wanted <= set(found) and len(found) <= 5
     assert len(X.possible_files(spark, asked(spark, 10**6, 10**6 + 1000), path)) <= 10
     assert len(set(X.possible_files(spark, asked(spark, 0, 40_000), path))) >= len(files) - 1
+
+
+def test_rows_of_a_run_are_worked_out_once(spark, tmp_path):
+    (tmp_path / "seen").mkdir()
+    new = rows(spark, 0, 5000).withColumn("audit_id", audit_id(["id"]))
+    X._write_run(counted(new, tmp_path / "seen"), str(tmp_path / "t"), "one")
+    assert worked_out(tmp_path / "seen") == 5000
+    assert X._index_run(spark, str(tmp_path / "t"), "one") == 5000
+    index = spark.read.parquet(str(tmp_path / "t" / "index"))
+    assert index.select("file").distinct().count() == len(spark.read.parquet(str(tmp_path / "t" / "runs")).inputFiles())
