@@ -38,8 +38,7 @@ HIDDEN, RATE, SEED = 16, 0.2, 11
 ONE_IN, SHARD = 1, 1 << 21
 LEAST, BATCH, STEPS = 1 << 12, 1 << 15, 64  # windows of a step, and steps of a shard that is not small
 ROUNDS = 1
-REMEMBERED = 1_000_000
-CHUNK, ROWS = 1 << 15, 1 << 10  # tokens scored at once, and of them in one product
+CHUNK, ROWS = 1 << 17, 1 << 9  # tokens scored at once, and of them in one product
 SAFE = 80.0  # scores within it do not overflow as exponentials of 32 bits
 # Rows of the network: gates of the places, embeddings of neighbours, classes, words within classes. The last
 # column is the bias of the latter two.
@@ -50,18 +49,10 @@ WORD = slice(CLASS.stop, CLASS.stop + BUCKETS)
 PARAMETERS = WORD.stop
 
 
-class Buckets(dict):
-    """Words → hash buckets; remembers what it has seen, up to a bound."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-        self[word] = bucket = crc32(word.encode("utf-8", "surrogatepass")) % (BUCKETS - 1) + 1
-        return bucket
-
-    def of(self, text: str) -> np.ndarray:
-        words = text.lower().split()
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+def buckets(text: str) -> np.ndarray:
+    """The hash buckets of a text's words."""
+    words = " ".join(text.lower().split()).encode("utf-8", "surrogatepass")
+    return np.array([*map(crc32, words.split(b" "))] if words else [], np.int64) % (BUCKETS - 1) + 1
 
 
 def neighbours(tokens: np.ndarray, outside: int) -> np.ndarray:
@@ -108,67 +99,86 @@ def untrained(counts: np.ndarray, seed: int = SEED) -> tuple[np.ndarray, np.ndar
 
 
 def _hidden(params: np.ndarray, around: np.ndarray) -> np.ndarray:
-    hidden = np.empty((len(around), HIDDEN + 1), params.dtype)
+    hidden = np.zeros((len(around), HIDDEN + 1), params.dtype)
+    embeddings = params[INPUT]
+    gates = np.repeat(params[GATES][:, None], min(ROWS, len(around)), axis=1)  # as wide as a block: one product, not one a row
     for at in range(0, len(around), ROWS):
-        block = slice(at, at + ROWS)
-        hidden[block] = sum(params[INPUT][around[block, j]] * gate for j, gate in enumerate(params[GATES]))
+        block = hidden[at : at + ROWS]
+        for near, gate in zip(around[at : at + ROWS].T, gates):
+            embedded = embeddings.take(near, axis=0)
+            embedded *= gate[: len(near)]
+            block += embedded
     np.tanh(hidden, out=hidden)
     hidden[:, HIDDEN] = 1  # the bias
     return hidden
 
 
-def _exponentials(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp of the scores, in place, and the logarithm of each row's sum; rows are shifted where exp could overflow."""
-    shift = scores.max(axis=1) if scores.max() > SAFE or scores.min() < -SAFE else None
+def _bounded(weights: np.ndarray) -> bool:
+    """Whether no hidden layer, its values being within 1, gives scores beyond SAFE."""
+    return bool((np.abs(weights) @ np.ones(HIDDEN + 1, weights.dtype)).max() <= SAFE)
+
+
+def _exponentials(scores: np.ndarray, bounded: bool) -> np.ndarray | None:
+    """Puts exp of the scores in their place; rows that it shifts, as exp could overflow, are returned with their shifts."""
+    shift = None if bounded or (scores.max() <= SAFE and scores.min() >= -SAFE) else scores.max(axis=1)
     if shift is not None:
         scores -= shift[:, None]
     np.exp(scores, out=scores)
-    sums = np.log(scores.sum(axis=1))
-    return scores, sums if shift is None else sums + shift
+    return shift
 
 
-def _picked(scores: np.ndarray, column: np.ndarray) -> np.ndarray:
-    """The log-softmax of one column of each row."""
-    own = scores[np.arange(len(column)), column]
-    return own - _exponentials(scores)[1]
+def _picked(hidden: np.ndarray, weights: np.ndarray, column: np.ndarray, bounded: bool) -> np.ndarray:
+    """The log-softmax of one column of each row's scores."""
+    out, ones = np.empty(len(hidden), hidden.dtype), np.ones(SIDE, hidden.dtype)
+    for at in range(0, len(hidden), ROWS):
+        block = slice(at, at + ROWS)
+        scores = hidden[block] @ weights.T
+        out[block] = scores[np.arange(len(scores)), column[block]]
+        shift = _exponentials(scores, bounded)
+        out[block] -= np.log(scores @ ones) if shift is None else np.log(scores @ ones) + shift
+    return out
+
 
+def _errors(
+    hidden: np.ndarray, weights: np.ndarray, column: np.ndarray, share: np.ndarray, bounded: bool
+) -> tuple[np.ndarray, np.ndarray]:
+    """What the softmax less what is right, times each row's share, sends back to the hidden layer and the weights.
 
-def _errors(hidden: np.ndarray, weights: np.ndarray, column: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What the softmax less what is right, times each row's share, sends back to the hidden layer and the weights."""
-    back, gradient = np.empty_like(hidden), np.zeros_like(weights)
+    Shares and sums of the softmax multiply the narrow hidden rows, not the wide rows of scores.
+    """
+    back, gradient, ones = np.empty_like(hidden), np.zeros_like(weights), np.ones(SIDE, hidden.dtype)
     for at in range(0, len(hidden), ROWS):
         block = slice(at, at + ROWS)
-        error = _exponentials(hidden[block] @ weights.T)[0]
-        error *= share[block] / error.sum(axis=1, keepdims=True)
-        error[np.arange(len(error)), column[block]] -= share[block, 0]
-        np.matmul(error, weights, out=back[block])
-        gradient += error.T @ hidden[block]
+        error = hidden[block] @ weights.T
+        _exponentials(error, bounded)
+        sums = error @ ones
+        error[np.arange(len(error)), column[block]] -= sums
+        scale = share[block] / sums[:, None]
+        np.multiply(error @ weights, scale, out=back[block])
+        gradient += error.T @ (hidden[block] * scale)
     return back, gradient
 
 
-def _by_class(words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """The classes among the words, each with its places."""
-    classes = words // SIDE
+def _by_class(words: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """The places of the words in order of class, and the classes among them, each with its part of that order."""
+    classes = (words // SIDE).astype(np.uint8)
     order = np.argsort(classes, kind="stable")
-    starts = np.flatnonzero(np.diff(classes[order], prepend=-1))
-    for start, stop in zip(starts, [*starts[1:], len(order)]):
-        yield int(classes[order[start]]), order[start:stop]
+    ends = np.cumsum(np.bincount(classes, minlength=SIDE))
+    return order, [(c, slice(start, end)) for c, (start, end) in enumerate(zip([0, *ends], ends)) if start < end]
 
 
 def log_probabilities(params: np.ndarray, around: np.ndarray, words: np.ndarray) -> np.ndarray:
     """log P(word | window) of ranks `words` with neighbours `around`."""
     out = np.empty(len(words))
+    within, bounded = params[WORD].reshape(SIDE, SIDE, HIDDEN + 1), _bounded(params[CLASS.start :])
     for start in range(0, len(words), CHUNK):
-        part, own = slice(start, start + CHUNK), words[start : start + CHUNK]
-        hidden = _hidden(params, around[part])
-        log_p = np.empty(len(own))
-        for at in range(0, len(own), ROWS):
-            block = slice(at, at + ROWS)
-            log_p[block] = _picked(hidden[block] @ params[CLASS].T, own[block] // SIDE)
-        within = params[WORD].reshape(SIDE, SIDE, HIDDEN + 1)
-        for c, at in _by_class(own):
-            log_p[at] += _picked(hidden[at] @ within[c].T, own[at] % SIDE)
-        out[part] = log_p
+        order, classes = _by_class(words[start : start + CHUNK])
+        order += start
+        hidden, own = _hidden(params, around[order]), words[order]
+        log_p = _picked(hidden, params[CLASS], own // SIDE, bounded)
+        for c, part in classes:
+            log_p[part] += _picked(hidden[part], within[c], own[part] % SIDE, bounded)
+        out[order] = log_p
     return out
 
 
@@ -186,25 +196,31 @@ class Training:
 
     def step(self, around: np.ndarray, words: np.ndarray, n: np.ndarray) -> None:
         """One step up the log-likelihood of windows that occurred `n` times."""
+        order, classes = _by_class(words)
+        around, words, n = around[order], words[order], n[order]
         share = (n / n.mean()).astype(np.float32)[:, None]
-        hidden = _hidden(self.params, around)
-        back, of_classes = _errors(hidden, self.params[CLASS], words // SIDE, share)
-        for c, at in _by_class(words):
+        hidden, bounded = _hidden(self.params, around), _bounded(self.params[CLASS.start :])
+        back, of_classes = _errors(hidden, self.params[CLASS], words // SIDE, share, bounded)
+        for c, part in classes:
             rows = slice(WORD.start + c * SIDE, WORD.start + (c + 1) * SIDE)
-            of_hidden, of_words = _errors(hidden[at], self.params[rows], words[at] % SIDE, share[at])
-            back[at] += of_hidden
-            self._move(rows, of_words, n[at].sum())
+            of_hidden, of_words = _errors(hidden[part], self.params[rows], words[part] % SIDE, share[part], bounded)
+            back[part] += of_hidden
+            self._move(rows, of_words, n[part].sum())
         self._move(CLASS, of_classes, n.sum())
         back *= 1 - hidden * hidden
         back[:, HIDDEN] = 0
-        embedded = self.params[INPUT][around]
-        of_inputs = (back[:, None, :] * self.params[GATES]).reshape(-1, HIDDEN + 1)
-        self._move(GATES, (back[:, None, :] * embedded).sum(axis=0), n.sum())
-        ids = around.ravel()
-        order = np.argsort(ids, kind="stable")
-        starts = np.flatnonzero(np.diff(ids[order], prepend=-1))
-        seen = np.add.reduceat(np.repeat(n, len(PLACES))[order], starts)
-        self._move(INPUT.start + ids[order[starts]], np.add.reduceat(of_inputs[order], starts, axis=0), seen)
+        self._move_inputs(around, back, n)
+
+    def _move_inputs(self, around: np.ndarray, back: np.ndarray, n: np.ndarray) -> None:
+        """Moves the gates and embeddings by what came `back` to the hidden layer."""
+        gates, embeddings = self.params[GATES], self.params[INPUT]
+        near, columns = np.ascontiguousarray(around.T), np.ascontiguousarray(back.T)
+        of_gates = np.stack([np.einsum("ij,ij->j", back, embeddings.take(ids, axis=0)) for ids in near])
+        ids, of_inputs = near.ravel(), np.zeros_like(embeddings)
+        for k in range(HIDDEN):
+            of_inputs[:, k] = np.bincount(ids, np.outer(gates[:, k], columns[k]).ravel(), BUCKETS)
+        self._move(GATES, of_gates, n.sum())
+        self._move(INPUT, of_inputs, np.bincount(ids, np.tile(n, len(PLACES)), BUCKETS))
 
 
 @dataclass
@@ -247,9 +263,8 @@ def bucketed(docs: DataFrame, key: str | None, text: str) -> DataFrame:
     kind = dict(docs.select(key).dtypes)[key] if key else "int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets = Buckets()
         for batch in sliced(batches, "text"):
-            tokens = [buckets.of(t or "").astype(np.uint16).tobytes() for t in batch.column(1).to_pylist()]
+            tokens = [buckets(t or "").astype(np.uint16).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.binary())], names=["key", "tokens"])
 
     rows = docs.select((F.col(key) if key else F.lit(None).cast("int")).alias("key"), F.col(text).alias("text"))
@@ -306,7 +321,10 @@ def _shard_windows(table: pa.Table, one_in: int) -> tuple[np.ndarray, np.ndarray
         parts.append((context, words.astype(np.uint16), mixed, copies[at + text]))
         at += len(group)
     context, words, mixed, n = (np.concatenate(column) for column in zip(*parts))
-    order = np.lexsort((words, context, mixed))
+    order = np.argsort(mixed)
+    same = np.flatnonzero(mixed[order[1:]] == mixed[order[:-1]])
+    if ((context[order[same]] != context[order[same + 1]]) | (words[order[same]] != words[order[same + 1]])).any():
+        order = np.lexsort((words, context, mixed))  # windows of one hash
     context, words, n = context[order], words[order].astype(np.int64), n[order]
     first = np.flatnonzero((np.diff(context, prepend=~context[:1]) != 0) | (np.diff(words, prepend=-1) != 0))
     return context[first], words[first], np.add.reduceat(n, first) if len(first) else n

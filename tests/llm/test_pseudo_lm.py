@@ -144,3 +144,51 @@ def test_every_place_is_trained_on(spark):
     model, start = L.fit(docs, passes=2), L.fit(docs, rounds=0)
     used = model.rank[[crc32(f"w{n}x{k}".encode()) % (L.BUCKETS - 1) + 1 for n in range(4) for k in range(100)]]
     assert (model.params[L.INPUT][used] != start.params[L.INPUT][used]).any(axis=1).all()
+
+
+class Counted(np.ndarray):
+    """An array that counts the elements of wide rows, those of scores, which operations other than products go over."""
+
+    wide = 0
+
+    def __array_ufunc__(self, ufunc, method, *inputs, out=None, **more):
+        plain = [x.view(np.ndarray) if isinstance(x, Counted) else x for x in inputs]
+        if ufunc is not np.matmul and np.ndim(plain[0]) == 2 and plain[0].shape[1] == L.SIDE:
+            Counted.wide += plain[0].size
+        if out is not None:
+            more["out"] = tuple(x.view(np.ndarray) if isinstance(x, Counted) else x for x in out)
+        result = getattr(ufunc, method)(*plain, **more)
+        return result.view(Counted) if isinstance(result, np.ndarray) else result
+
+
+def test_scores_are_gone_over_once():
+    rng, n = np.random.default_rng(5), 3000
+    _, params = L.untrained(rng.integers(0, 50, L.BUCKETS))
+    around, words = rng.integers(0, L.BUCKETS, (n, 4)), rng.integers(0, 1000, n)
+    scores = 2 * n * L.SIDE  # of the classes, and of the words of a class
+    training = L.Training(params)
+    training.params = training.params.view(Counted)
+    Counted.wide = 0
+    training.step(around, words, np.ones(n, np.int64))
+    assert scores <= Counted.wide < 2 * scores
+    Counted.wide = 0
+    L.log_probabilities(params.view(Counted), around, words)
+    assert scores <= Counted.wide < 2 * scores
+
+
+def test_large_scores_do_not_overflow():
+    rng = np.random.default_rng(6)
+    _, params = L.untrained(rng.integers(0, 50, L.BUCKETS))
+    params[L.CLASS.start :, :-1] = rng.normal(0, 60, (L.PARAMETERS - L.CLASS.start, L.HIDDEN))
+    around, words = rng.integers(0, L.BUCKETS, (300, 4)), rng.integers(0, L.BUCKETS, 300)
+    wide = L.log_probabilities(params.astype(np.float64), around, words)
+    assert L.log_probabilities(params, around, words) == pytest.approx(wide, rel=1e-3, abs=1e-2)
+    training = L.Training(params)
+    training.step(around, words, np.ones(300, np.int64))
+    assert np.isfinite(training.params).all()
+
+
+def test_buckets_are_checksums_of_words():
+    for text in ("", " \n", "A b c\x1cd", "İX ΣΣ e\x00f \udc80", "a a  B"):
+        words = [crc32(w.encode("utf-8", "surrogatepass")) % (L.BUCKETS - 1) + 1 for w in text.lower().split()]
+        assert L.buckets(text).tolist() == words
